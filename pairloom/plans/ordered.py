@@ -1,0 +1,150 @@
+"""Order-dependent computations that never put a whole group into one task.
+
+A plain ``Window.partitionBy(key).orderBy(...)`` sends all rows of a key to one
+task. Here rows are split into blocks that follow the order (``row_no`` divided by a
+block size, a time slot, the leading digits of a hash). A window runs inside each
+block; one summary row per block carries values across block borders. Only the
+summaries of a key meet in one task.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+BLOCK = "__block"
+
+
+def _joined(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """Attach block summaries. Plain equality keeps the partitioning the window made;
+    keys must not be NULL (such rows get a NULL result)."""
+    return rows.join(summary, keys + [BLOCK], "left")
+
+
+def running_sums(
+    df: DataFrame,
+    keys: list[str],
+    block: Column,
+    order: list,
+    values: dict[str, Column],
+    inclusive: bool = True,
+) -> DataFrame:
+    """Add a running sum per entry of ``values``, over ``order`` within ``keys``.
+
+    ``block`` must not decrease along ``order``. ``order`` must be total.
+    """
+    rows = df.withColumn(BLOCK, block)
+    names = list(values)
+    for n in names:
+        rows = rows.withColumn("__v_" + n, values[n])
+    totals = rows.groupBy(*keys, BLOCK).agg(*[F.sum("__v_" + n).alias("__t_" + n) for n in names])
+    across = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *keys, BLOCK, *[F.coalesce(F.sum("__t_" + n).over(across), F.lit(0)).alias("__o_" + n) for n in names]
+    )
+    end = Window.currentRow if inclusive else -1
+    inside = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    local = rows.select("*", *[F.coalesce(F.sum("__v_" + n).over(inside), F.lit(0)).alias("__l_" + n) for n in names])
+    out = _joined(local, offsets, keys)
+    return out.select(*df.columns, *[(F.col("__l_" + n) + F.col("__o_" + n)).alias(n) for n in names])
+
+
+def ranks(df: DataFrame, keys: list[str], block: Column, order: list, name: str = "rank") -> DataFrame:
+    """Add the 1-based position of each row."""
+    return running_sums(df, keys, block, order, {name: F.lit(1).cast("bigint")})
+
+
+def neighbours(
+    df: DataFrame, keys: list[str], block: Column, order: list[str], column: str, name: str, step: int
+) -> DataFrame:
+    """Add the previous (``step=-1``) or next (``step=1``) row's value of ``column``."""
+    rows = df.withColumn(BLOCK, block)
+    position = F.struct(*order)
+    edge = F.max_by if step < 0 else F.min_by
+    edges = rows.groupBy(*keys, BLOCK).agg(edge(F.struct(column), position).alias("__edge"))
+    across = Window.partitionBy(*keys).orderBy(BLOCK)
+    beside = F.lag("__edge") if step < 0 else F.lead("__edge")
+    summary = edges.select(*keys, BLOCK, beside.over(across).alias("__beside"))
+    inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
+    shifted = (F.lag(F.struct(column)) if step < 0 else F.lead(F.struct(column))).over(inside)
+    out = _joined(rows.withColumn("__near", shifted), summary, keys)
+    near = F.when(F.col("__near").isNotNull(), F.col("__near")[column]).otherwise(F.col("__beside")[column])
+    return out.select(*df.columns, near.alias(name))
+
+
+def concat_ordered(
+    df: DataFrame, keys: list[str], block: Column, order: list[str], text: str, sep: str, name: str
+) -> DataFrame:
+    """Join the texts of a key in order: first within blocks, then block by block."""
+    parts = (
+        df.withColumn(BLOCK, block)
+        .groupBy(*keys, BLOCK)
+        .agg(F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("__text")))).alias("__rows"))
+        .select(*keys, BLOCK, F.array_join(F.col("__rows")["__text"], sep).alias("__text"))
+    )
+    whole = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(BLOCK, "__text"))).alias("__rows"))
+    return whole.select(*keys, F.array_join(F.col("__rows")["__text"], sep).alias(name))
+
+
+def hash_order(key: Column, seed: int | str = 42) -> Column:
+    """Seeded, engine-independent shuffle key of a row id."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+
+
+def hash_number(key: Column, seed: int | str = 42) -> Column:
+    """The first 52 bits of :func:`hash_order`, exact as a double too."""
+    return F.conv(F.substring(hash_order(key, seed), 1, 13), 16, 10).cast("bigint")
+
+
+BUCKETS = 1 << 16
+SMALL = 100_000
+
+
+def kth_smallest(df: DataFrame, columns: list[str], k: int):
+    """The ``k``-th row (1-based) by numeric ``columns``, as a Row; None beyond the end.
+
+    A search over a histogram of at most 65,536 buckets: each round is one aggregation
+    with map-side combine and narrows the value range by that factor, so the data are
+    neither sorted nor moved. Only the last bucket (at most ``SMALL`` rows) is sorted.
+    """
+    rows, left = df.select(*columns), k
+    for i, name in enumerate(columns):
+        c = F.col(name)
+        bounds = rows.agg(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).first()
+        n, low, high = bounds["n"], bounds["lo"], bounds["hi"]
+        if left < 1 or left > n:
+            return None
+        while n > SMALL and low != high:
+            scaled = (c.cast("double") - float(low)) / (float(high) - float(low))
+            bucket = F.least(F.floor(scaled * BUCKETS), F.lit(BUCKETS - 1))
+            histogram = rows.groupBy(bucket.alias("b")).agg(
+                F.count(F.lit(1)).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")
+            )
+            upto = F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+            hit = histogram.withColumn("upto", upto).filter(F.col("upto") >= left).orderBy("b").first()
+            left -= hit["upto"] - hit["n"]
+            n, low, high = hit["n"], hit["lo"], hit["hi"]
+            rows = rows.filter(c.between(F.lit(low), F.lit(high)))
+        if n <= SMALL:
+            return rows.orderBy(*columns).offset(left - 1).limit(1).first()
+        rows = rows.filter(c == F.lit(low))
+        if i == len(columns) - 1:
+            return rows.first()
+    return None
+
+
+def exact_quantile(df: DataFrame, column: str, q: float) -> float | None:
+    """Quantile with linear interpolation between the two nearest values."""
+    n = df.select(column).agg(F.count(column).alias("n")).first()["n"]
+    if n == 0:
+        return None
+    at = q * (n - 1)
+    below = math.floor(at)
+    rows = df.filter(F.col(column).isNotNull())
+    low = float(kth_smallest(rows, [column], below + 1)[column])
+    if at == below:
+        return low
+    high = float(kth_smallest(rows, [column], below + 2)[column])
+    return low + (high - low) * (at - below)
