@@ -6,10 +6,8 @@ from pyspark.sql import functions as F
 
 from pairloom import schemas
 from pairloom.functions import arrays as A
-from pairloom.functions import jsonx as J
 from pairloom.functions import text as X
 from pairloom.operators import cleaning as C
-from pairloom.operators import validation as V
 from pairloom.plans.registry import query
 from pairloom.plans.scratch import scratch_dir
 from pairloom.sources import pairs as S
@@ -121,9 +119,9 @@ RECORDS = "'  \"' || input || '\" ' || output || '\" '"
 
 @query(
     "record_split",
-    f"""SELECT row_id, trim(trim(left(text, at - 1)), '"') AS input, trim(trim(substring(text, at)), '"') AS output
-        FROM (SELECT *, instr(text, '{{"medicines') AS at FROM (SELECT row_id, {RECORDS} AS text FROM pairs))
-        WHERE at > 0""",
+    f"""SELECT row_id, trim(trim(left(text, place - 1)), '"') AS input, trim(trim(substring(text, place)), '"') AS output
+        FROM (SELECT *, instr(text, '{{"medicines') AS place FROM (SELECT row_id, {RECORDS} AS text FROM pairs))
+        WHERE place > 0""",
     ("pairs",),
 )
 def _(t):
@@ -159,7 +157,6 @@ def text_query(name, sql, column):
         return t.pairs().select("row_id", column().alias("text"))
 
 
-IN, OUT = F.col, "output"
 text_query("stop_strip", "replace(output, ' AAA', '')", lambda: X.strip_marker(F.col("output")))
 text_query(
     "stop_append",

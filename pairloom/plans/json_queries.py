@@ -39,6 +39,7 @@ def _(t):
 
 
 # Every third output loses the comma between its two medicines, every fifth gains a brace.
+# The second repair of the former repeats the key "dosage", which counts as unparsable here.
 BROKEN = (
     "CASE WHEN chunk_no % 3 = 0 THEN replace(found, '\"},{', '\"} {') WHEN chunk_no % 5 = 0 "
     "THEN replace(found, '\"diseases\"', '{\"diseases\"') ELSE found END"

@@ -30,7 +30,8 @@ def cell(v):
 def compare(df, con, sql: str) -> str | None:
     """None where both agree, else a short account of the difference."""
     names = sorted(df.columns)
-    ours = sorted([tuple(cell(v) for v in r) for r in df.select(*[f"`{n}`" for n in names]).toPandas().astype(object).where(lambda x: x.notna(), None).itertuples(index=False, name=None)])
+    table = df.select(*[f"`{n}`" for n in names]).toArrow()
+    ours = sorted(tuple(cell(v) for v in r) for r in zip(*[table.column(n).to_pylist() for n in names]))
     rel = con.execute(sql)
     columns = [d[0] for d in rel.description]
     if sorted(columns) != names:
