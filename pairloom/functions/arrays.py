@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 IGNORE = -100  # label value the loss skips
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, even inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_n(ids: Column, n) -> Column:
     n = n if isinstance(n, Column) else F.lit(n)
     return F.slice(ids, F.lit(1), F.greatest(n, F.lit(0)))
@@ -35,7 +40,7 @@ def last_n_keeping(ids: Column, n: int, protected: list[int]) -> Column:
     cut = F.when(wanted <= 0, F.size(ids)).otherwise(
         F.coalesce(F.get(plain_at, F.size(plain_at) - wanted), F.lit(0))
     )
-    return F.filter(ids, lambda x, i: F.array_contains(keep, x) | (i >= cut))
+    return let(cut, lambda at: F.filter(ids, lambda x, i: F.array_contains(keep, x) | (i >= at)))
 
 
 def pad_right(ids: Column, length: int, pad: int) -> Column:
@@ -93,16 +98,27 @@ def shifted_mask(ids: Column, left_pads: Column, max_left_pad: Column, pad: int)
     return F.transform(ids, lambda x, i: ((i >= skip) & (x != pad)).cast("int"))
 
 
+def _kept(ids: Column, eos: int) -> Column:
+    """Number of tokens up to and including the first EOS, all where there is none."""
+    at = F.array_position(ids, F.lit(eos)).cast("int")
+    return F.when(at == 0, F.size(ids)).otherwise(at)
+
+
 def mask_after_eos(ids: Column, eos: int) -> Column:
     """1 up to and including the first EOS, 0 after it."""
-    at = F.array_position(ids, F.lit(eos)).cast("int")
-    return F.transform(ids, lambda x, i: ((at == 0) | (i < at)).cast("int"))
+    kept = _kept(ids, eos)
+    return F.concat(F.array_repeat(F.lit(1), kept), F.array_repeat(F.lit(0), F.size(ids) - kept))
 
 
 def cut_after_eos(ids: Column, eos: int, pad: int) -> Column:
     """Replace everything after the first EOS by pads."""
-    at = F.array_position(ids, F.lit(eos)).cast("int")
-    return F.transform(ids, lambda x, i: F.when((at == 0) | (i < at), x).otherwise(F.lit(pad)))
+    kept = _kept(ids, eos)
+    return F.concat(first_n(ids, kept), F.array_repeat(F.lit(pad), F.size(ids) - kept))
+
+
+def drop_unterminated(mask: Column, ids: Column, eos: int) -> Column:
+    """All zeros where the completion has no EOS."""
+    return F.when(F.array_contains(ids, eos), mask).otherwise(F.transform(mask, lambda m: F.lit(0)))
 
 
 def stepwise_ids(steps: Column, separator: list[int]) -> Column:

@@ -9,12 +9,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.arrays import let
+
 EPS = 1e-8
 
 
 def l2_normalize(vector: Column) -> Column:
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(vector, lambda x: x / (norm + EPS))
+    return let(norm + EPS, lambda scale: F.transform(vector, lambda x: x / scale))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -133,20 +135,27 @@ def cluster_speakers(chunks: DataFrame, key: str, max_k: int = 5, max_chunks: in
     """(key, chunk_no, k, label) by Ward clustering, each recording on its own.
 
     The unit of work is one recording; memory grows with its number of chunks, not with the
-    square. A recording of more than ``max_chunks`` (two months of audio) raises: use
-    :func:`cluster_corpus` for such input.
+    square. Recordings of more than ``max_chunks`` (two months of audio) never enter one
+    task: each is clustered by :func:`cluster_corpus` as a Spark job of its own.
     """
     key_type = chunks.schema[key].dataType.simpleString()
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > max_chunks:
-            raise ValueError(f"recording {frame[key].iloc[0]} has {len(frame)} chunks, limit {max_chunks}")
         frame = frame.sort_values("chunk_no")
         k, labels = cluster(np.vstack(frame["embedding"].to_numpy()), max_k)
         return pd.DataFrame({key: frame[key], "chunk_no": frame["chunk_no"], "k": k, "label": labels})
 
     needed = chunks.select(key, F.col("chunk_no").cast("bigint").alias("chunk_no"), "embedding")
-    return needed.groupBy(key).applyInPandas(one, f"{key} {key_type}, chunk_no bigint, k bigint, label int")
+    sizes = needed.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    large = [row[key] for row in sizes.filter(F.col("__n") > max_chunks).collect()]
+    small = needed.filter(~F.col(key).isin(large)) if large else needed
+    out = small.groupBy(key).applyInPandas(one, f"{key} {key_type}, chunk_no bigint, k bigint, label int")
+    for name in large:
+        k, labelled = cluster_corpus(needed.filter(F.col(key) == F.lit(name)), max_k)
+        out = out.unionByName(
+            labelled.select(key, "chunk_no", F.lit(k).cast("bigint").alias("k"), F.col("label_new").cast("int").alias("label"))
+        )
+    return out
 
 
 def cluster_corpus(chunks: DataFrame, max_k: int = 5, seed: int = 42) -> tuple[int, DataFrame]:

@@ -1,3 +1,3 @@
 """Importing this module fills the registry."""
 
-from pairloom.plans import clean_queries, entity_queries, json_queries, transcript_queries  # noqa: F401
+from pairloom.plans import clean_queries, entity_queries, json_queries, prep_queries, transcript_queries  # noqa: F401
