@@ -46,7 +46,7 @@ FOLDED = "regexp_replace(text, '[^\\x00-\\x7f]', ' ', 'g')"
 )
 def _(t):
     text = F.regexp_replace("text", "[^\\x00-\\x7f]", " ")
-    rows = t.documents.select("doc_id", text.alias("text"))
+    rows = t.spread("documents", "doc_id").select("doc_id", text.alias("text"))
     return rows.select("doc_id", *[E.shown(E.extract(F.col("text"), k)).alias(k) for k in ("numbers", "english_words")])
 
 

@@ -70,7 +70,7 @@ VOCAB = f"""words AS (SELECT doc_id, unnest({WORDS}) AS token, generate_subscrip
 
 @query("vocabulary", f"WITH {VOCAB} SELECT token, n, token_id FROM vocab")
 def _(t):
-    return P.vocabulary(t.documents, X.words(F.col("text")))
+    return P.vocabulary(t.spread("documents", "doc_id"), X.words(F.col("text")))
 
 
 @query(
@@ -80,15 +80,15 @@ def _(t):
 )
 def _(t):
     words = X.words(F.col("text"))
-    out = P.encode(t.documents, "doc_id", words, P.vocabulary(t.documents, words))
+    out = P.encode(t.spread("documents", "doc_id"), "doc_id", words, P.vocabulary(t.spread("documents", "doc_id"), words))
     return out.select("doc_id", A.joined(F.col("ids")).alias("ids"))
 
 
 @query("decode_ids", f"SELECT doc_id, array_to_string({WORDS}, ' ') AS text FROM documents")
 def _(t):
     words = X.words(F.col("text"))
-    vocab = P.vocabulary(t.documents, words)
-    return P.decode(P.encode(t.documents, "doc_id", words, vocab), "doc_id", vocab)
+    vocab = P.vocabulary(t.spread("documents", "doc_id"), words)
+    return P.decode(P.encode(t.spread("documents", "doc_id"), "doc_id", words, vocab), "doc_id", vocab)
 
 
 @query(

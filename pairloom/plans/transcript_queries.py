@@ -44,7 +44,7 @@ def _(t):
         words(F.col("text")),
         lambda w, i: F.struct((i * 0.5).cast("double").alias("start"), (i * 0.5 + 0.5).cast("double").alias("end"), w.alias("word")),
     )
-    return R.explode_words(t.documents.select("doc_id", timed.alias("words")), ["doc_id"])
+    return R.explode_words(t.spread("documents", "doc_id").select("doc_id", timed.alias("words")), ["doc_id"])
 
 
 @query(
