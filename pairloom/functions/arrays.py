@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 IGNORE = -100  # label value the loss skips
@@ -13,6 +13,17 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def unnest(df: DataFrame, keep: list, items: Column, name: str, position: str | None = None) -> DataFrame:
+    """One row per array entry (entries are not NULL).
+
+    Same rows as ``explode``, but a costly ``items`` is computed once: for a plain ``explode``
+    the optimizer adds a filter on the array's size, which computes it a second time.
+    """
+    if position is None:
+        return df.select(*keep, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())
+    return df.select(*keep, F.posexplode_outer(items).alias(position, name)).filter(F.col(position).isNotNull())
+
+
 def first_n(ids: Column, n) -> Column:
     n = n if isinstance(n, Column) else F.lit(n)
     return F.slice(ids, F.lit(1), F.greatest(n, F.lit(0)))

@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairloom.functions.arrays import let
 from pairloom.functions.text import SPACES
 
 FENCE = "```(?:json)?[" + SPACES + "]*|[" + SPACES + "]*```"
@@ -23,8 +24,7 @@ def strip_fences(text: Column) -> Column:
 
 def outer_object(text: Column) -> Column:
     """From the first ``{`` to the last ``}``; NULL where there is no such span."""
-    found = F.regexp_extract(text, r"\{[\s\S]*\}", 0)
-    return F.when(found != "", found)
+    return F.nullif(F.regexp_extract(text, r"\{[\s\S]*\}", 0), F.lit(""))
 
 
 @F.pandas_udf(T.StringType())
@@ -49,23 +49,35 @@ def balanced_object(text: pd.Series) -> pd.Series:
     return text.map(first_span)
 
 
+def if_json(text: Column, otherwise: Column | None = None) -> Column:
+    """The text where it parses; computed once however costly it is."""
+    return let(text, lambda x: F.when(is_json(x), x) if otherwise is None else F.when(is_json(x), x).otherwise(otherwise))
+
+
 def repair_object(text: Column) -> Column:
     """The text if it parses, else the first of two brace repairs that parses, else NULL."""
-    once = F.replace(text, F.lit(",{"), F.lit(","))
-    twice = F.regexp_replace(once, r"\}[" + SPACES + r"]*\{", ",")
-    return F.when(is_json(text), text).when(is_json(once), once).when(is_json(twice), twice)
+
+    def repaired(x):
+        once = F.replace(x, F.lit(",{"), F.lit(","))
+        twice = let(once, lambda y: F.regexp_replace(y, r"\}[" + SPACES + r"]*\{", ","))
+        return F.when(is_json(x), x).otherwise(if_json(once, if_json(twice)))
+
+    return let(text, repaired)
 
 
 def recover_object(text: Column) -> Column:
     """Outer object as it stands, else after removing fences, else NULL."""
-    plain, unfenced = outer_object(text), outer_object(strip_fences(text))
-    return F.when(is_json(plain), plain).when(is_json(unfenced), unfenced)
+    return if_json(outer_object(text), if_json(outer_object(strip_fences(text))))
+
+
+def has_keys(names: Column, keys: list[str]) -> Column:
+    wanted = F.array(*[F.lit(k) for k in sorted(keys)])
+    return F.coalesce(F.array_sort(names) == wanted, F.lit(False))
 
 
 def keys_are(text: Column, keys: list[str]) -> Column:
     """True where the text is an object with exactly these keys."""
-    wanted = F.array(*[F.lit(k) for k in sorted(keys)])
-    return F.coalesce(F.array_sort(F.json_object_keys(text)) == wanted, F.lit(False))
+    return has_keys(F.json_object_keys(text), keys)
 
 
 def items_have_keys(text: Column, path: str, keys: list[str]) -> Column:
@@ -75,11 +87,14 @@ def items_have_keys(text: Column, path: str, keys: list[str]) -> Column:
 
 
 def text_field(text: Column, name: str) -> Column:
-    """A member that is a JSON string; NULL for other types or where it is absent."""
+    """A member that is a JSON string; NULL for other types, where it is absent or the text does not parse."""
     member = F.try_variant_get(F.try_parse_json(text), "$." + name, "variant")
-    return F.when(F.schema_of_variant(member) == "STRING", F.try_variant_get(member, "$", "string"))
+    return let(member, lambda m: F.when(F.schema_of_variant(m) == "STRING", F.try_variant_get(m, "$", "string")))
 
 
 def typed(text: Column, schema: T.StructType) -> Column:
-    """Parsed struct, NULL where the text is not an object."""
-    return F.when(F.json_object_keys(text).isNotNull() & is_json(text), F.from_json(text, schema))
+    """Parsed struct, NULL where the text is not an object.
+
+    The parse stays in one piece: column pruning would otherwise repeat it for every field.
+    """
+    return let(text, lambda x: F.when(is_json(x) & F.json_object_keys(x).isNotNull(), F.from_json(x, schema)))

@@ -39,17 +39,22 @@ def merge_concat(entities: DataFrame, conv: str = "conv_id") -> DataFrame:
     return kept.unionByName(diseases)
 
 
-def merged_document(named: DataFrame, values: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """One row per conversation with its merged entities in order of first appearance."""
+def merged_document(entities: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """One row per conversation with its merged entities in order of first appearance.
 
-    def listed(kind, fields):
-        item = F.struct("chunk_no", "pos", F.struct(*fields).alias("item"))
+    The merges of :func:`merge_named` and :func:`merge_values` in one pass over the entities.
+    """
+    disease = F.col("kind") == "disease"
+    key = F.when(disease, F.col("name")).otherwise(F.lower(F.coalesce("name", F.lit(""))))
+    keyed = entities.withColumn("key", key).filter(~disease | (F.coalesce("name", F.lit("")) != ""))
+    fields = F.struct("chunk_no", "pos", "name", "dosage", "frequency", "duration", "timing")
+    first = keyed.groupBy(conv, "kind", "key").agg(F.min_by(fields, F.struct("chunk_no", "pos")).alias("f"))
+
+    def listed(kind, names):
+        item = F.struct("f.chunk_no", "f.pos", F.struct(*[F.col("f")[n].alias(n) for n in names]).alias("item"))
         return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, item)))["item"]
 
-    parts = named.select(conv, "kind", "chunk_no", "pos", "name", "dosage", "frequency", "duration", "timing").unionByName(
-        values.select(conv, F.lit("disease").alias("kind"), "chunk_no", "pos", "name"), allowMissingColumns=True
-    )
-    return parts.groupBy(conv).agg(
+    return first.groupBy(conv).agg(
         listed("medicine", ["name", "dosage", "frequency", "duration"]).alias("medicines"),
         listed("disease", ["name"])["name"].alias("diseases"),
         listed("test", ["name", "timing"]).alias("tests"),

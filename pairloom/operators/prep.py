@@ -131,7 +131,7 @@ def sample_exact(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 # -- vocabulary --------------------------------------------------------------------------
 def vocabulary(docs: DataFrame, words: Column, first_id: int = 0) -> DataFrame:
     """(token, n, token_id): ids by falling count, then by token."""
-    counted = docs.select(F.explode(words).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counted = A.unnest(docs, [], words, "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     keyed = counted.withColumn("__minus", -F.col("n"))
     block = F.struct("__minus", F.substring("token", 1, 2).alias("start"))
     ranked = ordered.ranks(keyed, [], block, ["__minus", "token"], "token_id")
@@ -144,7 +144,7 @@ def encode(docs: DataFrame, key: str, words: Column, vocab: DataFrame) -> DataFr
     Equal words of a text travel together with their places, so a word that fills a third
     of all texts meets the vocabulary once per text.
     """
-    placed = docs.select(key, F.posexplode(words).alias("at", "token"))
+    placed = A.unnest(docs, [key], words, "token", "at")
     spread = placed.groupBy(key, "token").agg(F.collect_list("at").alias("places"))
     found = spread.join(vocab.select("token", "token_id"), "token")
     items = F.transform("places", lambda p: F.struct(p.alias("at"), F.col("token_id")))
@@ -155,7 +155,7 @@ def encode(docs: DataFrame, key: str, words: Column, vocab: DataFrame) -> DataFr
 
 def decode(encoded: DataFrame, key: str, vocab: DataFrame, ids: str = "ids", sep: str = " ") -> DataFrame:
     """(key, text): ids back to words."""
-    placed = encoded.select(key, F.posexplode(ids).alias("at", "token_id"))
+    placed = A.unnest(encoded, [key], F.col(ids), "token_id", "at")
     spread = placed.groupBy(key, "token_id").agg(F.collect_list("at").alias("places"))
     found = spread.join(vocab.select("token_id", "token"), "token_id")
     items = F.transform("places", lambda p: F.struct(p.alias("at"), F.col("token")))

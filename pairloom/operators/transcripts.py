@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions import text as X
+from pairloom.functions.arrays import unnest
 from pairloom.plans import ordered
 
 
@@ -26,7 +27,7 @@ def transcript(
 
 
 def explode_words(segments: DataFrame, keys: list[str], words: str = "words") -> DataFrame:
-    return segments.select(*keys, F.posexplode(words).alias("word_no", "w")).select(*keys, "word_no", "w.*")
+    return unnest(segments, keys, F.col(words), "w", "word_no").select(*keys, "word_no", "w.*")
 
 
 def by_language(transcripts: DataFrame, key: str, languages: list[str]) -> DataFrame:

@@ -9,19 +9,26 @@ from pyspark.sql import types as T
 from pairloom import schemas
 from pairloom.functions import jsonx as J
 from pairloom.functions import text as X
+from pairloom.functions.arrays import let, unnest
 
 
 def record_error(line: Column) -> Column:
     """First reason a JSON line is not a valid record; NULL for a valid one."""
-    output = J.text_field(line, "output")
-    record = X.strip_marker(output)
-    return (
-        F.when(~J.is_json(line), F.lit("bad_line"))
-        .when(output.isNull(), F.lit("no_output"))
-        .when(~J.is_json(record), F.lit("bad_output"))
-        .when(~J.keys_are(record, schemas.RECORD_KEYS), F.lit("wrong_keys"))
-        .when(~J.items_have_keys(record, "$.medicines", schemas.MEDICINE_KEYS), F.lit("wrong_medicine_keys"))
-    )
+
+    def in_record(record):
+        wrong_medicine = ~J.items_have_keys(record, "$.medicines", schemas.MEDICINE_KEYS)
+        return (
+            F.when(~J.is_json(record), F.lit("bad_output"))
+            .when(~J.keys_are(record, schemas.RECORD_KEYS), F.lit("wrong_keys"))
+            .when(wrong_medicine, F.lit("wrong_medicine_keys"))
+        )
+
+    def in_output(output):
+        return F.when(output.isNotNull(), let(X.strip_marker(output), in_record)).otherwise(
+            F.when(J.is_json(line), F.lit("no_output")).otherwise(F.lit("bad_line"))
+        )
+
+    return let(J.text_field(line, "output"), in_output)
 
 
 def with_errors(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -35,19 +42,17 @@ def accept(lines: DataFrame, column: str = "line") -> DataFrame:
     markers, is an object with the record's keys.
     """
     line = F.col(column)
-    record = X.strip_marker(X.strip(F.col("__output")))
-    fields = F.from_json(F.when(J.is_json(line), line), schemas.PAIR)
-    rows = lines.withColumn("__pair", fields)
-    rows = rows.withColumn("__output", J.text_field(line, "output"))
-    keys = F.coalesce(F.json_object_keys(line), F.array().cast("array<string>"))
-    ok = F.array_contains(keys, "input") & F.col("__output").isNotNull() & J.keys_are(record, schemas.RECORD_KEYS) & J.is_json(record)
-    rows = rows.withColumn("accepted", F.coalesce(ok, F.lit(False)))
-    kept = F.col("accepted")
+
+    def pair(output):
+        has_input = F.array_contains(F.json_object_keys(line), "input")
+        good = let(X.strip_marker(X.strip(output)), lambda r: J.keys_are(r, schemas.RECORD_KEYS) & J.is_json(r))
+        made = F.struct(F.get_json_object(line, "$.input").alias("input"), X.append_marker(output).alias("output"))
+        return F.when(F.coalesce(has_input & good, F.lit(False)), made)
+
+    rows = lines.withColumn("__pair", let(J.text_field(line, "output"), pair))
+    kept = F.col("__pair")
     return rows.select(
-        *lines.columns,
-        "accepted",
-        F.when(kept, F.col("__pair")["input"]).alias("input"),
-        F.when(kept, X.append_marker(F.col("__output"))).alias("output"),
+        *lines.columns, kept.isNotNull().alias("accepted"), kept["input"].alias("input"), kept["output"].alias("output")
     )
 
 
@@ -67,7 +72,7 @@ def typed_or_error(df: DataFrame, column: str, schema: T.StructType, message: st
 
 
 def fill_unspecified(record: Column) -> Column:
-    """Missing fields of medicines and tests become ``"unspecified"``, missing lists empty."""
+    """Missing fields of medicines and tests become ``"unspecified"``, missing lists empty; NULL stays NULL."""
 
     def filled(items, names):
         values = lambda m: F.struct(*[F.coalesce(m[n], F.lit(schemas.UNSPECIFIED)).alias(n) for n in names])
@@ -75,13 +80,18 @@ def fill_unspecified(record: Column) -> Column:
 
     empty = F.array().cast("array<string>")
     none = lambda schema: F.array().cast(T.ArrayType(schema))
-    return F.struct(
-        F.coalesce(filled(record["medicines"], schemas.MEDICINE_KEYS), none(schemas.MEDICINE)).alias("medicines"),
-        F.coalesce(record["diseases"], empty).alias("diseases"),
-        F.coalesce(record["symptoms"], empty).alias("symptoms"),
-        F.coalesce(filled(record["tests"], schemas.TEST_KEYS), none(schemas.TEST)).alias("tests"),
-        F.coalesce(record["instructions"], empty).alias("instructions"),
-    )
+
+    def whole(r):
+        fields = F.struct(
+            F.coalesce(filled(r["medicines"], schemas.MEDICINE_KEYS), none(schemas.MEDICINE)).alias("medicines"),
+            F.coalesce(r["diseases"], empty).alias("diseases"),
+            F.coalesce(r["symptoms"], empty).alias("symptoms"),
+            F.coalesce(filled(r["tests"], schemas.TEST_KEYS), none(schemas.TEST)).alias("tests"),
+            F.coalesce(r["instructions"], empty).alias("instructions"),
+        )
+        return F.when(r.isNotNull(), fields)
+
+    return let(record, whole)
 
 
 def field_coverage(records: DataFrame, column: str = "record") -> DataFrame:
@@ -125,4 +135,4 @@ def explode_entities(records: DataFrame, keys: list[str], column: str = "record"
     items = F.concat(
         with_pos(record["medicines"], "medicine"), with_pos(record["tests"], "test"), with_pos(record["diseases"], "disease")
     )
-    return records.select(*keys, F.explode(items).alias("x")).select(*keys, "x.pos", "x.e.*")
+    return unnest(records, keys, items, "x").select(*keys, "x.pos", "x.e.*")

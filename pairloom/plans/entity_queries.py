@@ -87,8 +87,7 @@ def _(t):
 
 @query("merged_document")
 def _(t):
-    e = entities(t)
-    doc = M.merged_document(M.merge_named(e), M.merge_values(e))
+    doc = M.merged_document(entities(t))
     return doc.select("conv_id", F.to_json(F.struct("medicines", "diseases", "tests")).alias("entities"))
 
 

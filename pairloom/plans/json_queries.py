@@ -180,11 +180,9 @@ def parsed(t):
     ("model_output",),
 )
 def _(t):
-    rows = parsed(t).filter(F.col("record").isNotNull())
-    filled = rows.select("conv_id", "chunk_no", V.fill_unspecified(F.col("record")).alias("record"))
-    return filled.select("conv_id", "chunk_no", F.posexplode("record.medicines").alias("pos", "m")).select(
-        "conv_id", "chunk_no", "pos", "m.*"
-    )
+    filled = parsed(t).select("conv_id", "chunk_no", V.fill_unspecified(F.col("record")).alias("record"))
+    rows = A.unnest(filled, ["conv_id", "chunk_no"], F.col("record")["medicines"], "m", "pos")
+    return rows.select("conv_id", "chunk_no", "pos", "m.*")
 
 
 @query(

@@ -37,11 +37,9 @@ class Streamed(Tables):
 )
 def _(t):
     base = scratch_dir(t.spark, "validate")
-    lines = t.lines(stream_of(t, "lineitem"))
-    S.validate_stream(lines, base + "/good", base + "/rejects", base + "/state").awaitTermination()
-    good = t.spark.read.parquet(base + "/good").select("batch", F.lit(True).alias("ok"))
-    bad = t.spark.read.parquet(base + "/rejects").select("batch", F.lit(False).alias("ok"))
-    return good.unionByName(bad).groupBy("batch").agg(F.count_if("ok").alias("valid"), F.count_if(~F.col("ok")).alias("invalid"))
+    S.validate_stream(Streamed(t, "lineitem").lines(), base + "/out", base + "/state").awaitTermination()
+    out = t.spark.read.parquet(base + "/out")
+    return out.groupBy("batch").agg(F.count_if("accepted").alias("valid"), F.count_if(~F.col("accepted")).alias("invalid"))
 
 
 @query(

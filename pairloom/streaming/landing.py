@@ -35,19 +35,19 @@ def landing_stream(spark: SparkSession, folder: str, files: int = 64) -> DataFra
     ).filter(F.length("line") > 0)
 
 
-def validate_stream(lines: DataFrame, good: str, rejects: str, checkpoint: str, batch: str = "batch") -> StreamingQuery:
-    """Accepted pairs go to ``good``, other lines to ``rejects``; runs until the input is used up.
+def validate_stream(lines: DataFrame, path: str, checkpoint: str, batch: str = "batch") -> StreamingQuery:
+    """Write checked lines to ``path``, split by ``accepted``; runs until the input is used up.
 
-    Each micro-batch overwrites its own folder, so a batch that is run again after a failure
-    does not write its rows twice.
+    Readers of one side read its folders only. Each micro-batch overwrites its own folder, so a
+    batch that is run again after a failure does not write its rows twice.
     """
 
     def write(frame: DataFrame, number: int) -> None:
-        checked = V.accept(frame).persist()
-        ok = F.col("accepted")
-        checked.filter(ok).select(batch, "input", "output").write.mode("overwrite").parquet(f"{good}/run={number}")
-        checked.filter(~ok).select(batch, "line").write.mode("overwrite").parquet(f"{rejects}/run={number}")
-        checked.unpersist()
+        rows = V.accept(frame)
+        shown = F.when(~F.col("accepted"), F.col("line")).alias("line")
+        rows.select(batch, "input", "output", shown, "accepted").write.mode("overwrite").partitionBy("accepted").parquet(
+            f"{path}/run={number}"
+        )
 
     return (
         lines.writeStream.foreachBatch(write)
