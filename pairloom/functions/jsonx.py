@@ -13,8 +13,23 @@ from pairloom.functions.text import SPACES
 FENCE = "```(?:json)?[" + SPACES + "]*|[" + SPACES + "]*```"
 
 
+def strict_variant(text: Column) -> Column:
+    """``[value, check]`` as a variant, to be used with :func:`is_strict`.
+
+    Spark's JSON functions read the first value and ignore what follows it. Inside an array
+    that ends with a number derived from the text, anything after the first value moves or
+    hides that number.
+    """
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), F.xxhash64(text).cast("string"), F.lit("]")))
+
+
+def is_strict(variant: Column, text: Column) -> Column:
+    return F.coalesce(F.try_variant_get(variant, "$[1]", "bigint") == F.xxhash64(text), F.lit(False))
+
+
 def is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    """True where the whole text is one JSON value."""
+    return is_strict(strict_variant(text), text)
 
 
 def strip_fences(text: Column) -> Column:
@@ -75,21 +90,31 @@ def has_keys(names: Column, keys: list[str]) -> Column:
     return F.coalesce(F.array_sort(names) == wanted, F.lit(False))
 
 
-def keys_are(text: Column, keys: list[str]) -> Column:
-    """True where the text is an object with exactly these keys."""
+def object_has_keys(text: Column, keys: list[str]) -> Column:
+    """True where JSON text, known to be valid, is an object with exactly these keys."""
     return has_keys(F.json_object_keys(text), keys)
 
 
+def keys_are(text: Column, keys: list[str]) -> Column:
+    """True where any text is an object with exactly these keys."""
+    return is_json(text) & object_has_keys(text, keys)
+
+
 def items_have_keys(text: Column, path: str, keys: list[str]) -> Column:
-    """True where the array at ``path`` holds only objects with exactly these keys."""
+    """True where the array at ``path`` of valid JSON text holds only objects with exactly these keys."""
     items = F.from_json(F.get_json_object(text, path), T.ArrayType(T.StringType()))
-    return F.coalesce(F.forall(items, lambda item: keys_are(item, keys)), F.lit(False))
+    return F.coalesce(F.forall(items, lambda item: object_has_keys(item, keys)), F.lit(False))
 
 
 def text_field(text: Column, name: str) -> Column:
     """A member that is a JSON string; NULL for other types, where it is absent or the text does not parse."""
-    member = F.try_variant_get(F.try_parse_json(text), "$." + name, "variant")
-    return let(member, lambda m: F.when(F.schema_of_variant(m) == "STRING", F.try_variant_get(m, "$", "string")))
+
+    def in_array(v):
+        member = F.try_variant_get(v, "$[0]." + name, "variant")
+        is_text = F.schema_of_variant(member) == "STRING"
+        return F.when(is_strict(v, text) & is_text, F.try_variant_get(member, "$", "string"))
+
+    return let(strict_variant(text), in_array)
 
 
 def typed(text: Column, schema: T.StructType) -> Column:

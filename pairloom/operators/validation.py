@@ -19,7 +19,7 @@ def record_error(line: Column) -> Column:
         wrong_medicine = ~J.items_have_keys(record, "$.medicines", schemas.MEDICINE_KEYS)
         return (
             F.when(~J.is_json(record), F.lit("bad_output"))
-            .when(~J.keys_are(record, schemas.RECORD_KEYS), F.lit("wrong_keys"))
+            .when(~J.object_has_keys(record, schemas.RECORD_KEYS), F.lit("wrong_keys"))
             .when(wrong_medicine, F.lit("wrong_medicine_keys"))
         )
 
@@ -45,7 +45,7 @@ def accept(lines: DataFrame, column: str = "line") -> DataFrame:
 
     def pair(output):
         has_input = F.array_contains(F.json_object_keys(line), "input")
-        good = let(X.strip_marker(X.strip(output)), lambda r: J.keys_are(r, schemas.RECORD_KEYS) & J.is_json(r))
+        good = let(X.strip_marker(X.strip(output)), lambda r: J.keys_are(r, schemas.RECORD_KEYS))
         made = F.struct(F.get_json_object(line, "$.input").alias("input"), X.append_marker(output).alias("output"))
         return F.when(F.coalesce(has_input & good, F.lit(False)), made)
 

@@ -8,6 +8,7 @@ from pairloom import schemas
 from pairloom.functions import arrays as A
 from pairloom.functions import jsonx as J
 from pairloom.functions import text as X
+from pairloom.functions.arrays import let
 from pairloom.operators import validation as V
 from pairloom.plans.registry import q6, query, r6
 
@@ -106,7 +107,8 @@ RECORD = "replace(output, ' AAA', '')"
     ("pairs",),
 )
 def _(t):
-    return t.pairs().select("row_id", J.keys_are(X.strip_marker(F.col("output")), schemas.RECORD_KEYS).alias("exact"))
+    exact = let(X.strip_marker(F.col("output")), lambda r: J.keys_are(r, schemas.RECORD_KEYS))
+    return t.pairs().select("row_id", exact.alias("exact"))
 
 
 def med_exact(record: str) -> str:
@@ -117,7 +119,8 @@ def med_exact(record: str) -> str:
 @query("med_keys_exact", f"SELECT row_id, {med_exact(RECORD)} AS exact FROM pairs", ("pairs",))
 def _(t):
     record = X.strip_marker(F.col("output"))
-    return t.pairs().select("row_id", J.items_have_keys(record, "$.medicines", schemas.MEDICINE_KEYS).alias("exact"))
+    exact = let(record, lambda r: J.is_json(r) & J.items_have_keys(r, "$.medicines", schemas.MEDICINE_KEYS))
+    return t.pairs().select("row_id", exact.alias("exact"))
 
 
 OUTPUT = "json_extract_string(" + json_or_null("line") + ", '$.output')"

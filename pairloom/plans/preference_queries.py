@@ -260,7 +260,7 @@ def _(t):
     )
 
 
-XPO = """s AS (SELECT advantage >= 0 AS own, list_sum(logps) AS mm, list_sum(old) AS mr, list_sum(list_transform(old, lambda x: x * 1.1::DOUBLE + 0.0007::DOUBLE)) AS rr, list_sum(ref) AS rm, score FROM token_logps),
+XPO = """s AS (SELECT advantage >= 0 AS own, list_sum(logps) AS mm, list_sum(old) AS mr, list_sum(list_transform(old, lambda x: x * 1.1::DOUBLE + 0.000314159::DOUBLE)) AS rr, list_sum(ref) AS rm, score FROM token_logps),
        c AS (SELECT *, CASE WHEN own THEN mm ELSE mr END AS cm, CASE WHEN own THEN rm ELSE rr END AS cr,
                CASE WHEN own THEN mr ELSE mm END AS jm, CASE WHEN own THEN rr ELSE rm END AS jr FROM s),
        l AS (SELECT *, (cm - cr) - (jm - jr) AS z, 0.1::DOUBLE * (cm - cr) AS w, 0.1::DOUBLE * (jm - jr) AS v FROM c)"""
@@ -274,7 +274,7 @@ XPO_SQL = {
 
 @query("xpo", f"WITH {XPO} SELECT " + ", ".join(f"{q6(e)} AS {k}" for k, e in XPO_SQL.items()) + " FROM l", ("token_logps",))
 def _(t):
-    rows = t.token_logps().withColumn("ref_ref", F.transform("old", lambda x: x * 1.1 + 0.0007)).withColumn("own", F.col("advantage") >= 0)
+    rows = t.token_logps().withColumn("ref_ref", F.transform("old", lambda x: x * 1.1 + 0.000314159)).withColumn("own", F.col("advantage") >= 0)
     scored = P.exploratory_rows(rows, "logps", "old", "ref_ref", "ref", "own", alpha=0.01)
     return rounded(P.exploratory_report(scored, {"objective_model_scores": F.col("score")}), [], list(XPO_SQL))
 

@@ -38,7 +38,7 @@ class Streamed(Tables):
 def _(t):
     base = scratch_dir(t.spark, "validate")
     S.validate_stream(Streamed(t, "lineitem").lines(), base + "/out", base + "/state").awaitTermination()
-    out = t.spark.read.parquet(base + "/out")
+    out = S.read_checked(t.spark, base + "/out")
     return out.groupBy("batch").agg(F.count_if("accepted").alias("valid"), F.count_if(~F.col("accepted")).alias("invalid"))
 
 

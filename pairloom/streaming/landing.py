@@ -57,6 +57,11 @@ def validate_stream(lines: DataFrame, path: str, checkpoint: str, batch: str = "
     )
 
 
+def read_checked(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`validate_stream` wrote; a filter on ``accepted`` reads only that side."""
+    return spark.read.parquet(path).withColumn("accepted", F.col("accepted").cast("boolean"))
+
+
 def first_entities(entities: DataFrame, conv: str, time: str, delay: str) -> DataFrame:
     """The first arrival of each lower-case name per conversation.
 
