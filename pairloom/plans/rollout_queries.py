@@ -8,12 +8,12 @@ from pairloom.functions.mathx import array_sum
 from pairloom.operators import rollouts as R
 from pairloom.plans.registry import q6, query, r6
 
-SUM = "coalesce(r1 * 1.0, 0) + coalesce(r2 * 0.318309886::DOUBLE, 0)"
+SUM = "coalesce(r1 * 1.0, 0) + coalesce(r2 * 0.3183098861837907::DOUBLE, 0)"
 REWARDED = f"rewarded AS (SELECT *, {SUM} AS reward FROM scored)"
 
 
 def scored(t):
-    return t.scored().withColumn("reward", R.reward_sum(["r1", "r2"], [1.0, 0.318309886]))
+    return t.scored().withColumn("reward", R.reward_sum(["r1", "r2"], [1.0, 0.3183098861837907]))
 
 
 def rounded(df, keep, values):
