@@ -91,13 +91,22 @@ def median_smooth(chunks: DataFrame, key: str, kernel: int, block_rows: int = 40
 
 
 def label_segments(chunks: DataFrame, key: str, block_rows: int = 4096) -> DataFrame:
-    """Runs of equal labels: a run ends where the next one starts, the last with its last chunk."""
-    block = F.floor(F.col("chunk_no") / block_rows)
+    """Runs of equal labels: a run ends where the next one starts, the last with its last chunk.
+
+    ``chunk_no`` counts from 0 without gaps. The last chunk of a block is also sent to the next
+    block, whose first chunk needs to know whether the label changed.
+    """
+    n = F.col("chunk_no")
+    slot = lambda at: F.floor(at / block_rows)
     rows = chunks.select(key, "chunk_no", "start", "end", "label")
-    marked = ordered.neighbours(rows, [key], block, ["chunk_no"], "label", "__before", -1)
-    changed = F.col("__before").isNull() | (F.col("__before") != F.col("label"))
-    starts = marked.filter(changed).select(key, "chunk_no", "start", "label")
-    runs = ordered.neighbours(starts, [key], block, ["chunk_no"], "start", "__next", 1)
+    spread = rows.withColumn("__slot", F.explode(F.array_distinct(F.array(slot(n), slot(n + 1)))))
+    before = F.lag("label").over(Window.partitionBy(key, "__slot").orderBy("chunk_no"))
+    starts = (
+        spread.withColumn("__before", before)
+        .filter((F.col("__slot") == slot(n)) & (F.col("__before").isNull() | (F.col("__before") != F.col("label"))))
+        .select(key, "chunk_no", "start", "label")
+    )
+    runs = ordered.neighbours(starts, [key], slot(n), ["chunk_no"], "start", "__next", 1)
     ends = rows.groupBy(key).agg(F.max_by("end", "chunk_no").alias("__last"))
     return runs.join(ends, key).select(key, "start", F.coalesce("__next", "__last").alias("end"), "label")
 

@@ -54,7 +54,12 @@ def _(t):
     return S.read_splits(t.spark, path).select("row_id", "split", A.joined(F.col("ids")).alias("ids"))
 
 
-@query("sink_result")
+@query(
+    "sink_result",
+    """SELECT 'recording ' || user_id AS english_text, 'नोंद' AS marathi_text, (round(coalesce(sum(value) FILTER (WHERE event_type = 'click'), 0)
+         + coalesce(sum(value) FILTER (WHERE event_type = 'view'), 0) + coalesce(sum(value) FILTER (WHERE event_type = 'signup'), 0), 6) + 0.0) AS total,
+         true AS no_entities FROM events GROUP BY user_id""",
+)
 def _(t):
     stages = t.events.groupBy("user_id").pivot("event_type", ["click", "view", "signup"]).agg(F.sum("value"))
     flat = stages.select(

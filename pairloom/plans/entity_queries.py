@@ -85,10 +85,36 @@ def _(t):
     return M.merge_concat(entities(t))
 
 
-@query("merged_document")
+def kept_sql(kind: str, key: str) -> str:
+    """First entity of each key, as text in order of appearance."""
+    return f"""(SELECT conv_id, string_agg(coalesce(name, '') || '/' || coalesce(dosage, timing, ''), '|' ORDER BY chunk_no, pos) AS found
+        FROM (SELECT * FROM ents WHERE kind = '{kind}' QUALIFY row_number() OVER (PARTITION BY conv_id, {key} ORDER BY chunk_no, pos) = 1) GROUP BY conv_id)"""
+
+
+LOWER = "lower(coalesce(name, ''))"
+
+
+@query(
+    "merged_document",
+    f"""WITH ents AS ({ENTITIES}), kept AS (SELECT * FROM ents WHERE kind <> 'disease' OR name <> ''),
+        c AS (SELECT DISTINCT conv_id FROM kept)
+        SELECT c.conv_id, coalesce(m.found, '') AS medicines, coalesce(replace(d.found, '/', ''), '') AS diseases, coalesce(t.found, '') AS tests
+        FROM c LEFT JOIN {kept_sql('medicine', LOWER)} m ON m.conv_id = c.conv_id
+          LEFT JOIN {kept_sql('test', LOWER)} t ON t.conv_id = c.conv_id
+          LEFT JOIN {kept_sql('disease', 'name').replace("FROM ents", "FROM kept")} d ON d.conv_id = c.conv_id""",
+    ("model_output",),
+)
 def _(t):
     doc = M.merged_document(entities(t))
-    return doc.select("conv_id", F.to_json(F.struct("medicines", "diseases", "tests")).alias("entities"))
+
+    def shown(items, field):
+        text = lambda m: F.concat(F.coalesce(m["name"], F.lit("")), F.lit("/"), F.coalesce(m[field], F.lit("")))
+        return F.array_join(F.transform(items, text), "|")
+
+    return doc.select(
+        "conv_id", shown("medicines", "dosage").alias("medicines"), F.array_join("diseases", "|").alias("diseases"),
+        shown("tests", "timing").alias("tests"),
+    )
 
 
 @query(

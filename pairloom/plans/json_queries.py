@@ -34,7 +34,18 @@ def _(t):
     return t.model_output().select("conv_id", "chunk_no", J.outer_object(F.col("text")).alias("found"))
 
 
-@query("json_balanced")
+@query(
+    "json_balanced",
+    """WITH c AS (SELECT conv_id, chunk_no, text, unnest(range(1, length(text) + 1)) AS i FROM model_output),
+       d AS (SELECT *, CASE substring(text, i, 1) WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END AS v FROM c),
+       p AS (SELECT *, sum(v) OVER (PARTITION BY chunk_no ORDER BY i) AS depth FROM d WHERE v <> 0),
+       s AS (SELECT *, min(depth) OVER (PARTITION BY chunk_no ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM p),
+       b AS (SELECT chunk_no, min(i) AS start, min_by(depth, i) AS depth FROM s WHERE v = 1 AND later < depth GROUP BY chunk_no),
+       e AS (SELECT b.chunk_no, b.start, min(p.i) AS finish FROM b JOIN p ON p.chunk_no = b.chunk_no AND p.i > b.start AND p.depth < b.depth GROUP BY ALL)
+       SELECT conv_id, chunk_no, CASE WHEN finish IS NOT NULL THEN substring(text, start, finish - start + 1) END AS found
+       FROM model_output LEFT JOIN e USING (chunk_no)""",
+    ("model_output",),
+)
 def _(t):
     return t.model_output().select("conv_id", "chunk_no", J.balanced_object(F.col("text")).alias("found"))
 

@@ -143,8 +143,10 @@ def exact_quantile(df: DataFrame, column: str, q: float) -> float | None:
     at = q * (n - 1)
     below = math.floor(at)
     rows = df.filter(F.col(column).isNotNull())
-    low = float(kth_smallest(rows, [column], below + 1)[column])
+    low = kth_smallest(rows, [column], below + 1)[column]
     if at == below:
-        return low
-    high = float(kth_smallest(rows, [column], below + 2)[column])
-    return low + (high - low) * (at - below)
+        return float(low)
+    c = F.col(column)
+    beyond = rows.agg(F.count_if(c <= F.lit(low)).alias("n"), F.min(F.when(c > F.lit(low), c)).alias("next")).first()
+    high = low if beyond["n"] > below + 1 else beyond["next"]
+    return float(low) + (float(high) - float(low)) * (at - below)
