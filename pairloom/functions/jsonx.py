@@ -106,15 +106,32 @@ def items_have_keys(text: Column, path: str, keys: list[str]) -> Column:
     return F.coalesce(F.forall(items, lambda item: object_has_keys(item, keys)), F.lit(False))
 
 
+def _string_member(variant: Column, name: str) -> Column:
+    """String member of the value in :func:`strict_variant`; NULL for other types."""
+    member = F.try_variant_get(variant, "$[0]." + name, "variant")
+    return F.when(F.schema_of_variant(member) == "STRING", F.try_variant_get(member, "$", "string"))
+
+
 def text_field(text: Column, name: str) -> Column:
     """A member that is a JSON string; NULL for other types, where it is absent or the text does not parse."""
+    return let(strict_variant(text), lambda v: F.when(is_strict(v, text), _string_member(v, name)))
+
+
+def pair_fields(text: Column) -> Column:
+    """(has_input, input, output) of a JSON object from one parse; NULL where the text does not parse.
+
+    ``output`` is NULL unless it is a string; an input of another type is shown as JSON.
+    """
 
-    def in_array(v):
-        member = F.try_variant_get(v, "$[0]." + name, "variant")
-        is_text = F.schema_of_variant(member) == "STRING"
-        return F.when(is_strict(v, text) & is_text, F.try_variant_get(member, "$", "string"))
+    def fields(v):
+        given = F.try_variant_get(v, "$[0].input", "variant")
+        shown = F.coalesce(_string_member(v, "input"), F.to_json(given))
+        made = F.struct(
+            given.isNotNull().alias("has_input"), shown.alias("input"), _string_member(v, "output").alias("output")
+        )
+        return F.when(is_strict(v, text), made)
 
-    return let(strict_variant(text), in_array)
+    return let(strict_variant(text), fields)
 
 
 def typed(text: Column, schema: T.StructType) -> Column:

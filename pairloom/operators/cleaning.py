@@ -60,10 +60,16 @@ def drop_missing(pairs: DataFrame, columns=("input", "output")) -> DataFrame:
     return pairs.na.drop(subset=list(columns))
 
 
+def mark_json(pairs: DataFrame, column: str = "output", name: str = "valid") -> DataFrame:
+    """Add whether the text parses: one pass where both kinds of rows are needed."""
+    return pairs.withColumn(name, F.coalesce(J.is_json(F.col(column)), F.lit(False)))
+
+
 def split_by_json(pairs: DataFrame, column: str = "output") -> tuple[DataFrame, DataFrame]:
-    """Rows whose text parses, and the others."""
-    ok = F.coalesce(J.is_json(F.col(column)), F.lit(False))
-    return pairs.filter(ok), pairs.filter(~ok)
+    """Rows whose text parses, and the others; each frame reads the input on its own."""
+    marked = mark_json(pairs, column, "__valid")
+    good, bad = marked.filter("__valid"), marked.filter("NOT __valid")
+    return good.drop("__valid"), bad.drop("__valid")
 
 
 def long_enough(chunks: DataFrame, column: str = "text", n: int = 10) -> DataFrame:

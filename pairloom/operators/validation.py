@@ -41,15 +41,14 @@ def accept(lines: DataFrame, column: str = "line") -> DataFrame:
     A line is accepted where it is an object with an input and an output whose text, without
     markers, is an object with the record's keys.
     """
-    line = F.col(column)
 
-    def pair(output):
-        has_input = F.array_contains(F.json_object_keys(line), "input")
-        good = let(X.strip_marker(X.strip(output)), lambda r: J.keys_are(r, schemas.RECORD_KEYS))
-        made = F.struct(F.get_json_object(line, "$.input").alias("input"), X.append_marker(output).alias("output"))
-        return F.when(F.coalesce(has_input & good, F.lit(False)), made)
+    def pair(fields):
+        record = X.strip_marker(X.strip(fields["output"]))
+        good = let(record, lambda r: J.keys_are(r, schemas.RECORD_KEYS))
+        made = F.struct(fields["input"].alias("input"), X.append_marker(fields["output"]).alias("output"))
+        return F.when(F.coalesce(fields["has_input"] & fields["output"].isNotNull() & good, F.lit(False)), made)
 
-    rows = lines.withColumn("__pair", let(J.text_field(line, "output"), pair))
+    rows = lines.withColumn("__pair", let(J.pair_fields(F.col(column)), pair))
     kept = F.col("__pair")
     return rows.select(
         *lines.columns, kept.isNotNull().alias("accepted"), kept["input"].alias("input"), kept["output"].alias("output")

@@ -149,9 +149,7 @@ def _(t):
     ("pairs",),
 )
 def _(t):
-    p = t.pairs().select("row_id", X.strip_marker(F.col("output")).alias("output"))
-    good, bad = C.split_by_json(p)
-    return good.withColumn("valid", F.lit(True)).unionByName(bad.withColumn("valid", F.lit(False)))
+    return C.mark_json(t.pairs().select("row_id", X.strip_marker(F.col("output")).alias("output")))
 
 
 def text_query(name, sql, column):

@@ -133,12 +133,23 @@ def test_first_error(spark):
 
 
 def test_accept(spark):
-    lines = [line(FULL % FIVE), '{"output": "{}"}', line("x"), "[]"]
-    rows = V.accept(spark.createDataFrame([(x,) for x in lines], "line string")).collect()
-    assert [r["accepted"] for r in rows] == [True, False, False, False]
+    output = line(FULL % SIX)[len('{"input": "x", "output": ') : -1]
+    lines = [line(FULL % FIVE), '{"output": "{}"}', line("x"), "[]", '{"output": %s}' % output, '{"input": null, "output": %s}' % output,
+             '{"input": {"a": 1}, "output": %s} x' % output, '{"input": {"a": 1}, "output": %s}' % output]
+    rows = V.accept(spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1)).collect()
+    assert [r["accepted"] for r in rows] == [True, False, False, False, False, True, False, True]
+    assert rows[7]["input"] == '{"a":1}'
     assert rows[0]["output"].endswith("} AAA") and rows[0]["input"] == "x"
 
 
+def test_good_and_rejected_rows(spark):
+    df = spark.createDataFrame([("a", "{}"), ("b", "{"), ("c", None)], "input string, output string")
+    good, bad = C.split_by_json(df)
+    assert [r["input"] for r in good.collect()] == ["a"]
+    assert sorted(r["input"] for r in bad.collect()) == ["b", "c"]
+    assert sorted(r["input"] for r in C.drop_missing(df).collect()) == ["a", "b"]
+
+
 def test_typed_and_fill(spark):
     df = spark.createDataFrame([('{"medicines":[{"name":"a"}]}',), ("[]",), ("{",)], "v string")
     rows = V.typed_or_error(df, "v", schemas.PRESCRIPTION).collect()
