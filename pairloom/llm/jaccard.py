@@ -8,10 +8,10 @@ fewer words; empty without words or for null). Two documents link when
 2. Shingles get one global order, rare before frequent (counts of all shingles in a table of 2^18 cells;
    only the speed depends on it). Linked sets share a shingle among the first
    ``n - ceil(n * percent / 100) + 1`` of each (prefix filter). Those prefixes are the index.
-3. Every index list is skipped by position: its pivot is the set in which the shingle stands first, that
-   is the one with the fewest rarer shingles. Every other member is compared with the pivot only, exactly
-   (a pivot's only member not even then if sizes and positions rule the pair out). The comparison yields the
-   member's difference from the pivot.
+3. Index lists part where no sizes are near enough to link, and are skipped by position: a list's pivot is the
+   set in which the shingle stands first, that is the one with the fewest rarer shingles. Every other member is
+   compared with the pivot only, exactly (two sets alone in their lists only if their prefixes leave
+   enough overlap). The comparison yields the member's difference from the pivot.
 4. Answers of similar sets are derived from these differences: for members x, y of one pivot,
    |x ^ y| = |dx| + |dy| - 2 |dx & dy|. Members that link with the pivot are connected by it already; only
    pairs with an unlinked member are worked out, in blocks of at most ``BLOCK`` members against blocks, and
@@ -26,11 +26,12 @@ component (null if all are null). An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm.store import save
@@ -119,14 +120,14 @@ def signatures(docs: DataFrame, id_col: str, text: str, n: int, percent: int) ->
 def compare_with_pivot(members: DataFrame, n: int, percent: int) -> DataFrame:
     """Differences of members from their pivot.
 
-    ``members``: pivot, salt, lead (true for the pivot's own row, which is sorted first), node, alone (no other
-    member, so no difference is kept), text. The rows are a sorted stream: a task holds one pivot set and one member.
+    ``members``: pivot, salt, lead (true for the pivot's own row, which is sorted first), node, alone (no third
+    set in their lists, so no difference is kept), text. The rows are a sorted stream: a task holds one pivot set and one member.
     """
 
     def compare(batches):
         current, pivot_set = None, None
         for batch in batches:
-            out = {k: [] for k in ("pivot", "node", "size", "pivot_size", "linked", "delta")}
+            out = {k: [] for k in ("pivot", "node", "alone", "size", "linked", "delta")}
             pivots, salts, leads, nodes, alone = (batch.column(i).to_pylist() for i in range(5))
             for i, s in enumerate(row_sets(batch.column(5), n)):
                 if leads[i]:
@@ -138,13 +139,13 @@ def compare_with_pivot(members: DataFrame, n: int, percent: int) -> DataFrame:
                 out["pivot"].append(pivots[i])
                 out["node"].append(nodes[i])
                 out["size"].append(len(s))
-                out["pivot_size"].append(len(pivot_set))
+                out["alone"].append(alone[i])
                 out["linked"].append(100 * (union - len(delta)) >= percent * union)
                 out["delta"].append([] if alone[i] else delta.view(SIGNED))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
             yield pa.record_batch({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
 
-    schema = "pivot bigint, node bigint, size bigint, pivot_size bigint, linked boolean, delta array<bigint>"
+    schema = "pivot bigint, node bigint, alone boolean, size bigint, linked boolean, delta array<bigint>"
     ordered = members.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.desc("lead"))
     return ordered.select("pivot", "salt", "lead", "node", "alone", "t").mapInArrow(compare, schema)
 
@@ -192,6 +193,7 @@ def joining_edges(left: list, right: list | None, percent: int) -> list[tuple[in
 
 def derived_edges(compared: DataFrame, percent: int) -> DataFrame:
     """Edges among members of one pivot, from their differences."""
+    compared = compared.filter(~F.col("alone"))
     stats = compared.groupBy("pivot").agg(F.count("*").alias("all"), F.count_if(~F.col("linked")).alias("loose"))
     open_groups = stats.filter("loose > 0 AND all > 1")
     rows = compared.join(open_groups, "pivot").withColumn("kind", F.when(F.col("linked"), "L").otherwise("U"))
@@ -270,17 +272,33 @@ def labelled(docs: DataFrame, id_col: str, text: str, n: int, percent: int) -> D
     nodes = save(found.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
 
     index = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    lists = index.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("pos", "n", "node")).alias("first"))
-    lists = lists.filter("size > 1").select("token", F.col("first.pos").alias("pos0"), F.col("first.n").alias("n0"), F.col("first.node").alias("pivot"))
-    bound = F.least("pos", "pos0") + F.least(F.col("n") - F.col("pos"), F.col("n0") - F.col("pos0"))
-    met = index.join(lists, "token").filter("node <> pivot").groupBy("pivot", "node").agg(F.min(bound).alias("bound"), F.first(F.col("n") + F.col("n0")).alias("sizes"))
-    met = save(met, "met")
+    shared = index.groupBy("token").count().filter("count > 1").select("token")
+    # Linked sizes differ by less than one step of this scale, so lists part where a step is empty.
+    step = F.floor(F.ln("n") / (math.log(100 / percent) * (1 + 1e-9) + 1e-12))
+    near = save(index.join(shared, "token").withColumn("step", step), "index")
+    steps = near.groupBy("token", "step").agg(F.count("*").alias("rows"), F.min(F.struct("pos", "n", "node")).alias("first"))
+    order = Window.partitionBy("token").orderBy("step")  # one row a step: a few hundred at most
+    steps = steps.withColumn("new", (F.col("step") - F.lag("step").over(order) > 1).cast("int"))
+    steps = steps.withColumn("part", F.sum(F.coalesce("new", F.lit(0))).over(order))
+    lists = steps.groupBy("token", "part").agg(F.sum("rows").alias("size"), F.min("first").alias("first")).filter("size > 1")
+    lists = steps.select("token", "step", "part").join(lists, ["token", "part"])
+    lists = lists.select("token", "step", "size", F.col("first.n").alias("n0"), F.col("first.node").alias("pivot"))
+    met = near.join(lists, ["token", "step"]).filter("node <> pivot").groupBy("pivot", "node")
+    met = met.agg(F.max("size").alias("size"), F.first("n").alias("n"), F.first("n0").alias("n0"))
+    pair, group = met.filter("size = 2"), met.filter("size > 2")
+    # Two sets that meet only in lists of their own: a bound on their overlap from the whole prefixes.
+    px, py = nodes.select("node", F.col("prefix").alias("px")), nodes.select(F.col("node").alias("pivot"), F.col("prefix").alias("py"))
+    pair = pair.join(px, "node").join(py, "pivot").withColumn("both", F.size(F.array_intersect("px", "py")))
+    rest = F.greatest(F.least(F.col("n") - F.size("px"), F.col("n0") - F.col("both")), F.least(F.col("n0") - F.size("py"), F.col("n") - F.col("both")))
+    pair = pair.filter((F.col("both") + rest) * (100 + percent) >= (F.col("n") + F.col("n0")) * percent)
+    names = ["pivot", "node", F.col("size") == 2]
+    met = save(pair.select(*names).toDF("pivot", "node", "alone").union(group.select(*names).toDF("pivot", "node", "alone")), "met")
 
     per_pivot = met.groupBy("pivot").agg(F.count("*").alias("all"))
-    member_rows = met.join(per_pivot, "pivot").filter((F.col("all") > 1) | (F.col("bound") * (100 + percent) >= F.col("sizes") * percent))
+    member_rows = met.join(per_pivot, "pivot")
     salts = F.ceil(F.col("all") / SALT_ROWS)
     member_rows = member_rows.select(
-        "pivot", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"), F.lit(False).alias("lead"), "node", (F.col("all") == 1).alias("alone")
+        "pivot", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"), F.lit(False).alias("lead"), "node", "alone"
     )
     leads = member_rows.select("pivot", "salt").distinct()
     leads = leads.select("pivot", "salt", F.lit(True).alias("lead"), F.col("pivot").alias("node"), F.lit(False).alias("alone"))
