@@ -5,8 +5,9 @@ fewer words; empty without words or for null). Two documents link when
 ``100 * |A & B| >= percent * |A | B|``; empty sets link with nothing. Steps:
 
 1. Equal sets become one node: a copy takes over its node's answers and is never compared.
-2. Shingles get one global order, rare before frequent (counts of all shingles in a table of 2^18 cells;
-   only the speed depends on it). Linked sets share a shingle among the first
+2. Shingles get one global order, rare before frequent, estimated from the counts of its words and the
+   excess of its own cell over the mean cell (counts of all shingles and words in tables of 2^18 cells; only the
+   speed depends on this order). Linked sets share a shingle among the first
    ``n - ceil(n * percent / 100) + 1`` of each (prefix filter). Those prefixes are the index.
 3. Index lists part where no sizes are near enough to link, and are skipped by position: a list's pivot is the
    set in which the shingle stands first, that is the one with the fewest rarer shingles. Every other member is
@@ -44,45 +45,61 @@ SALT_ROWS = 128
 SIGNED = np.int64
 
 
-def row_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each row."""
+def row_sets(column: pa.Array, n: int, counts: np.ndarray | None = None) -> Iterator:
+    """The sorted distinct shingle hashes of each row; with ``counts`` also their place in the global order."""
     for _, raw, offsets in text_runs(column):
         words = Words(raw, offsets)
         shingles = words.shingles(n)
+        if counts is not None:
+            weight = np.log2(np.maximum((1.0 + counts[1][cells(words.hash)]) / (1.0 + counts[1].mean()), 1.0))
+            rarity = np.zeros(len(shingles))
+            for j in range(min(n, len(shingles))):
+                rarity[: len(rarity) - j] += weight[j:]
+            usual = counts[0].mean()
+            excess = np.maximum(counts[0][cells(shingles)] - usual, 0) / math.sqrt(usual + 1)
+            place = np.round((rarity + 2 * excess) * 8).astype(np.int64)
         for a, b in zip(words.bounds[:-1], words.bounds[1:]):
             if b - a >= n:
-                yield np.unique(shingles[a : b - n + 1])
-            elif b > a:
-                yield sequence_hash(words.hash[a:b])
+                if counts is None:
+                    yield np.unique(shingles[a : b - n + 1])
+                else:
+                    found, at = np.unique(shingles[a : b - n + 1], return_index=True)
+                    yield found, place[a + at]
             else:
-                yield np.zeros(0, np.uint64)
+                found = sequence_hash(words.hash[a:b]) if b > a else np.zeros(0, np.uint64)
+                yield found if counts is None else (found, np.zeros(len(found), np.int64))
+
+
+def cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << CELL_BITS, np.int64)
+    total = np.zeros(2 << CELL_BITS, np.int64)
     for batch in batches:
-        for cells in batch.column(0):
-            total += np.frombuffer(cells.as_buffer(), np.int64)
+        for part in batch.column(0):
+            total += np.frombuffer(part.as_buffer(), np.int64)
     yield pa.record_batch({"cells": pa.array([total.tobytes()], pa.binary())})
 
 
 def cell_counts(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """How many shingles of all documents fall into each of 2^18 hash cells (2 MB, whatever the input)."""
+    """How many shingles and how many words of all documents fall into each of 2^18 hash cells (4 MB, whatever the input)."""
 
     def count(batches):
-        total = np.zeros(1 << CELL_BITS, np.int64)
+        total = np.zeros((2, 1 << CELL_BITS), np.int64)
         for batch in batches:
             for _, raw, offsets in text_runs(batch.column(0)):
                 words = Words(raw, offsets)
                 last = np.repeat(words.bounds[1:], np.diff(words.bounds)) - n
                 hashes = words.shingles(n)[np.arange(len(words.hash)) <= last]
-                total += np.bincount((hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
+                total[0] += np.bincount(cells(hashes), minlength=1 << CELL_BITS)
+                total[1] += np.bincount(cells(words.hash), minlength=1 << CELL_BITS)
         yield pa.record_batch({"cells": pa.array([total.tobytes()], pa.binary())})
 
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = docs.select(text).mapInArrow(count, "cells binary").repartition(width).mapInArrow(_add_counts, "cells binary")
     rows = parts.repartition(1).mapInArrow(_add_counts, "cells binary").collect()
-    return np.frombuffer(bytes(rows[0][0]), np.int64) if rows else np.zeros(1 << CELL_BITS, np.int64)
+    return (np.frombuffer(bytes(rows[0][0]), np.int64) if rows else np.zeros(2 << CELL_BITS, np.int64)).reshape(2, -1)
 
 
 def signatures(docs: DataFrame, id_col: str, text: str, n: int, percent: int) -> DataFrame:
@@ -93,12 +110,12 @@ def signatures(docs: DataFrame, id_col: str, text: str, n: int, percent: int) ->
     def sign(batches):
         for batch in batches:
             sizes, keys_a, keys_b, prefixes = [], [], [], []
-            for s in row_sets(batch.column(2), n):
+            for s, place in row_sets(batch.column(2), n, counts.value):
                 sizes.append(len(s))
                 keys_a.append(int(mix(s).sum(dtype=np.uint64).astype(SIGNED)))
                 keys_b.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(SIGNED)))
                 keep = len(s) - -(-len(s) * percent // 100) + 1 if len(s) else 0
-                rank = np.lexsort((s, counts.value[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))
+                rank = np.lexsort((s, place))
                 prefixes.append(s[rank[:keep]].view(SIGNED))
             ends = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, SIGNED)
@@ -284,15 +301,15 @@ def labelled(docs: DataFrame, id_col: str, text: str, n: int, percent: int) -> D
     lists = steps.select("token", "step", "part").join(lists, ["token", "part"])
     lists = lists.select("token", "step", "size", F.col("first.n").alias("n0"), F.col("first.node").alias("pivot"))
     met = near.join(lists, ["token", "step"]).filter("node <> pivot").groupBy("pivot", "node")
-    met = met.agg(F.max("size").alias("size"), F.first("n").alias("n"), F.first("n0").alias("n0"))
-    pair, group = met.filter("size = 2"), met.filter("size > 2")
-    # Two sets that meet only in lists of their own: a bound on their overlap from the whole prefixes.
-    px, py = nodes.select("node", F.col("prefix").alias("px")), nodes.select(F.col("node").alias("pivot"), F.col("prefix").alias("py"))
-    pair = pair.join(px, "node").join(py, "pivot").withColumn("both", F.size(F.array_intersect("px", "py")))
-    rest = F.greatest(F.least(F.col("n") - F.size("px"), F.col("n0") - F.col("both")), F.least(F.col("n0") - F.size("py"), F.col("n") - F.col("both")))
-    pair = pair.filter((F.col("both") + rest) * (100 + percent) >= (F.col("n") + F.col("n0")) * percent)
-    names = ["pivot", "node", F.col("size") == 2]
-    met = save(pair.select(*names).toDF("pivot", "node", "alone").union(group.select(*names).toDF("pivot", "node", "alone")), "met")
+    met = met.agg(F.max("size").alias("size"), F.count("*").alias("both"), F.first("n").alias("n"), F.first("n0").alias("n0"))
+    # Two sets that meet only in lists of their own share exactly these shingles of their prefixes; the rest of each
+    # set bounds the overlap.
+    prefix = lambda n: n - F.ceil(n * percent / 100) + 1
+    rest = F.greatest(
+        F.least(F.col("n") - prefix(F.col("n")), F.col("n0") - F.col("both")), F.least(F.col("n0") - prefix(F.col("n0")), F.col("n") - F.col("both"))
+    )
+    possible = (F.col("both") + rest) * (100 + percent) >= (F.col("n") + F.col("n0")) * percent
+    met = save(met.filter((F.col("size") > 2) | possible).select("pivot", "node", (F.col("size") == 2).alias("alone")), "met")
 
     per_pivot = met.groupBy("pivot").agg(F.count("*").alias("all"))
     member_rows = met.join(per_pivot, "pivot")
