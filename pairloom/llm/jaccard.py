@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.store import save
+from pairloom.llm.store import likely_among, save
 from pairloom.llm.words import Words, mix, sequence_hash, text_runs
 
 CELL_BITS = 18
@@ -320,7 +320,9 @@ def labelled(docs: DataFrame, id_col: str, text: str, n: int, percent: int) -> D
     leads = member_rows.select("pivot", "salt").distinct()
     leads = leads.select("pivot", "salt", F.lit(True).alias("lead"), F.col("pivot").alias("node"), F.lit(False).alias("alone"))
     wanted = member_rows.union(leads).join(nodes.select("node", F.col("some.th").alias("th"), F.col("some.id").alias("id")), "node")
+    wanted = save(wanted, "wanted")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
+    texts = texts.filter(likely_among(wanted, "th")("th"))
     placed = texts.alias("x").join(wanted.alias("y"), (F.col("x.th") == F.col("y.th")) & F.col("x.id").eqNullSafe(F.col("y.id")))
     members = placed.select("pivot", "salt", "lead", "node", "alone", "t")
     compared = save(compare_with_pivot(members, percent=percent, n=n), "compared")

@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -28,3 +32,47 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+FILTER_BITS = 1 << 26
+
+
+def likely_among(keys: DataFrame, key: str):
+    """A function of a 64-bit column: false only for values that are not in ``keys``.
+
+    A Bloom filter with three bits a value in ``FILTER_BITS`` bits (8 MB, whatever the input). It spares a shuffle most
+    rows without a partner; the join behind it decides, so a full filter costs speed and no rows.
+    """
+    def places(values):
+        v = values.astype(np.int64).view(np.uint64)
+        return [((v >> np.uint64(s)) ^ (v * np.uint64(m))) >> np.uint64(38) for s, m in ((0, 0x9E3779B97F4A7C15), (7, 0xC2B2AE3D27D4EB4F), (13, 0x165667B19E3779F9))]
+
+    def collect(batches):
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for batch in batches:
+            values = batch.column(0).drop_null().to_numpy()
+            for at in places(values):
+                np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
+        yield pa.record_batch({"bits": pa.array([bits.tobytes()], pa.binary())})
+
+    def merge(batches):
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for batch in batches:
+            for part in batch.column(0):
+                bits |= np.frombuffer(part.as_buffer(), np.uint8)
+        yield pa.record_batch({"bits": pa.array([bits.tobytes()], pa.binary())})
+
+    spark = keys.sparkSession
+    parts = keys.select(key).coalesce(16).mapInArrow(collect, "bits binary")
+    rows = parts.repartition(1).mapInArrow(merge, "bits binary").collect()
+    shared = spark.sparkContext.broadcast(bytes(rows[0][0]) if rows else bytes(FILTER_BITS // 8))
+
+    @F.pandas_udf("boolean")
+    def among(values: pd.Series) -> pd.Series:
+        bits = np.frombuffer(shared.value, np.uint8)
+        hit = np.ones(len(values), bool)
+        for at in places(values.to_numpy()):
+            hit &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return pd.Series(hit)
+
+    return among

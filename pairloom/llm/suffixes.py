@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.store import save
+from pairloom.llm.store import likely_among, save
 from pairloom.llm.words import BASE, Words, mix, powers, text_runs
 
 KEY = 18
@@ -178,6 +178,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 )
 
     whole = docs.select(F.xxhash64(text).alias("th"), F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("t")).filter("t is not null")
+    whole = whole.filter(likely_among(wanted, "th")("th"))
     joined = whole.alias("x").join(wanted.alias("y"), (F.col("x.th") == F.col("y.th")) & F.col("x.id").eqNullSafe(F.col("y.id")))
     windows = joined.select("node", "at", "t").mapInArrow(extend, "w bigint, node bigint, s int")
     repeated = neighbours(windows, "w", ["node", "s"], "windows")
