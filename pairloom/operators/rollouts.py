@@ -38,6 +38,12 @@ def eos_penalty(reward: Column, ids: Column, eos: int, penalty: float) -> Column
 
 
 # -- advantages --------------------------------------------------------------------------
+def _with_group(rows: DataFrame, stats: DataFrame, group: str) -> DataFrame:
+    """Attach a group's statistics; a NULL key is a group like any other."""
+    named = stats.withColumnRenamed(group, "__group")
+    return rows.join(named, rows[group].eqNullSafe(named["__group"])).drop("__group")
+
+
 def group_advantages(df: DataFrame, group: str, reward: str = "reward", scale: str = "group") -> DataFrame:
     """Add ``advantage`` and ``zero_std``: reward minus the group's mean, over a standard deviation.
 
@@ -47,7 +53,7 @@ def group_advantages(df: DataFrame, group: str, reward: str = "reward", scale: s
     if scale not in ("group", "batch", "none"):
         raise ValueError(f"unknown scale: {scale}")
     stats = df.groupBy(group).agg(F.avg(reward).alias("__mean"), F.stddev_samp(reward).alias("__std"))
-    rows = df.join(stats, group)
+    rows = _with_group(df, stats, group)
     std = F.col("__std")
     if scale == "batch":
         rows = rows.withColumn("__std", df.agg(F.stddev_samp(reward).alias("s")).scalar())
@@ -74,7 +80,7 @@ def leave_one_out_advantages(
     rows = df.withColumn("__r", value)
     stats = rows.groupBy(group).agg(F.sum("__r").alias("__sum"), F.count("__r").alias("__n"))
     others = (F.col("__sum") - F.col("__r")) / F.when(F.col("__n") > 1, F.col("__n") - 1)
-    out = rows.join(stats, group).withColumn("advantage", F.col("__r") - others).drop("__r", "__sum", "__n")
+    out = _with_group(rows, stats, group).withColumn("advantage", F.col("__r") - others).drop("__r", "__sum", "__n")
     if normalize:
         s = out.agg(F.struct(F.avg("advantage").alias("m"), F.stddev_samp("advantage").alias("s")).alias("x")).scalar()
         out = out.withColumn("advantage", (F.col("advantage") - s["m"]) / (s["s"] + 1e-4))
@@ -87,7 +93,7 @@ def zscore_advantages(df: DataFrame, reward: str = "reward", group: str | None =
     if group is None:
         z = df.agg(both).scalar()
         return df.withColumn("advantage", (F.col(reward) - z["m"]) / (z["s"] + 1e-8))
-    rows = df.join(df.groupBy(group).agg(both), group)
+    rows = _with_group(df, df.groupBy(group).agg(both), group)
     z = F.col("__z")
     return rows.withColumn("advantage", (F.col(reward) - z["m"]) / (z["s"] + 1e-8)).drop("__z")
 

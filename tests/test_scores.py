@@ -185,3 +185,12 @@ def test_running_mean_stream_over_batches(spark, tmp_path):
         S.upsert_to(S.running_means(stream, "k", "v"), base + "/out", base + "/state").awaitTermination()
     row = S.latest(spark.read.parquet(base + "/out"), "k").first()
     assert (row["mean"], row["n"]) == (4.0, 3)
+
+
+def test_null_groups_are_kept(spark):
+    from pairloom.operators import rollouts
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 2.0), (None, 6.0)], "g string, reward double")
+    assert [r.advantage for r in rollouts.group_advantages(df, "g", scale="none").orderBy("reward").collect()] == [-1.0, -2.0, 1.0, 2.0]
+    assert [r.advantage for r in rollouts.leave_one_out_advantages(df, "g").orderBy("reward").collect()] == [-2.0, -4.0, 2.0, 4.0]
+    assert rollouts.zscore_advantages(df, "reward", "g").count() == 4
