@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pairloom.functions.arrays import let
 from pairloom.functions.text import SPACES
 
-FENCE = "```(?:json)?[" + SPACES + "]*|[" + SPACES + "]*```"
+FENCE = "```[a-z]*[" + SPACES + "]*|[" + SPACES + "]*```"
 
 
 def strict_variant(text: Column) -> Column:
@@ -33,7 +33,7 @@ def is_json(text: Column) -> Column:
 
 
 def strip_fences(text: Column) -> Column:
-    """Remove code fences with an optional ``json`` tag."""
+    """Remove code fences with any lower-case tag."""
     return F.regexp_replace(text, FENCE, "")
 
 

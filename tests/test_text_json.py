@@ -201,3 +201,10 @@ def test_records_across_file_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     got = sorted((r["record_no"], r["input"]) for r in records)
     assert got == [(i, f"record {i}") for i in range(3000)]
+
+
+def test_fences_with_any_tag(spark):
+    from pairloom.functions import jsonx
+
+    df = spark.createDataFrame([("```python\n{}\n```",), ("```json {}```",), ("```{}```",)], "t string")
+    assert [r[0] for r in df.select(jsonx.strip_fences(F.col("t"))).collect()] == ["{}"] * 3
