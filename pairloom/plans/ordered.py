@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 BLOCK = "__block"
@@ -99,40 +99,48 @@ def hash_number(key: Column, seed: int | str = 42) -> Column:
 
 
 BUCKETS = 1 << 16
-SMALL = 100_000
+
+
+def _bucket(c: Column, low, high) -> Column:
+    """Number of a value's bucket between ``low`` and ``high``, never decreasing with the value.
+
+    Linear where the range is finite. Otherwise five classes: negative infinity, negative, other
+    finite, infinity, NaN (which Spark sorts last); the next round then has a finite range.
+    """
+    d, span = c.cast("double"), float(high) - float(low)
+    if math.isfinite(span):
+        return F.least(F.floor((d - float(low)) / span * BUCKETS), F.lit(BUCKETS - 1))
+    infinity = F.lit(math.inf)
+    return F.when(F.isnan(d), 4).when(d == infinity, 3).when(d == -infinity, 0).when(d < 0, 1).otherwise(2)
 
 
 def kth_smallest(df: DataFrame, columns: list[str], k: int):
     """The ``k``-th row (1-based) by numeric ``columns``, as a Row; None beyond the end.
 
-    A search over a histogram of at most 65,536 buckets: each round is one aggregation
-    with map-side combine and narrows the value range by that factor, so the data are
-    neither sorted nor moved. Only the last bucket (at most ``SMALL`` rows) is sorted.
+    Rows with a NULL in a column take no part. A search over a histogram of at most 65,536 buckets: each
+    round is one aggregation with map-side combine and narrows the value range by that factor until
+    a bucket holds one value. The data are neither sorted nor moved, whatever their number.
     """
-    rows, left = df.select(*columns), k
-    for i, name in enumerate(columns):
+    rows, left, found = df.select(*columns), k, {}
+    for name in columns:
         c = F.col(name)
+        rows = rows.filter(c.isNotNull())
         bounds = rows.agg(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).first()
-        n, low, high = bounds["n"], bounds["lo"], bounds["hi"]
-        if left < 1 or left > n:
+        low, high = bounds["lo"], bounds["hi"]
+        if left < 1 or left > bounds["n"]:
             return None
-        while n > SMALL and low != high:
-            scaled = (c.cast("double") - float(low)) / (float(high) - float(low))
-            bucket = F.least(F.floor(scaled * BUCKETS), F.lit(BUCKETS - 1))
-            histogram = rows.groupBy(bucket.alias("b")).agg(
+        while not (low == high or low != low):  # the latter: only NaN is left
+            histogram = rows.groupBy(_bucket(c, low, high).alias("b")).agg(
                 F.count(F.lit(1)).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")
             )
             upto = F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
             hit = histogram.withColumn("upto", upto).filter(F.col("upto") >= left).orderBy("b").first()
             left -= hit["upto"] - hit["n"]
-            n, low, high = hit["n"], hit["lo"], hit["hi"]
+            low, high = hit["lo"], hit["hi"]
             rows = rows.filter(c.between(F.lit(low), F.lit(high)))
-        if n <= SMALL:
-            return rows.orderBy(*columns).offset(left - 1).limit(1).first()
+        found[name] = low
         rows = rows.filter(c == F.lit(low))
-        if i == len(columns) - 1:
-            return rows.first()
-    return None
+    return Row(**found)
 
 
 def exact_quantile(df: DataFrame, column: str, q: float) -> float | None:

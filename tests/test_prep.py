@@ -65,9 +65,7 @@ def test_pair_budget(spark):
     assert P.truncate_pair(df, 18, 5).first()["prompt"] == list(range(10))
 
 
-@pytest.mark.parametrize("small", [100_000, 20])
-def test_splits(spark, monkeypatch, small):
-    monkeypatch.setattr(ordered, "SMALL", small)  # the small limit forces the histogram search
+def test_splits(spark):
     df = spark.range(185).withColumnRenamed("id", "row_id")
     first = {r["row_id"]: r["split"] for r in P.split_exact(df, "row_id").collect()}
     again = {r["row_id"]: r["split"] for r in P.split_exact(df.repartition(7), "row_id").collect()}
@@ -78,9 +76,7 @@ def test_splits(spark, monkeypatch, small):
     assert P.sample_exact(df, "row_id", 500).count() == 185
 
 
-@pytest.mark.parametrize("small", [100_000, 3])
-def test_order_statistics(spark, monkeypatch, small):
-    monkeypatch.setattr(ordered, "SMALL", small)
+def test_order_statistics(spark):
     rng = random.Random(5)
     values = [(rng.choice([1, 1, 1, 5, 7, 10**15 + 1, -3]), i) for i in range(200)]
     df = spark.createDataFrame(values, "a bigint, b bigint")
@@ -88,6 +84,10 @@ def test_order_statistics(spark, monkeypatch, small):
     for k in (1, 2, 57, 100, 199, 200):
         assert tuple(ordered.kth_smallest(df, ["a", "b"], k)) == wanted[k - 1]
     assert ordered.kth_smallest(df, ["a", "b"], 201) is None and ordered.kth_smallest(df, ["a"], 0) is None
+    wide = [float("-inf"), -1e308, -2.0, -2.0, 0.0, 3.5, 1e308, float("inf"), float("inf")]
+    mixed = spark.createDataFrame([(v,) for v in [*wide, float("nan"), None]], "v double")
+    assert [ordered.kth_smallest(mixed, ["v"], k)["v"] for k in range(1, 10)] == wide
+    assert math.isnan(ordered.kth_smallest(mixed, ["v"], 10)["v"]) and ordered.kth_smallest(mixed, ["v"], 11) is None
     numbers = sorted(rng.gauss(0, 3) for _ in range(101))
     frame = spark.createDataFrame([(v,) for v in numbers], "v double")
     for q in (0.0, 0.25, 0.333, 0.8, 1.0):
