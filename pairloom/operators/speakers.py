@@ -92,30 +92,27 @@ def ward_labels(n: int, merges: list[tuple[float, int, int]], k: int) -> np.ndar
     return np.array([seen.setdefault(r, len(seen)) for r in roots])
 
 
-def silhouette(x: np.ndarray, labels: np.ndarray, rows: int = 512) -> float:
-    """Mean silhouette, distances taken ``rows`` at a time."""
-    groups = np.unique(labels)
-    member = (labels[:, None] == groups[None, :]).astype(float)
-    counts = member.sum(0)
-    total = 0.0
+def silhouettes(x: np.ndarray, labellings: list[np.ndarray], rows: int = 512) -> list[float]:
+    """Mean silhouette of each labelling; distances are taken once, ``rows`` at a time."""
     squares = (x * x).sum(1)
+    members = [(labels[:, None] == np.arange(labels.max() + 1)[None, :]).astype(float) for labels in labellings]
+    totals = np.zeros(len(labellings))
     for start in range(0, len(x), rows):
         part = slice(start, start + rows)
         distance = np.sqrt(np.maximum(squares[part, None] + squares[None, :] - 2 * x[part] @ x.T, 0))
         distance[np.arange(distance.shape[0]), np.arange(start, start + distance.shape[0])] = 0
-        sums = distance @ member
-        own = labels[part][:, None] == groups[None, :]
-        size = counts[None, :] - own
-        mean = sums / np.maximum(size, 1)
-        a = mean[own]
-        b = np.where(own, np.inf, mean).min(1)
-        score = (b - a) / np.maximum(np.maximum(a, b), 1e-300)
-        total += np.where(counts[np.searchsorted(groups, labels[part])] > 1, score, 0.0).sum()
-    return total / len(x)
+        for i, member in enumerate(members):
+            own, counts = member[part] > 0, member.sum(0)
+            mean = (distance @ member) / np.maximum(counts[None, :] - own, 1)
+            a = mean[own]
+            b = np.where(own, np.inf, mean).min(1)
+            score = (b - a) / np.maximum(np.maximum(a, b), 1e-300)
+            totals[i] += np.where(counts[own.argmax(1)] > 1, score, 0.0).sum()
+    return list(totals / len(x))
 
 
 def cluster(x: np.ndarray, max_k: int = 5) -> tuple[int, np.ndarray]:
-    """Number of speakers with the best silhouette, from 2 up, and the labels for it.
+    """Number of speakers with the best silhouette, from 2 up (the smallest of equals), and the labels for it.
 
     One chunk is one speaker; two chunks are two.
     """
@@ -123,20 +120,18 @@ def cluster(x: np.ndarray, max_k: int = 5) -> tuple[int, np.ndarray]:
     if n == 1:
         return 1, np.zeros(1, int)
     merges = _ward_merges(x)
-    best, best_score = 2, -1.0
-    for k in range(2, min(max_k, n - 1) + 1):
-        score = silhouette(x, ward_labels(n, merges, k))
-        if score > best_score:
-            best, best_score = k, score
-    return best, ward_labels(n, merges, best)
+    ks = range(2, max(2, min(max_k, n - 1)) + 1)
+    labellings = [ward_labels(n, merges, k) for k in ks]
+    best = int(np.argmax(silhouettes(x, labellings)))
+    return ks[best], labellings[best]
 
 
-def cluster_speakers(chunks: DataFrame, key: str, max_k: int = 5, max_chunks: int = 200_000) -> DataFrame:
+def cluster_speakers(chunks: DataFrame, key: str, max_k: int = 5) -> DataFrame:
     """(key, chunk_no, k, label) by Ward clustering, each recording on its own.
 
-    The unit of work is one recording; memory grows with its number of chunks, not with the
-    square. Recordings of more than ``max_chunks`` (two months of audio) never enter one
-    task: each is clustered by :func:`cluster_corpus` as a Spark job of its own.
+    One rule for every recording, whatever its length. The unit of work is one recording: memory grows with
+    its number of chunks, time with the square. For a recording of months, where that is too slow, call
+    :func:`cluster_corpus` on it; its clusters are those of k-means.
     """
     key_type = chunks.schema[key].dataType.simpleString()
 
@@ -146,16 +141,7 @@ def cluster_speakers(chunks: DataFrame, key: str, max_k: int = 5, max_chunks: in
         return pd.DataFrame({key: frame[key], "chunk_no": frame["chunk_no"], "k": k, "label": labels})
 
     needed = chunks.select(key, F.col("chunk_no").cast("bigint").alias("chunk_no"), "embedding")
-    sizes = needed.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    large = [row[key] for row in sizes.filter(F.col("__n") > max_chunks).collect()]
-    small = needed.filter(~F.col(key).isin(large)) if large else needed
-    out = small.groupBy(key).applyInPandas(one, f"{key} {key_type}, chunk_no bigint, k bigint, label int")
-    for name in large:
-        k, labelled = cluster_corpus(needed.filter(F.col(key) == F.lit(name)), max_k)
-        out = out.unionByName(
-            labelled.select(key, "chunk_no", F.lit(k).cast("bigint").alias("k"), F.col("label_new").cast("int").alias("label"))
-        )
-    return out
+    return needed.groupBy(key).applyInPandas(one, f"{key} {key_type}, chunk_no bigint, k bigint, label int")
 
 
 def cluster_corpus(chunks: DataFrame, max_k: int = 5, seed: int = 42) -> tuple[int, DataFrame]:
