@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +11,7 @@ from pairloom.functions.arrays import let
 from pairloom.functions.text import SPACES
 
 FENCE = "```[a-z]*[" + SPACES + "]*|[" + SPACES + "]*```"
+REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
 
 
 def strict_variant(text: Column) -> Column:
@@ -18,8 +19,12 @@ def strict_variant(text: Column) -> Column:
 
     Spark's JSON functions read the first value and ignore what follows it. Inside an array
     that ends with a number derived from the text, anything after the first value moves or
-    hides that number.
+    hides that number. Where an object repeats a key the last one counts, which needs the session
+    setting ``REPEATED_KEYS``.
     """
+    session = SparkSession.getActiveSession()
+    if session is None or session.conf.get(REPEATED_KEYS, "false").lower() != "true":
+        raise ValueError(f"set {REPEATED_KEYS} to true: the last of repeated keys counts")
     return F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), F.xxhash64(text).cast("string"), F.lit("]")))
 
 
@@ -90,20 +95,25 @@ def has_keys(names: Column, keys: list[str]) -> Column:
     return F.coalesce(F.array_sort(names) == wanted, F.lit(False))
 
 
-def object_has_keys(text: Column, keys: list[str]) -> Column:
-    """True where JSON text, known to be valid, is an object with exactly these keys."""
-    return has_keys(F.json_object_keys(text), keys)
+def object_keys(variant: Column, path: str = "$[0]") -> Column:
+    """Distinct keys of the object at ``path`` of :func:`strict_variant`; NULL for anything else."""
+    return F.map_keys(F.try_variant_get(variant, path, "map<string,variant>"))
+
+
+def object_has_keys(variant: Column, keys: list[str]) -> Column:
+    """True where the value in :func:`strict_variant` is an object with exactly these keys."""
+    return has_keys(object_keys(variant), keys)
 
 
 def keys_are(text: Column, keys: list[str]) -> Column:
     """True where any text is an object with exactly these keys."""
-    return is_json(text) & object_has_keys(text, keys)
+    return let(strict_variant(text), lambda v: is_strict(v, text) & object_has_keys(v, keys))
 
 
-def items_have_keys(text: Column, path: str, keys: list[str]) -> Column:
-    """True where the array at ``path`` of valid JSON text holds only objects with exactly these keys."""
-    items = F.from_json(F.get_json_object(text, path), T.ArrayType(T.StringType()))
-    return F.coalesce(F.forall(items, lambda item: object_has_keys(item, keys)), F.lit(False))
+def items_have_keys(variant: Column, name: str, keys: list[str]) -> Column:
+    """True where member ``name`` of the value in :func:`strict_variant` is an array of objects with exactly these keys."""
+    items = F.try_variant_get(variant, "$[0]." + name, "array<map<string,variant>>")
+    return F.coalesce(F.forall(items, lambda item: has_keys(F.map_keys(item), keys)), F.lit(False))
 
 
 def _string_member(variant: Column, name: str) -> Column:
@@ -139,4 +149,9 @@ def typed(text: Column, schema: T.StructType) -> Column:
 
     The parse stays in one piece: column pruning would otherwise repeat it for every field.
     """
-    return let(text, lambda x: F.when(is_json(x) & F.json_object_keys(x).isNotNull(), F.from_json(x, schema)))
+
+
+    def parsed(x):
+        return let(strict_variant(x), lambda v: F.when(is_strict(v, x) & object_keys(v).isNotNull(), F.from_json(x, schema)))
+
+    return let(text, parsed)

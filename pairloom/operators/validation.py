@@ -16,12 +16,15 @@ def record_error(line: Column) -> Column:
     """First reason a JSON line is not a valid record; NULL for a valid one."""
 
     def in_record(record):
-        wrong_medicine = ~J.items_have_keys(record, "$.medicines", schemas.MEDICINE_KEYS)
-        return (
-            F.when(~J.is_json(record), F.lit("bad_output"))
-            .when(~J.object_has_keys(record, schemas.RECORD_KEYS), F.lit("wrong_keys"))
-            .when(wrong_medicine, F.lit("wrong_medicine_keys"))
-        )
+        def checked(v):
+            wrong_medicine = ~J.items_have_keys(v, "medicines", schemas.MEDICINE_KEYS)
+            return (
+                F.when(~J.is_strict(v, record), F.lit("bad_output"))
+                .when(~J.object_has_keys(v, schemas.RECORD_KEYS), F.lit("wrong_keys"))
+                .when(wrong_medicine, F.lit("wrong_medicine_keys"))
+            )
+
+        return let(J.strict_variant(record), checked)
 
     def in_output(output):
         return F.when(output.isNotNull(), let(X.strip_marker(output), in_record)).otherwise(

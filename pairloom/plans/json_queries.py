@@ -51,7 +51,7 @@ def _(t):
 
 
 # Every third output loses the comma between its two medicines, every fifth gains a brace.
-# The second repair of the former repeats the key "dosage", which counts as unparsable here.
+# The second repair of the former repeats the key "dosage"; its last value counts.
 BROKEN = (
     "CASE WHEN chunk_no % 3 = 0 THEN replace(found, '\"},{', '\"} {') WHEN chunk_no % 5 = 0 "
     "THEN replace(found, '\"diseases\"', '{\"diseases\"') ELSE found END"
@@ -63,9 +63,11 @@ BROKEN = (
     f"""WITH x AS (SELECT conv_id, chunk_no, {OUTER.format('text')} AS found FROM model_output),
         b AS (SELECT conv_id, chunk_no, {BROKEN} AS broken FROM x),
         r AS (SELECT *, replace(broken, ',{{', ',') AS once FROM b),
-        w AS (SELECT *, regexp_replace(once, '\\}}\\s*\\{{', ',', 'g') AS twice FROM r)
-        SELECT conv_id, chunk_no, CASE WHEN json_valid(broken) THEN broken WHEN json_valid(once) THEN once
-            WHEN json_valid(twice) AND chunk_no % 3 <> 0 THEN twice END AS repaired FROM w""",
+        w AS (SELECT *, regexp_replace(once, '\\}}\\s*\\{{', ',', 'g') AS twice FROM r),
+        f AS (SELECT conv_id, chunk_no, CASE WHEN json_valid(broken) THEN broken WHEN json_valid(once) THEN once
+            WHEN json_valid(twice) THEN twice END AS repaired FROM w)
+        SELECT conv_id, chunk_no, repaired, (SELECT max_by(j.value->>'$', j.id) FROM json_each(repaired, '$.medicines[0]') j
+            WHERE j.key = 'dosage') AS dosage FROM f""",
     ("model_output",),
 )
 def _(t):
@@ -76,7 +78,9 @@ def _(t):
         .otherwise(found)
     )
     rows = t.model_output().select("conv_id", "chunk_no", broken.alias("broken"))
-    return rows.select("conv_id", "chunk_no", J.repair_object(F.col("broken")).alias("repaired"))
+    rows = rows.select("conv_id", "chunk_no", J.repair_object(F.col("broken")).alias("repaired"))
+    dosage = F.try_variant_get(J.strict_variant(F.col("repaired")), "$[0].medicines[0].dosage", "string")
+    return rows.withColumn("dosage", dosage)
 
 
 FALLBACK = f"coalesce({json_or_null(OUTER.format('text'))}, {json_or_null(OUTER.format(FENCES))})"
@@ -130,7 +134,10 @@ def med_exact(record: str) -> str:
 @query("med_keys_exact", f"SELECT row_id, {med_exact(RECORD)} AS exact FROM pairs", ("pairs",))
 def _(t):
     record = X.strip_marker(F.col("output"))
-    exact = let(record, lambda r: J.is_json(r) & J.items_have_keys(r, "$.medicines", schemas.MEDICINE_KEYS))
+    exact = let(
+        record,
+        lambda r: let(J.strict_variant(r), lambda v: J.is_strict(v, r) & J.items_have_keys(v, "medicines", schemas.MEDICINE_KEYS)),
+    )
     return t.pairs().select("row_id", exact.alias("exact"))
 
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from pairloom import schemas
@@ -103,6 +104,33 @@ def test_repair(spark):
     assert one(spark, '```json\n{"a": "é"}\n```', J.recover_object) == '{"a": "é"}'
 
 
+def test_last_of_repeated_keys_counts(spark):
+    import json
+
+    from pyspark.sql import types as T
+
+    texts = ['{"a":"1","a":"2"}', '{"a":"1","b":"x","a":"3"}', '{"a":{"b":"1"},"a":"5","a":"6"}']
+    schema = T.StructType([T.StructField("a", T.StringType())])
+    for text in texts:
+        want = json.loads(text)
+        assert one(spark, text, lambda c: J.text_field(c, "a")) == want["a"]
+        assert one(spark, text, lambda c: J.typed(c, schema)["a"]) == want["a"]
+        assert one(spark, text, lambda c: J.keys_are(c, sorted(want)))
+    broken = '{"m":[{"a":"1","b":"2"} {"a":"3"}]}'
+    repaired = one(spark, broken, J.repair_object)
+    assert json.loads(repaired) == {"m": [{"a": "3", "b": "2"}]}
+    assert one(spark, FULL % SIX.replace('{"name"', '{"name":"z","name"') + "x", lambda c: J.keys_are(c, ["a"])) is False
+
+
+def test_setting_for_repeated_keys_is_asked_for(spark):
+    spark.conf.set(J.REPEATED_KEYS, "false")
+    try:
+        with pytest.raises(ValueError):
+            J.is_json(F.col("x"))
+    finally:
+        spark.conf.set(J.REPEATED_KEYS, "true")
+
+
 FULL = '{"medicines":[%s],"diseases":[],"symptoms":[],"tests":[],"instructions":[]}'
 SIX = '{"name":"a","dosage":"b","frequency":"c","duration":"d","route":"e","timing":"f"}'
 FIVE = '{"name":"a","dosage":"b","frequency":"c","duration":"d","route":"e"}'
