@@ -25,8 +25,8 @@ def merge_values(entities: DataFrame, conv: str = "conv_id") -> DataFrame:
 
 
 def merge_concat(entities: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """Medicines and tests as they come; a disease only from the first chunk that has it."""
-    kept = entities.filter(F.col("kind") != "disease").select(conv, "kind", "chunk_no", "pos", "name")
+    """Medicines and tests as they come, with all their fields; a disease only from the first chunk that has it."""
+    kept = entities.filter(F.col("kind") != "disease")
     in_chunk = (
         entities.filter(F.col("kind") == "disease")
         .groupBy(conv, "name", "chunk_no")
@@ -36,7 +36,7 @@ def merge_concat(entities: DataFrame, conv: str = "conv_id") -> DataFrame:
     diseases = first.select(
         conv, F.lit("disease").alias("kind"), "first.chunk_no", F.explode("first.places").alias("pos"), "name"
     )
-    return kept.unionByName(diseases)
+    return kept.unionByName(diseases, allowMissingColumns=True)
 
 
 def merged_document(entities: DataFrame, conv: str = "conv_id") -> DataFrame:
@@ -47,7 +47,7 @@ def merged_document(entities: DataFrame, conv: str = "conv_id") -> DataFrame:
     disease = F.col("kind") == "disease"
     key = F.when(disease, F.col("name")).otherwise(F.lower(F.coalesce("name", F.lit(""))))
     keyed = entities.withColumn("key", key).filter(~disease | (F.coalesce("name", F.lit("")) != ""))
-    fields = F.struct("chunk_no", "pos", "name", "dosage", "frequency", "duration", "timing")
+    fields = F.struct("chunk_no", "pos", "name", "dosage", "frequency", "duration", "route", "timing")
     first = keyed.groupBy(conv, "kind", "key").agg(F.min_by(fields, F.struct("chunk_no", "pos")).alias("f"))
 
     def listed(kind, names):
@@ -55,7 +55,7 @@ def merged_document(entities: DataFrame, conv: str = "conv_id") -> DataFrame:
         return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, item)))["item"]
 
     return first.groupBy(conv).agg(
-        listed("medicine", ["name", "dosage", "frequency", "duration"]).alias("medicines"),
+        listed("medicine", ["name", "dosage", "frequency", "duration", "route", "timing"]).alias("medicines"),
         listed("disease", ["name"])["name"].alias("diseases"),
         listed("test", ["name", "timing"]).alias("tests"),
     )

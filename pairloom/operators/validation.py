@@ -115,7 +115,7 @@ def field_coverage(records: DataFrame, column: str = "record") -> DataFrame:
 
 
 def explode_entities(records: DataFrame, keys: list[str], column: str = "record") -> DataFrame:
-    """One row per medicine, test and disease: (keys, kind, pos, name, dosage, frequency, duration, timing)."""
+    """One row per medicine, test and disease: (keys, pos, kind, name, dosage, frequency, duration, route, timing)."""
     record, none = F.col(column), F.lit(None).cast("string")
 
     def entry(kind, name, m=None):
@@ -127,6 +127,7 @@ def explode_entities(records: DataFrame, keys: list[str], column: str = "record"
             (field("dosage") if medicine else none).alias("dosage"),
             (field("frequency") if medicine else none).alias("frequency"),
             (field("duration") if medicine else none).alias("duration"),
+            (field("route") if medicine else none).alias("route"),
             (field("timing") if kind != "disease" else none).alias("timing"),
         )
 

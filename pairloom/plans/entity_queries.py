@@ -56,7 +56,7 @@ def entities(t):
 
 @query(
     "merge_named",
-    f"""SELECT conv_id, kind, lower(coalesce(name, '')) AS key, chunk_no, pos, name, dosage, frequency, duration, timing
+    f"""SELECT conv_id, kind, lower(coalesce(name, '')) AS key, chunk_no, pos, name, dosage, frequency, duration, route, timing
         FROM ({ENTITIES}) WHERE kind <> 'disease'
         QUALIFY row_number() OVER (PARTITION BY conv_id, kind, lower(coalesce(name, '')) ORDER BY chunk_no, pos) = 1""",
     ("model_output",),
@@ -77,7 +77,7 @@ def _(t):
 
 @query(
     "merge_concat",
-    f"""SELECT conv_id, kind, chunk_no, pos, name FROM ({ENTITIES})
+    f"""SELECT conv_id, kind, chunk_no, pos, name, dosage, frequency, duration, route, timing FROM ({ENTITIES})
         QUALIFY kind <> 'disease' OR chunk_no = min(chunk_no) OVER (PARTITION BY conv_id, kind, name)""",
     ("model_output",),
 )

@@ -218,10 +218,10 @@ def _(t):
 
 
 ENTITIES = f"""SELECT conv_id, chunk_no, 'medicine' AS kind, pos, m->>'$.name' AS name, m->>'$.dosage' AS dosage,
-        m->>'$.frequency' AS frequency, m->>'$.duration' AS duration, m->>'$.timing' AS timing FROM ({MEDS})
-      UNION ALL SELECT conv_id, chunk_no, 'test', generate_subscripts(x, 1) - 1, unnest(x)->>'$.name', NULL, NULL, NULL, unnest(x)->>'$.timing'
+        m->>'$.frequency' AS frequency, m->>'$.duration' AS duration, m->>'$.route' AS route, m->>'$.timing' AS timing FROM ({MEDS})
+      UNION ALL SELECT conv_id, chunk_no, 'test', generate_subscripts(x, 1) - 1, unnest(x)->>'$.name', NULL, NULL, NULL, NULL, unnest(x)->>'$.timing'
         FROM (SELECT conv_id, chunk_no, json_extract(found, '$.tests[*]') AS x FROM ({FOUND}))
-      UNION ALL SELECT conv_id, chunk_no, 'disease', generate_subscripts(x, 1) - 1, unnest(x)->>'$', NULL, NULL, NULL, NULL
+      UNION ALL SELECT conv_id, chunk_no, 'disease', generate_subscripts(x, 1) - 1, unnest(x)->>'$', NULL, NULL, NULL, NULL, NULL
         FROM (SELECT conv_id, chunk_no, json_extract(found, '$.diseases[*]') AS x FROM ({FOUND}))"""
 
 

@@ -119,8 +119,9 @@ def test_merge_entities(spark):
         (1, 0, "disease", 0, "flu"), (1, 0, "disease", 1, "flu"), (1, 1, "disease", 0, "Flu"), (1, 2, "disease", 0, "flu"), (1, 2, "disease", 1, ""),
     ]
     df = spark.createDataFrame(rows, "conv_id int, chunk_no int, kind string, pos int, name string")
-    for c in ("dosage", "frequency", "duration", "timing"):
-        df = df.withColumn(c, F.lit("x"))
+    fields = ["dosage", "frequency", "duration", "route", "timing"]
+    for c in fields:
+        df = df.withColumn(c, F.lit(c[0]))
     named = M.merge_named(df).orderBy("chunk_no", "pos").collect()
     assert [(r["name"], r["chunk_no"]) for r in named] == [("Metformin", 0), (None, 1)]
     assert sorted(r["name"] for r in M.merge_values(df).collect()) == ["Flu", "flu"]
@@ -128,6 +129,9 @@ def test_merge_entities(spark):
     assert [(r["name"], r["chunk_no"]) for r in concat] == [("flu", 0), ("flu", 0), ("Flu", 1), ("", 2)]
     doc = M.merged_document(df).first()
     assert [m["name"] for m in doc["medicines"]] == ["Metformin", None] and doc["diseases"] == ["flu", "Flu"] and doc["tests"] == []
+    assert all([m[c] for c in fields] == ["d", "f", "d", "r", "t"] for m in doc["medicines"])
+    whole = M.merge_concat(df).filter("kind = 'medicine'").collect()
+    assert len(whole) == 4 and all(m["route"] == "r" and m["timing"] == "t" for m in whole)
 
 
 def test_model_retries(spark):
