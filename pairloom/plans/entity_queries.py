@@ -40,14 +40,14 @@ FOLDED = "regexp_replace(text, '[^\\x00-\\x7f]', ' ', 'g')"
     "SELECT doc_id, "
     + ", ".join(
         f"array_to_string({found_sql(FOLDED, k)}[1:10], ', ') || CASE WHEN len({found_sql(FOLDED, k)}) > 10 THEN '...' ELSE '' END AS {k}"
-        for k in ("numbers", "english_words")
+        for k in E.PATTERNS
     )
     + " FROM documents",
 )
 def _(t):
     text = F.regexp_replace("text", "[^\\x00-\\x7f]", " ")
     rows = t.spread("documents", "doc_id").select("doc_id", text.alias("text"))
-    return rows.select("doc_id", *[E.shown(E.extract(F.col("text"), k)).alias(k) for k in ("numbers", "english_words")])
+    return rows.select("doc_id", *[E.shown(E.extract(F.col("text"), k)).alias(k) for k in E.PATTERNS])
 
 
 def entities(t):
