@@ -135,7 +135,7 @@ def signatures(docs: DataFrame, id_col: str, text: str, n: int, percent: int) ->
 
 
 def compare_with_pivot(members: DataFrame, n: int, percent: int) -> DataFrame:
-    """Differences of members from their pivot.
+    """Differences of members from their pivot: what the member has beyond it, and a bit for each pivot shingle it lacks.
 
     ``members``: pivot, salt, lead (true for the pivot's own row, which is sorted first), node, alone (no third
     set in their lists, so no difference is kept), text. The rows are a sorted stream: a task holds one pivot set and one member.
@@ -144,31 +144,32 @@ def compare_with_pivot(members: DataFrame, n: int, percent: int) -> DataFrame:
     def compare(batches):
         current, pivot_set = None, None
         for batch in batches:
-            out = {k: [] for k in ("pivot", "node", "alone", "size", "linked", "delta")}
+            out = {k: [] for k in ("pivot", "node", "alone", "size", "linked", "extra", "lacks")}
             pivots, salts, leads, nodes, alone = (batch.column(i).to_pylist() for i in range(5))
             for i, s in enumerate(row_sets(batch.column(5), n)):
                 if leads[i]:
                     current, pivot_set = (pivots[i], salts[i]), s
                     continue
                 assert current == (pivots[i], salts[i])
-                delta = np.setxor1d(s, pivot_set, assume_unique=True)
-                union = (len(s) + len(pivot_set) + len(delta)) // 2
+                has = np.isin(pivot_set, s, assume_unique=True)
+                both = int(has.sum())
                 out["pivot"].append(pivots[i])
                 out["node"].append(nodes[i])
                 out["size"].append(len(s))
                 out["alone"].append(alone[i])
-                out["linked"].append(100 * (union - len(delta)) >= percent * union)
-                out["delta"].append([] if alone[i] else delta.view(SIGNED))
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+                out["linked"].append(100 * both >= percent * (len(s) + len(pivot_set) - both))
+                out["extra"].append(b"" if alone[i] else s[np.isin(s, pivot_set, assume_unique=True, invert=True)].tobytes())
+                out["lacks"].append(b"" if alone[i] else np.packbits(~has).tobytes())
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
             yield pa.record_batch({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
 
-    schema = "pivot bigint, node bigint, alone boolean, size bigint, linked boolean, delta array<bigint>"
+    schema = "pivot bigint, node bigint, alone boolean, size bigint, linked boolean, extra binary, lacks binary"
     ordered = members.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.desc("lead"))
     return ordered.select("pivot", "salt", "lead", "node", "alone", "t").mapInArrow(compare, schema)
 
 
 def joining_edges(left: list, right: list | None, percent: int) -> list[tuple[int, int]]:
-    """Edges between members (node, size, linked, delta) of one block, or of two, that connect anything new."""
+    """Edges between members (node, size, linked, extra, lacks) of one block, or of two, that connect anything new."""
     rows = left + (right or [])
     parent = list(range(len(rows)))
 
@@ -182,21 +183,22 @@ def joining_edges(left: list, right: list | None, percent: int) -> list[tuple[in
     for i, r in enumerate(rows):
         if r[2]:
             parent[i] = anchor
-    tokens = np.concatenate([np.asarray(r[3], SIGNED) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
+    extras = [np.frombuffer(r[3], np.uint64) for r in rows]
+    lacks = np.stack([np.frombuffer(r[4], np.uint8) for r in rows])  # one pivot, so one width
+    tokens = np.concatenate(extras)
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x in extras])
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
     sizes = np.array([r[1] for r in rows])
-    deltas = np.array([len(r[3]) for r in rows])
+    deltas = np.array([len(x) for x in extras]) + np.bitwise_count(lacks).sum(axis=1, dtype=np.int64)
     edges = []
     for i in range(len(left)):
         if right is None and i == 0:
             continue
-        own = np.asarray(rows[i][3], SIGNED)
-        lo, hi = np.searchsorted(tokens, own), np.searchsorted(tokens, own, "right")
+        lo, hi = np.searchsorted(tokens, extras[i]), np.searchsorted(tokens, extras[i], "right")
         width = hi - lo
-        at = np.repeat(lo - np.concatenate(([0], np.cumsum(width)[:-1])), width) + np.arange(width.sum())
-        shared = np.bincount(owner[at], minlength=len(rows))
+        at = np.repeat(lo - np.cumsum(width) + width, width) + np.arange(width.sum())
+        shared = np.bincount(owner[at], minlength=len(rows)) + np.bitwise_count(lacks & lacks[i]).sum(axis=1, dtype=np.int64)
         differ = deltas[i] + deltas - 2 * shared
         union = (sizes[i] + sizes + differ) // 2
         ok = 100 * (union - differ) >= percent * union
@@ -235,14 +237,14 @@ def derived_edges(compared: DataFrame, percent: int) -> DataFrame:
             ),
         )
     )
-    spread = rows.select("pivot", F.explode(pairs).alias("pair"), "kind", "block", "node", "size", "linked", "delta").select(
-        "pivot", "pair.i", "pair.k", "pair.j", "kind", "block", "node", "size", "linked", "delta"
+    spread = rows.select("pivot", F.explode(pairs).alias("pair"), "kind", "block", "node", "size", "linked", "extra", "lacks").select(
+        "pivot", "pair.i", "pair.k", "pair.j", "kind", "block", "node", "size", "linked", "extra", "lacks"
     )
 
     def work(key, group):
         _, i, k, j = (x.as_py() for x in key)
         members = group.to_pylist()
-        pick = lambda kind, block: [(m["node"], m["size"], m["linked"], m["delta"]) for m in members if m["kind"] == kind and m["block"] == block]
+        pick = lambda kind, block: [(m["node"], m["size"], m["linked"], m["extra"], m["lacks"]) for m in members if m["kind"] == kind and m["block"] == block]
         left = pick("U", i)
         right = None if (k, i) == ("U", j) else pick(k, j)
         edges = joining_edges(left, right, percent) if left and (right is None or right) else []
