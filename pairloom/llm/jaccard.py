@@ -293,17 +293,35 @@ def labelled(docs: DataFrame, id_col: str, text: str, n: int, percent: int) -> D
     index = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = index.groupBy("token").count().filter("count > 1").select("token")
     # Linked sizes differ by less than one step of this scale, so lists part where a step is empty.
-    step = F.floor(F.ln("n") / (math.log(100 / percent) * (1 + 1e-9) + 1e-12))
-    near = save(index.join(shared, "token").withColumn("step", step), "index")
-    steps = near.groupBy("token", "step").agg(F.count("*").alias("rows"), F.min(F.struct("pos", "n", "node")).alias("first"))
+    step_of = lambda n: F.floor(F.ln(n) / (math.log(100 / percent) * (1 + 1e-9) + 1e-12))
+    near = save(index.join(shared, "token").withColumn("step", step_of(F.col("n"))), "index")
+    # The first common shingle of two linked sets stands this early in the smaller one; two late ones prove nothing.
+    early = lambda pos, n: pos <= n - F.ceil(n * (2 * percent) / (100 + percent))
+    steps = near.groupBy("token", "step").agg(
+        F.count("*").alias("rows"), F.count_if(early(F.col("pos"), F.col("n"))).alias("soon"), F.min(F.struct("pos", "n", "node")).alias("first")
+    )
     order = Window.partitionBy("token").orderBy("step")  # one row a step: a few hundred at most
-    steps = steps.withColumn("new", (F.col("step") - F.lag("step").over(order) > 1).cast("int"))
+    beside = lambda c, f: F.when(F.abs(f("step").over(order) - F.col("step")) == 1, f(c).over(order)).otherwise(0)
+    around = lambda c: F.col(c) + beside(c, F.lag) + beside(c, F.lead)
+    steps = steps.withColumns({
+        "new": (F.col("step") - F.lag("step").over(order) > 1).cast("int"), "near_rows": around("rows"), "near_soon": around("soon"),
+    })
     steps = steps.withColumn("part", F.sum(F.coalesce("new", F.lit(0))).over(order))
     lists = steps.groupBy("token", "part").agg(F.sum("rows").alias("size"), F.min("first").alias("first")).filter("size > 1")
-    lists = steps.select("token", "step", "part").join(lists, ["token", "part"])
-    lists = lists.select("token", "step", "size", F.col("first.n").alias("n0"), F.col("first.node").alias("pivot"))
+    lists = steps.select("token", "step", "near_rows", "near_soon", "part").join(lists, ["token", "part"])
+    pivot_soon = early(F.col("first.pos"), F.col("first.n"))
+    pivot_near = F.abs(step_of(F.col("first.n")) - F.col("step")) <= 1
+    # Sets of a list that may link with an early or a late member of this step, besides itself and the pivot.
+    lists = lists.select(
+        "token", "step", "size", F.col("first.n").alias("n0"), F.col("first.node").alias("pivot"), pivot_soon.alias("pivot_soon"),
+        (F.col("near_rows") - 1 - pivot_near.cast("int")).alias("of_early"), (F.col("near_soon") - (pivot_near & pivot_soon).cast("int")).alias("of_late"),
+    )
+    soon = early(F.col("pos"), F.col("n"))
     met = near.join(lists, ["token", "step"]).filter("node <> pivot").groupBy("pivot", "node")
-    met = met.agg(F.max("size").alias("size"), F.count("*").alias("both"), F.first("n").alias("n"), F.first("n0").alias("n0"))
+    met = met.agg(
+        F.max("size").alias("size"), F.max(F.when(soon, F.col("of_early")).otherwise(F.col("of_late"))).alias("others"),
+        F.max(soon | F.col("pivot_soon")).alias("direct"), F.count("*").alias("both"), F.first("n").alias("n"), F.first("n0").alias("n0"),
+    )
     # Two sets that meet only in lists of their own share exactly these shingles of their prefixes; the rest of each
     # set bounds the overlap.
     prefix = lambda n: n - F.ceil(n * percent / 100) + 1
@@ -311,7 +329,10 @@ def labelled(docs: DataFrame, id_col: str, text: str, n: int, percent: int) -> D
         F.least(F.col("n") - prefix(F.col("n")), F.col("n0") - F.col("both")), F.least(F.col("n0") - prefix(F.col("n0")), F.col("n") - F.col("both"))
     )
     possible = (F.col("both") + rest) * (100 + percent) >= (F.col("n") + F.col("n0")) * percent
-    met = save(met.filter((F.col("size") > 2) | possible).select("pivot", "node", (F.col("size") == 2).alias("alone")), "met")
+    # Without others, a member can link with the pivot only, and where that is ruled out as well, with nothing here.
+    alone = F.col("others") == 0
+    fits = F.col("direct") & (F.least("n", "n0") * 100 >= F.greatest("n", "n0") * percent)
+    met = save(met.filter(~alone | (fits & ((F.col("size") > 2) | possible))).select("pivot", "node", alone.alias("alone")), "met")
 
     per_pivot = met.groupBy("pivot").agg(F.count("*").alias("all"))
     member_rows = met.join(per_pivot, "pivot")
