@@ -11,8 +11,8 @@ fewer words; empty without words or for null). Two documents link when
    ``n - ceil(n * percent / 100) + 1`` of each (prefix filter). Those prefixes are the index.
 3. Index lists part where no sizes are near enough to link, and are skipped by position: a list's pivot is the
    set in which the shingle stands first, that is the one with the fewest rarer shingles. Every other member is
-   compared with the pivot only, exactly (two sets alone in their lists only if their prefixes leave
-   enough overlap). The comparison yields the member's difference from the pivot.
+   compared with the pivot only, exactly (two sets alone in their lists only if their sizes and places allow
+   a link). The comparison yields the member's difference from the pivot.
 4. Answers of similar sets are derived from these differences: for members x, y of one pivot,
    |x ^ y| = |dx| + |dy| - 2 |dx & dy|. Members that link with the pivot are connected by it already; only
    pairs with an unlinked member are worked out, in blocks of at most ``BLOCK`` members against blocks, and
@@ -313,26 +313,20 @@ def labelled(docs: DataFrame, id_col: str, text: str, n: int, percent: int) -> D
     pivot_near = F.abs(step_of(F.col("first.n")) - F.col("step")) <= 1
     # Sets of a list that may link with an early or a late member of this step, besides itself and the pivot.
     lists = lists.select(
-        "token", "step", "size", F.col("first.n").alias("n0"), F.col("first.node").alias("pivot"), pivot_soon.alias("pivot_soon"),
+        "token", "step", F.col("first.n").alias("n0"), F.col("first.node").alias("pivot"), pivot_soon.alias("pivot_soon"),
         (F.col("near_rows") - 1 - pivot_near.cast("int")).alias("of_early"), (F.col("near_soon") - (pivot_near & pivot_soon).cast("int")).alias("of_late"),
     )
     soon = early(F.col("pos"), F.col("n"))
     met = near.join(lists, ["token", "step"]).filter("node <> pivot").groupBy("pivot", "node")
     met = met.agg(
-        F.max("size").alias("size"), F.max(F.when(soon, F.col("of_early")).otherwise(F.col("of_late"))).alias("others"),
-        F.max(soon | F.col("pivot_soon")).alias("direct"), F.count("*").alias("both"), F.first("n").alias("n"), F.first("n0").alias("n0"),
+        F.max(F.when(soon, F.col("of_early")).otherwise(F.col("of_late"))).alias("others"),
+        F.max(soon | F.col("pivot_soon")).alias("direct"), F.first("n").alias("n"), F.first("n0").alias("n0"),
     )
-    # Two sets that meet only in lists of their own share exactly these shingles of their prefixes; the rest of each
-    # set bounds the overlap.
-    prefix = lambda n: n - F.ceil(n * percent / 100) + 1
-    rest = F.greatest(
-        F.least(F.col("n") - prefix(F.col("n")), F.col("n0") - F.col("both")), F.least(F.col("n0") - prefix(F.col("n0")), F.col("n") - F.col("both"))
-    )
-    possible = (F.col("both") + rest) * (100 + percent) >= (F.col("n") + F.col("n0")) * percent
     # Without others, a member can link with the pivot only, and where that is ruled out as well, with nothing here.
+    # The lists of one pivot do not bound the overlap: the two share further shingles in lists with other pivots.
     alone = F.col("others") == 0
     fits = F.col("direct") & (F.least("n", "n0") * 100 >= F.greatest("n", "n0") * percent)
-    met = save(met.filter(~alone | (fits & ((F.col("size") > 2) | possible))).select("pivot", "node", alone.alias("alone")), "met")
+    met = save(met.filter(~alone | fits).select("pivot", "node", alone.alias("alone")), "met")
 
     per_pivot = met.groupBy("pivot").agg(F.count("*").alias("all"))
     member_rows = met.join(per_pivot, "pivot")

@@ -260,6 +260,21 @@ def test_jaccard(spark, n, percent):
     assert got == brute_components(texts, n, percent)
 
 
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
+def test_jaccard_lone_pairs_and_triples(spark, n, percent):
+    """Isolated pairs and version triples near the threshold, whose common shingles have now one member, now the other as pivot."""
+    rnd = random.Random(11)
+    edit = lambda w, k: [f"n{rnd.randrange(10**6)}" if i in at else x for at in [set(rnd.sample(range(len(w)), k))] for i, x in enumerate(w)]
+    texts = {}
+    for group in range(240):
+        base = [f"w{rnd.randrange(20000)}" for _ in range(rnd.randrange(60, 140))]
+        for _ in range(2 + group % 2):
+            texts[len(texts)] = " ".join(edit(base, rnd.randrange(4)))
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {k: (s, c) for k, s, c in rows_of(jaccard.similarity_components(df, n=n, percent=percent), "doc_id", "n_shingles", "component_id")}
+    assert got == brute_components(texts, n, percent)
+
+
 def test_jaccard_edges(spark, odd):
     assert jaccard.similarity_components(odd).count() == odd.count()
     kept = jaccard.keep_one(odd)
