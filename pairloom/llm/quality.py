@@ -8,8 +8,8 @@ more than ``line_docs`` documents and more than ``line_percent`` percent of the
 A document that keeps less than ``keep_percent`` percent of its line characters without them is depleted and
 rejected.
 
-Documents that share their longest other line count once, so a group of copies, however large, makes none of its
-lines boilerplate. A null host is the host ''. Null and empty texts have no words and fail. Repeated rows are
+Documents of one text count once, so exact copies, however many, make none of their lines boilerplate; near copies
+are documents of their own. A null host is the host ''. Null and empty texts have no words and fail. Repeated rows are
 judged one by one. An empty table gives an empty result. Windows and lines are compared by 64-bit hashes.
 """
 
@@ -95,8 +95,6 @@ def digests(docs: DataFrame, id_col: str, text: str, host: str) -> DataFrame:
             lambda x: x["c"] > 0,
         ),
     )
-    df = df.withColumn("__long", F.slice(F.sort_array(F.array_distinct("__lines"), asc=False), 1, 2))
-    name = lambda i: F.coalesce(F.xxhash64(F.get("__long", i)["t"]), F.lit(0))
     return df.select(
         "__row",
         "__id",
@@ -108,17 +106,14 @@ def digests(docs: DataFrame, id_col: str, text: str, host: str) -> DataFrame:
         (F.size("__raw") - F.size(F.array_distinct("__raw"))).cast("bigint").alias("n_dup_lines"),
         F.col("__repeat").alias("n_repeat_words"),
         F.transform("__lines", lambda x: F.struct(F.xxhash64(x["t"]).alias("h"), x["c"].alias("c"))).alias("__lines"),
-        name(0).alias("__first"),
-        name(1).alias("__second"),
     )
 
 
 def boilerplate(lines: DataFrame, line_docs: int, line_percent: int) -> DataFrame:
-    """(__host, h) of the lines above the limits. ``lines``: __host, h, __first, __second, one row per line."""
-    as_document = F.when(F.col("h") == F.col("__first"), F.col("__second")).otherwise(F.col("__first"))
-    seen = lines.groupBy("__host", "h", as_document.alias("d")).agg(F.lit(1).alias("one"))
+    """(__host, h) of the lines above the limits. ``lines``: __host, __th, h, one row per line."""
+    seen = lines.groupBy("__host", "h", "__th").agg(F.lit(1).alias("one"))
     counts = seen.groupBy("__host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > line_docs)
-    hosts = lines.groupBy("__host", "__first").agg(F.lit(1).alias("one")).groupBy("__host").agg(F.count("*").alias("all"))
+    hosts = lines.groupBy("__host", "__th").agg(F.lit(1).alias("one")).groupBy("__host").agg(F.count("*").alias("all"))
     return counts.join(hosts, "__host").filter(F.col("n") * 100 > F.col("all") * line_percent).select("__host", "h")
 
 
@@ -134,7 +129,7 @@ def judge(
 ) -> DataFrame:
     """One row per document: text hash ``__th``, measures, ``kept`` and the hashes of its lines to remove, ``__drop``."""
     rows = save(digests(docs, id_col, text, host), "digests")
-    lines = rows.select("__row", "__host", "__first", "__second", F.inline("__lines"))
+    lines = rows.select("__row", "__host", "__th", F.inline("__lines"))
     removed = save(boilerplate(lines, line_docs, line_percent), "boilerplate")
     lost = lines.join(removed, ["__host", "h"]).groupBy("__row")
     lost = lost.agg(F.sum("c").cast("bigint").alias("n_removed_chars"), F.collect_set("h").alias("__drop"))

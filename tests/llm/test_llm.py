@@ -71,6 +71,20 @@ def test_boilerplate_is_removed_and_depleted_documents_go(spark):
     assert all(line not in r["text"] for r in quality.clean(docs).collect())
 
 
+def test_two_shared_lines_are_boilerplate_and_copies_are_not(spark):
+    """The lines that documents share count every document, however long they are; copies of one text count once."""
+    shared = ["we use cookies and similar tools to keep this site working for every reader " * 2, "all rights reserved by the owners of this site and of its many partner sites"]
+    name = lambda i: chr(97 + i % 26) + chr(97 + i // 26)
+    body = lambda i: "\n".join(" ".join(name(i) + name(j) + name(k) for k in range(8)) for j in range(8))
+    rows = [(i, "\n".join([body(i), *shared]), "two") for i in range(40)] + [(40, "\n".join([*shared, "own words"] + ["of this one"] * 5), "two")]
+    rows += [(100 + i, body(100), "copies") for i in range(40)] + [(200 + i, body(200 + i), "copies") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r for r in quality.verdicts(docs).collect()}
+    assert all(got[i]["n_removed_chars"] == sum(len(x.strip()) for x in shared) for i in range(41))
+    assert got[40]["depleted"] and not any(got[i]["depleted"] for i in range(40))
+    assert all(got[i]["n_removed_chars"] == 0 and got[i]["kept"] for i in got if i >= 100)
+
+
 def spelled(text):
     pieces = sentencepieces.loaded(SPM)
     if not text:
