@@ -1,7 +1,7 @@
 """Packing token sequences into blocks of one length.
 
-Both strategies pack within batches of ``batch_rows`` consecutive row ids, so a batch, and
-with it every window and Python group, has a bounded number of rows.
+Both strategies pack within batches of ``batch_rows`` rows that follow each other by key, whatever
+the keys are, so a batch, and with it every window and Python group, has a bounded number of rows.
 """
 
 from __future__ import annotations
@@ -12,9 +12,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.plans import ordered
+from pairloom.plans.scratch import materialize
+
 
 def _batches(df: DataFrame, key: str, ids: str, batch_rows: int) -> DataFrame:
-    return df.select(F.floor(F.col(key) / batch_rows).alias("batch"), key, F.col(ids).alias("ids"))
+    """Rows numbered by key, from range partitions; they are written once, as their borders come from a sample."""
+    ranged = df.select(key, F.col(ids).alias("ids")).repartitionByRange(key)
+    ranged = materialize(ranged.withColumn("__part", F.spark_partition_id()), "packing")
+    ranked = ordered.ranks(ranged, [], F.col("__part"), [key], "__rank")
+    return ranked.select(F.floor((F.col("__rank") - 1) / batch_rows).alias("batch"), key, "ids")
 
 
 def pack_wrapped(df: DataFrame, key: str, length: int, ids: str = "ids", batch_rows: int = 1000) -> DataFrame:

@@ -132,6 +132,16 @@ def test_packing_keeps_every_token(spark):
     assert all(len(r["ids"]) == 10 for r in K.pack_wrapped(df, "row_id", 10, batch_rows=60).orderBy("pack").collect()[:-1])
 
 
+def test_sparse_ids_pack_as_densely_as_consecutive_ones(spark):
+    rng = random.Random(6)
+    rows = [(i, [i] * rng.choice([0, 1, 3, 9, 25])) for i in range(60)]
+    dense = spark.createDataFrame(rows, "row_id bigint, ids array<int>")
+    sparse = dense.withColumn("row_id", (F.col("row_id") - 30) * 10**12 + 7)
+    for pack in (K.pack_wrapped, K.pack_best_fit):
+        packs = [sorted((r["batch"], r["pack"], r["ids"]) for r in pack(df, "row_id", 10, batch_rows=20).collect()) for df in (dense, sparse)]
+        assert packs[0] == packs[1] and {r[0] for r in packs[0]} == {0, 1, 2}
+
+
 def test_best_fit_against_brute_force():
     rng = random.Random(6)
     for _ in range(50):
