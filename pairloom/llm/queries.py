@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import extraction, fixity, jaccard, language, licenses, packing, quality, sentencepieces, suffixes, topk
+from pairloom.llm import extraction, fixity, jaccard, language, licenses, packing, periodic, quality, sentencepieces, suffixes, tokencounts, topk, turnrepair
 from pairloom.llm.store import save, table
 from pyspark.sql import functions as F
 
@@ -56,8 +56,21 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_components(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turnrepair.report(table(spark, sf_dir, "conversations"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.planted(table(spark, sf_dir, "documents")))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_sentencepiece, op3_suffix_array_dedup, op4_language_id, op5_license_scan,
     op6_warc_fixity, op7_best_fit_packing, op8_html_extraction, op9_exact_topk, op10_ngram_jaccard_join,
+    op11_conversation_repair, op12_periodic_runs, op13_token_counts,
 )}
 SQL = {"op1_quality_rules": quality.SQL, "op9_exact_topk": topk.SQL}
