@@ -6,16 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+FIELDS = ["chunk_no", "pos", "name", "dosage", "frequency", "duration", "route", "timing"]
+
+
+def keyed(entities: DataFrame) -> DataFrame:
+    """Add the ``key`` under which entities merge: a disease's text, the lower-case name of anything else.
+
+    A missing name counts as the empty name; diseases without a text go.
+    """
+    disease, name = F.col("kind") == "disease", F.coalesce("name", F.lit(""))
+    return entities.withColumn("key", F.when(disease, name).otherwise(F.lower(name))).filter(~disease | (name != ""))
+
+
+def first_of_key(entities: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """(conv, kind, key, fields): of each key the entity of the smallest (chunk_no, pos), for tables and streams."""
+    first = F.min_by(F.struct(*FIELDS), F.struct("chunk_no", "pos")).alias("first")
+    return keyed(entities).groupBy(conv, "kind", "key").agg(first).select(conv, "kind", "key", "first.*")
+
+
 def merge_named(entities: DataFrame, conv: str = "conv_id") -> DataFrame:
     """Medicines and tests: the first of each lower-case name per conversation and kind.
 
     A missing name counts as the empty name. The winner is found by a mergeable
     aggregate, so copies collapse before the shuffle whatever the size of a conversation.
     """
-    keyed = entities.filter(F.col("kind") != "disease").withColumn("key", F.lower(F.coalesce("name", F.lit(""))))
-    rest = [c for c in keyed.columns if c not in (conv, "kind", "key")]
-    first = F.min_by(F.struct(*rest), F.struct("chunk_no", "pos")).alias("first")
-    return keyed.groupBy(conv, "kind", "key").agg(first).select(conv, "kind", "key", "first.*")
+    return first_of_key(entities.filter(F.col("kind") != "disease"), conv)
 
 
 def merge_values(entities: DataFrame, conv: str = "conv_id") -> DataFrame:
@@ -44,14 +59,10 @@ def merged_document(entities: DataFrame, conv: str = "conv_id") -> DataFrame:
 
     The merges of :func:`merge_named` and :func:`merge_values` in one pass over the entities.
     """
-    disease = F.col("kind") == "disease"
-    key = F.when(disease, F.col("name")).otherwise(F.lower(F.coalesce("name", F.lit(""))))
-    keyed = entities.withColumn("key", key).filter(~disease | (F.coalesce("name", F.lit("")) != ""))
-    fields = F.struct("chunk_no", "pos", "name", "dosage", "frequency", "duration", "route", "timing")
-    first = keyed.groupBy(conv, "kind", "key").agg(F.min_by(fields, F.struct("chunk_no", "pos")).alias("f"))
+    first = first_of_key(entities, conv)
 
     def listed(kind, names):
-        item = F.struct("f.chunk_no", "f.pos", F.struct(*[F.col("f")[n].alias(n) for n in names]).alias("item"))
+        item = F.struct("chunk_no", "pos", F.struct(*names).alias("item"))
         return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, item)))["item"]
 
     return first.groupBy(conv).agg(

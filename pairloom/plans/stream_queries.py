@@ -9,7 +9,7 @@ from pairloom import schemas
 from pairloom.operators import validation as V
 from pairloom.plans.json_queries import ACCEPTED, CHECKED, ENTITIES
 from pairloom.plans.registry import q6, query, r6
-from pairloom.plans.scratch import scratch_dir
+from pairloom.functions.scratch import scratch_dir
 from pairloom.plans.tables import Tables
 from pairloom.streaming import landing as S
 
@@ -44,18 +44,20 @@ def _(t):
 
 @query(
     "stream_merge",
-    f"SELECT DISTINCT conv_id, kind, lower(coalesce(name, '')) AS key FROM ({ENTITIES})",
+    f"""SELECT conv_id, kind, key, chunk_no, pos, name, dosage, frequency, duration, route, timing
+        FROM (SELECT *, CASE WHEN kind = 'disease' THEN name ELSE lower(coalesce(name, '')) END AS key FROM ({ENTITIES}))
+        WHERE kind <> 'disease' OR name <> ''
+        QUALIFY row_number() OVER (PARTITION BY conv_id, kind, key ORDER BY chunk_no, pos) = 1""",
     ("model_output",),
 )
 def _(t):
     base = scratch_dir(t.spark, "merge")
     events = Streamed(t, "events")
-    rows = events.model_output_at().select(
-        "conv_id", "chunk_no", "at", J.typed(J.recover_object(F.col("text")), schemas.PRESCRIPTION).alias("record")
+    rows = events.model_output().select(
+        "conv_id", "chunk_no", J.typed(J.recover_object(F.col("text")), schemas.PRESCRIPTION).alias("record")
     )
-    entities = V.explode_entities(rows, ["conv_id", "chunk_no", "at"])
-    S.append_to(S.first_entities(entities, "conv_id", "at", "60 days"), base + "/out", base + "/state").awaitTermination()
-    return t.spark.read.parquet(base + "/out").select("conv_id", "kind", "key")
+    S.merge_stream(V.explode_entities(rows, ["conv_id", "chunk_no"]), base + "/out", base + "/state").awaitTermination()
+    return S.merged(t.spark, base + "/out")
 
 
 @query("stream_running_mean", f"SELECT event_type, {q6('avg(value)')} AS mean, count(*) AS n FROM events GROUP BY event_type")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pairloom.functions import text as X
+from pairloom.operators import entities as M
 from pairloom.operators import validation as V
 
 LINE = T.StructType([T.StructField("value", T.StringType())])
@@ -62,14 +63,20 @@ def read_checked(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("accepted", F.col("accepted").cast("boolean"))
 
 
-def first_entities(entities: DataFrame, conv: str, time: str, delay: str) -> DataFrame:
-    """The first arrival of each lower-case name per conversation.
+def merge_stream(entities: DataFrame, path: str, checkpoint: str, conv: str = "conv_id") -> StreamingQuery:
+    """Keep the merged entities of every conversation in the table at ``path``, in whatever order chunks arrive.
 
-    State is kept for ``delay`` behind the latest time seen; a name that returns later than
-    that counts as new.
+    State per (conversation, kind, key) is the entity of the smallest (chunk_no, pos) so far, with all its fields; an
+    earlier chunk that arrives late takes its place. Each micro-batch writes the keys it touched; a batch run again after
+    a failure overwrites its own folder, and a restart goes on from the state of the checkpoint. The state has the size
+    of the merged table; choose the RocksDB provider where it outgrows memory.
     """
-    keyed = entities.withColumn("key", F.lower(F.coalesce("name", F.lit(""))))
-    return keyed.withWatermark(time, delay).dropDuplicatesWithinWatermark([conv, "kind", "key"])
+    return upsert_to(M.first_of_key(entities, conv), path, checkpoint)
+
+
+def merged(spark: SparkSession, path: str, conv: str = "conv_id") -> DataFrame:
+    """What :func:`merge_stream` holds now: (conv, kind, key, chunk_no, pos, name and the other fields)."""
+    return latest(spark.read.parquet(path), conv, "kind", "key")
 
 
 def running_means(rewards: DataFrame, key: str, value: str) -> DataFrame:
@@ -77,18 +84,6 @@ def running_means(rewards: DataFrame, key: str, value: str) -> DataFrame:
     return rewards.groupBy(key).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
 
 
-def append_to(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append the rows of a stream to a table until the input is used up."""
-    return (
-        df.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
 def upsert_to(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write changed rows of an aggregation; each micro-batch overwrites its own folder.
 
@@ -107,6 +102,7 @@ def upsert_to(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def latest(df: DataFrame, key: str) -> DataFrame:
-    rest = [c for c in df.columns if c not in (key, "run")]
-    return df.groupBy(key).agg(F.max_by(F.struct(*rest), "run").alias("x")).select(key, "x.*")
+def latest(df: DataFrame, *keys: str) -> DataFrame:
+    """The row of the highest ``run`` per key."""
+    rest = [c for c in df.columns if c not in (*keys, "run")]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "run").alias("x")).select(*keys, "x.*")
