@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import text as X
 from pairloom.functions.arrays import unnest
-from pairloom.plans import ordered
+from pairloom.functions import ordered
 
 
 def transcript(
@@ -111,29 +111,56 @@ def label_segments(chunks: DataFrame, key: str, block_rows: int = 4096) -> DataF
     return runs.join(ends, key).select(key, "start", F.coalesce("__next", "__last").alias("end"), "label")
 
 
-def align_speakers(
-    segments: DataFrame, turns: DataFrame, key: str, seg: str = "seg_no", slot_seconds: float = 3600.0
-) -> DataFrame:
+LEAF_SECONDS = 64.0
+ROOT_LEVEL = 48
+
+
+def _level(start: Column, end: Column, leaf: float) -> Column:
+    """Level of the smallest tree nodes an interval spans two or three of; the root for endless ones."""
+    steps = F.greatest(end - start, F.lit(0.0)) / leaf
+    level = F.ceil(F.log2(F.greatest(steps, F.lit(1.0))))
+    return F.when(start.isNull() | end.isNull(), F.lit(None)).when(steps >= 2.0 ** (ROOT_LEVEL - 1), ROOT_LEVEL).otherwise(level).cast("int")
+
+
+def _in_tree(rows: DataFrame, start: str, end: str, other_levels: Column, leaf: float) -> DataFrame:
+    """Each interval at its own level and at the higher levels the other side uses, at two or three nodes each."""
+    own = F.col("__own")
+    rows = rows.withColumn("__levels", other_levels)
+    levels = F.array_append(F.filter("__levels", lambda x: x > own), own)
+
+    def nodes(level):
+        width = F.pow(F.lit(2.0), level) * leaf
+        whole = F.sequence(F.floor(F.col(start) / width), F.floor(F.greatest(F.col(start), F.col(end)) / width))
+        root = F.array(F.lit(0).cast("bigint"))
+        return F.transform(F.when(level == ROOT_LEVEL, root).otherwise(whole), lambda n: F.struct(level.alias("level"), n.alias("node")))
+
+    at = F.flatten(F.transform(F.array_distinct(levels), nodes))
+    return rows.withColumn("__at", F.explode_outer(at)).drop("__levels")
+
+
+def align_speakers(segments: DataFrame, turns: DataFrame, key: str, seg: str = "seg_no", leaf_seconds: float = LEAF_SECONDS) -> DataFrame:
     """Label each segment with the turn it overlaps most; equal overlaps go to the earlier turn.
 
-    Both sides are spread over time slots, so that recordings meet slot by slot and even
-    a recording with most of the rows is split. The best turn is kept by a mergeable
-    aggregate. Segments without overlap keep a NULL label.
+    Intervals meet in a dyadic tree of time: an interval stands at the level whose nodes are about its length, and
+    once more at each higher level that the other side uses at all (at most ``ROOT_LEVEL``, found by one aggregate).
+    Two overlapping intervals share a node at the level of the longer one. So a turn of 10^9 seconds is three rows, and a
+    recording with most of the rows is dealt out over its nodes. The best turn is kept by a mergeable aggregate.
+    Segments without overlap, or without a time, keep a NULL label.
     """
-    slots = lambda: F.explode(
-        F.sequence(
-            F.floor(F.col("start") / slot_seconds),
-            F.greatest(F.floor(F.col("start") / slot_seconds), F.floor(F.col("end") / slot_seconds)),
-        )
-    )
-    left = segments.select(key, seg, "start", "end", "text", slots().alias("__slot"))
+    left = segments.select(key, seg, "start", "end", "text", _level(F.col("start"), F.col("end"), leaf_seconds).alias("__own"))
     right = turns.select(
         F.col(key).alias("__key"), F.col("start").alias("t_start"), F.col("end").alias("t_end"), F.col("label").alias("t_label"),
-        slots().alias("__t_slot"),
-    )
+        _level(F.col("start"), F.col("end"), leaf_seconds).alias("__own"),
+    ).filter("t_end > t_start")
+    used = lambda rows: rows.agg(F.collect_set("__own").alias("levels")).scalar()
+    left_levels, right_levels = used(left), used(right)
+    left = _in_tree(left, "start", "end", right_levels, leaf_seconds).withColumnRenamed("__own", "__l_own")
+    right = _in_tree(right, "t_start", "t_end", left_levels, leaf_seconds).withColumnsRenamed({"__own": "__r_own", "__at": "__t_at"})
     meet = (
         (F.col(key) == F.col("__key"))
-        & (F.col("__slot") == F.col("__t_slot"))
+        & (F.col("__at")["level"] == F.col("__t_at")["level"])
+        & (F.col("__at")["node"] == F.col("__t_at")["node"])
+        & (F.col("__at")["level"] == F.greatest("__l_own", "__r_own"))
         & (F.col("start") < F.col("t_end"))
         & (F.col("end") > F.col("t_start"))
     )

@@ -119,14 +119,15 @@ def _(t):
 
 @query(
     "reassign_cosine",
-    f"""WITH {CENTROIDS}, s AS (SELECT c.rec_id, c.chunk_no, c.label, n.label AS other, list_dot_product(c.embedding, n.centroid) AS sim
-            FROM chunks c JOIN normed n ON c.rec_id = n.rec_id)
+    f"""WITH nc AS (SELECT rec_id, chunk_no, label, {NORMED.format(v='embedding')} AS embedding FROM chunks), {CENTROIDS.replace('FROM chunks', 'FROM nc')},
+          s AS (SELECT c.rec_id, c.chunk_no, c.label, n.label AS other, list_dot_product(c.embedding, n.centroid) AS sim
+            FROM nc c JOIN normed n ON c.rec_id = n.rec_id)
         SELECT rec_id, chunk_no, {q6('sim')} AS similarity, (CASE WHEN sim >= 0.8 THEN other ELSE label END)::BIGINT AS label
         FROM s QUALIFY row_number() OVER (PARTITION BY rec_id, chunk_no ORDER BY sim DESC, other) = 1""",
     ("chunks",),
 )
 def _(t):
-    c = t.chunks()
+    c = t.chunks().withColumn("embedding", K.l2_normalize(F.col("embedding")))
     out = K.reassign(c, K.centroids(c, "rec_id"), "rec_id", 0.8)
     return out.select("rec_id", "chunk_no", r6(F.col("similarity")).alias("similarity"), "label")
 
