@@ -11,10 +11,37 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pairloom.functions.scratch import materialize
+
 BLOCK = "__block"
+PART, PLACE = "__part", "__place"
+
+
+def ranged(df: DataFrame, order: list) -> DataFrame:
+    """The rows in range partitions of ``order``, with the partition and the place of each row in it.
+
+    Written once: the borders come from a sample, and every later use must see the same ones. Parts have about
+    the same number of rows whatever the values are; ``order`` should be total, since equal rows stay together.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return materialize(rows.select("*", F.spark_partition_id().alias(PART), place.alias(PLACE)), "ranged")
+
+
+def numbered(df: DataFrame, order: list, name: str = "rank", first: int = 0) -> DataFrame:
+    """Add the position of each row over the whole table, counted from ``first``.
+
+    The place within a range partition plus the rows of the partitions before it; there is one count per
+    partition, however many rows there are and whatever their keys.
+    """
+    rows = ranged(df, order)
+    sizes = rows.groupBy(PART).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(F.broadcast(sizes.select(PART, before.alias("__before"))), PART)
+    return placed.select(*df.columns, (F.col("__before") + F.col(PLACE) + first).alias(name))
 
 
 def _joined(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,11 +78,6 @@ def running_sums(
     return out.select(*df.columns, *[(F.col("__l_" + n) + F.col("__o_" + n)).alias(n) for n in names])
 
 
-def ranks(df: DataFrame, keys: list[str], block: Column, order: list, name: str = "rank") -> DataFrame:
-    """Add the 1-based position of each row."""
-    return running_sums(df, keys, block, order, {name: F.lit(1).cast("bigint")})
-
-
 def neighbours(
     df: DataFrame, keys: list[str], block: Column, order: list[str], column: str, name: str, step: int
 ) -> DataFrame:
@@ -98,63 +120,70 @@ def hash_number(key: Column, seed: int | str = 42) -> Column:
     return F.conv(F.substring(hash_order(key, seed), 1, 13), 16, 10).cast("bigint")
 
 
-BUCKETS = 1 << 16
-
+SKETCH = 16_384  # size parameter of the quantile sketch
+MARGIN = 1e-3  # share of the rows on either side of the wanted one; some times the sketch's error
+EXACT = 2_000_000  # rows around the wanted one that the exact pass may count singly
 
-def _bucket(c: Column, low, high) -> Column:
-    """Number of a value's bucket between ``low`` and ``high``, never decreasing with the value.
 
-    Linear where the range is finite. Otherwise five classes: negative infinity, negative, other
-    finite, infinity, NaN (which Spark sorts last); the next round then has a finite range.
-    """
-    d, span = c.cast("double"), float(high) - float(low)
-    if math.isfinite(span):
-        return F.least(F.floor((d - float(low)) / span * BUCKETS), F.lit(BUCKETS - 1))
-    infinity = F.lit(math.inf)
-    return F.when(F.isnan(d), 4).when(d == infinity, 3).when(d == -infinity, 0).when(d < 0, 1).otherwise(2)
+def _quantiles(spark: SparkSession, sketch: bytes, first: float, last: float, margin: float) -> tuple[float, float]:
+    """The sketch's values at two ranks (0 to 1), moved apart by a margin."""
+    at = [F.lit(min(max(r, 0.0), 1.0)) for r in (first - margin, last + margin)]
+    names = "kll_sketch_get_quantile_double(:sketch, :low), kll_sketch_get_quantile_double(:sketch, :high)"
+    return tuple(spark.sql(f"SELECT {names}", {"sketch": F.lit(bytes(sketch)), "low": at[0], "high": at[1]}).first())
 
 
-def kth_smallest(df: DataFrame, columns: list[str], k: int):
-    """The ``k``-th row (1-based) by numeric ``columns``, as a Row; None beyond the end.
+def order_statistics(df: DataFrame, columns: list[str], wanted: Column, count: int = 1) -> list[Row | None]:
+    """Rows number ``wanted`` (from 1), ``wanted`` + 1, ... by numeric ``columns``; None beyond the end.
 
-    Rows with a NULL in a column take no part. A search over a histogram of at most 65,536 buckets: each
-    round is one aggregation with map-side combine and narrows the value range by that factor until
-    a bucket holds one value. The data are neither sorted nor moved, whatever their number.
+    ``wanted`` may use ``n``, the number of rows. Rows with a NULL in a column take no part; NaN sorts last. One pass
+    keeps a mergeable quantile sketch of the first column, which brackets the wanted rows; one more counts the rows below
+    the bracket and, value by value, those inside. Where a bracket would hold more than ``EXACT`` rows it is sketched
+    again first: 10^12 rows take four passes. The data are neither sorted nor moved.
     """
-    rows, left, found = df.select(*columns), k, {}
+    rows = df.select(*columns)
     for name in columns:
-        c = F.col(name)
-        rows = rows.filter(c.isNotNull())
-        bounds = rows.agg(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).first()
-        low, high = bounds["lo"], bounds["hi"]
-        if left < 1 or left > bounds["n"]:
-            return None
-        while not (low == high or low != low):  # the latter: only NaN is left
-            histogram = rows.groupBy(_bucket(c, low, high).alias("b")).agg(
-                F.count(F.lit(1)).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")
-            )
-            upto = F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
-            hit = histogram.withColumn("upto", upto).filter(F.col("upto") >= left).orderBy("b").first()
-            left -= hit["upto"] - hit["n"]
-            low, high = hit["lo"], hit["hi"]
-            rows = rows.filter(c.between(F.lit(low), F.lit(high)))
-        found[name] = low
-        rows = rows.filter(c == F.lit(low))
-    return Row(**found)
+        rows = rows.filter(F.col(name).isNotNull())
+    number = F.col(columns[0]).cast("double")
+    rows = rows.withColumn("__x", F.when(F.isnan(number), math.inf).otherwise(number))
+    x, margin = F.col("__x"), MARGIN
+    while True:
+        low, high, held = -math.inf, math.inf, None
+        while held is None or held * 2 * margin > EXACT and low < high:
+            inside = x.between(F.lit(low), F.lit(high))
+            sketch = F.kll_sketch_agg_double(F.when(inside, x), F.lit(SKETCH)).alias("sketch")
+            counted = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(x < F.lit(low)).alias("below"), F.count_if(inside).alias("m"), sketch)
+            found = counted.withColumn("k", wanted.cast("bigint")).first()
+            if not 1 <= found["k"] <= found["n"]:
+                return [None] * count
+            k, before, start = found["k"], (low, high), found["k"] - found["below"]
+            if not 0 < start <= found["m"]:
+                break  # the sketch was further off than the margin: the exact pass tells, and the margin grows
+            low, high, held = *_quantiles(df.sparkSession, found["sketch"], start / found["m"], (start + count - 1) / found["m"], margin + 2 / found["m"]), found["m"]
+            if (low, high) == before:
+                break
+        place = F.when(x < F.lit(low), 0).when(x > F.lit(high), 2).otherwise(1)
+        value = F.when(place == 1, F.struct(*columns))
+        tally = rows.groupBy(place.alias("place"), value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.orderBy("place", "v").rowsBetween(Window.unboundedPreceding, 0))
+        hits = [F.min(F.when(F.col("upto") >= k + i, F.struct("upto", "place", "v"))).alias(str(i)) for i in range(count)]
+        hit = tally.withColumn("upto", upto).agg(*hits).first()
+        if all(h is None or h["place"] == 1 for h in hit):
+            return [h and h["v"] for h in hit]
+        margin *= 8
+
+
+def kth_smallest(df: DataFrame, columns: list[str], k: int | Column) -> Row | None:
+    """The ``k``-th row (1-based) by numeric ``columns``, as a Row; None beyond the end."""
+    return order_statistics(df, columns, F.lit(k) if isinstance(k, int) else k)[0]
 
 
 def exact_quantile(df: DataFrame, column: str, q: float) -> float | None:
     """Quantile with linear interpolation between the two nearest values."""
-    n = df.select(column).agg(F.count(column).alias("n")).first()["n"]
-    if n == 0:
+    at = q * (F.col("n") - 1)
+    rows = df.select(F.col(column).alias("v"))
+    low, high = order_statistics(rows, ["v"], F.floor(at) + 1, 2)
+    if low is None:
         return None
-    at = q * (n - 1)
-    below = math.floor(at)
-    rows = df.filter(F.col(column).isNotNull())
-    low = kth_smallest(rows, [column], below + 1)[column]
-    if at == below:
-        return float(low)
-    c = F.col(column)
-    beyond = rows.agg(F.count_if(c <= F.lit(low)).alias("n"), F.min(F.when(c > F.lit(low), c)).alias("next")).first()
-    high = low if beyond["n"] > below + 1 else beyond["next"]
-    return float(low) + (float(high) - float(low)) * (at - below)
+    n = rows.agg(F.count("v").alias("n")).first()["n"]
+    part = q * (n - 1) - math.floor(q * (n - 1))
+    return float(low["v"]) if part == 0 or high is None else float(low["v"]) + (float(high["v"]) - float(low["v"])) * part

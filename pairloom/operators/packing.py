@@ -12,16 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.plans import ordered
-from pairloom.plans.scratch import materialize
+from pairloom.functions import ordered
 
 
 def _batches(df: DataFrame, key: str, ids: str, batch_rows: int) -> DataFrame:
-    """Rows numbered by key, from range partitions; they are written once, as their borders come from a sample."""
-    ranged = df.select(key, F.col(ids).alias("ids")).repartitionByRange(key)
-    ranged = materialize(ranged.withColumn("__part", F.spark_partition_id()), "packing")
-    ranked = ordered.ranks(ranged, [], F.col("__part"), [key], "__rank")
-    return ranked.select(F.floor((F.col("__rank") - 1) / batch_rows).alias("batch"), key, "ids")
+    ranked = ordered.numbered(df.select(key, F.col(ids).alias("ids")), [key], "__rank")
+    return ranked.select(F.floor(F.col("__rank") / batch_rows).alias("batch"), key, "ids")
 
 
 def pack_wrapped(df: DataFrame, key: str, length: int, ids: str = "ids", batch_rows: int = 1000) -> DataFrame:

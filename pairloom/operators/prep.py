@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -13,7 +12,7 @@ from pyspark.sql import types as T
 
 from pairloom.functions import arrays as A
 from pairloom.functions import text as X
-from pairloom.plans import ordered
+from pairloom.functions import ordered
 
 TURN_START, TURN_END = "<start_of_turn>", "<end_of_turn>"  # fixed values: turn tokens
 HEAD = TURN_START + "user\nReturn the prescription below as JSON.\n"
@@ -59,8 +58,7 @@ def split_exact(df: DataFrame, key: str, fraction: float = 0.1, seed: int = 42)
     high = ordered.hash_number(F.col(key), seed)
     low = F.conv(F.substring(ordered.hash_order(F.col(key), seed), 14, 13), 16, 10).cast("bigint")
     hashes = df.select(high.alias("high"), low.alias("low"))
-    wanted = math.ceil(fraction * df.count())
-    last = ordered.kth_smallest(hashes, ["high", "low"], wanted)
+    last = ordered.kth_smallest(hashes, ["high", "low"], F.ceil(F.lit(float(fraction)) * F.col("n")))
     if last is None:
         return df.withColumn("split", F.lit("train"))
     in_val = (high < last["high"]) | ((high == last["high"]) & (low <= last["low"]))
@@ -69,21 +67,16 @@ def split_exact(df: DataFrame, key: str, fraction: float = 0.1, seed: int = 42)
 
 def split_ordered(df: DataFrame, key: str, fraction: float = 0.9) -> DataFrame:
     """Add ``split``: the first ``int(fraction * n)`` rows by a unique numeric id are ``train``."""
-    last = ordered.kth_smallest(df, [key], int(fraction * df.count()))
+    last = ordered.kth_smallest(df, [key], F.floor(F.lit(float(fraction)) * F.col("n")))
     if last is None:
         return df.withColumn("split", F.lit("val"))
     return df.withColumn("split", F.when(F.col(key) <= last[key], F.lit("train")).otherwise(F.lit("val")))
 
 
-def hash_block(key: Column, seed: int, digits: int = 4) -> Column:
-    return F.substring(ordered.hash_order(key, seed), 1, digits)
-
-
 def seeded_shuffle(df: DataFrame, key: str, seed: int = 42, name: str = "position") -> DataFrame:
     """Add the 0-based position of each row in a seeded random order."""
     rows = df.withColumn("__hash", ordered.hash_order(F.col(key), seed))
-    ranked = ordered.ranks(rows, [], hash_block(F.col(key), seed), ["__hash", key], name)
-    return ranked.withColumn(name, F.col(name) - 1).drop("__hash")
+    return ordered.numbered(rows, ["__hash", key], name).drop("__hash")
 
 
 def repeat_prompts(
@@ -105,12 +98,13 @@ def repeat_prompts(
     return rows.select(*df.columns, "repeat_no", "copy_no", position.alias("position"))
 
 
-def sample_with_replacement(df: DataFrame, key: str, n: int, seed: int = 42, block_rows: int = 65536) -> DataFrame:
+def sample_with_replacement(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` draws, each a row chosen by a seeded hash of the draw's number.
 
-    ``key`` is a unique whole number. Draws of one row are counted before they meet the rows.
+    Draw i takes the row at the drawn place in the order of the unique ``key``. Draws of one row are counted before
+    they meet the rows.
     """
-    rows = ordered.ranks(df, [], F.floor(F.col(key) / block_rows), [key], "__rank")
+    rows = ordered.numbered(df, [key], "__rank", 1)
     size = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     drawn = df.sparkSession.range(1, n + 1).select((1 + ordered.hash_number(F.col("id"), seed) % size).alias("__rank"))
     counted = drawn.groupBy("__rank").agg(F.count(F.lit(1)).cast("int").alias("__n"))
@@ -130,12 +124,9 @@ def sample_exact(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 # -- vocabulary --------------------------------------------------------------------------
 def vocabulary(docs: DataFrame, words: Column, first_id: int = 0) -> DataFrame:
-    """(token, n, token_id): ids by falling count, then by token."""
+    """(token, n, token_id): ids by falling count, then by token. Written once, however often it is used."""
     counted = A.unnest(docs, [], words, "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    keyed = counted.withColumn("__minus", -F.col("n"))
-    block = F.struct("__minus", F.substring("token", 1, 2).alias("start"))
-    ranked = ordered.ranks(keyed, [], block, ["__minus", "token"], "token_id")
-    return ranked.select("token", "n", (F.col("token_id") - 1 + first_id).alias("token_id"))
+    return ordered.numbered(counted, [F.col("n").desc(), "token"], "token_id", first_id)
 
 
 def encode(docs: DataFrame, key: str, words: Column, vocab: DataFrame) -> DataFrame:
@@ -217,15 +208,14 @@ def unpair(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected")
 
 
 def mismatched_pairs(
-    df: DataFrame, key: str, batch: int, completion: str = "completion", mode: str = "mirror", block_rows: int = 65536
+    df: DataFrame, key: str, batch: int, completion: str = "completion", mode: str = "mirror"
 ) -> DataFrame:
     """Give each row the completion of another row of its batch, as ``kl_completion``.
 
-    Batches are runs of ``batch`` rows by ``key``. ``mirror`` pairs the first row with the
-    last, ``rotate`` each row with the one before it.
+    Batches are runs of ``batch`` rows by the unique ``key``, whatever its type and density. ``mirror`` pairs the first
+    row with the last, ``rotate`` each row with the one before it.
     """
-    ranked = ordered.ranks(df, [], F.floor(F.col(key) / block_rows), [key], "__rank")
-    rows = ranked.withColumn("__batch", F.floor((F.col("__rank") - 1) / batch))
+    rows = ordered.numbered(df, [key], "__rank").withColumn("__batch", F.floor(F.col("__rank") / batch))
     items = F.array_sort(F.collect_list(F.struct("__rank", *df.columns)))
     grouped = rows.groupBy("__batch").agg(items.alias("x"))  # at most `batch` rows
     other = {

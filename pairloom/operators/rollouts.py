@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import arrays as A
 from pairloom.functions.mathx import array_sum, clamp, mask_size, masked, masked_sum, nan_to_null
-from pairloom.plans import ordered
+from pairloom.functions import ordered
 
 
 def zip3(a: Column, b: Column, c: Column, fn) -> Column:
@@ -145,12 +145,11 @@ def completions_table(df: DataFrame, step: str, rewards: list[str], prompt: str
     return first.select(prompt, "x.*")
 
 
-def tokens_seen(df: DataFrame, step: str, tokens: Column, block_steps: int = 4096) -> DataFrame:
+def tokens_seen(df: DataFrame, step: str, tokens: Column) -> DataFrame:
     """Running total of tokens per step."""
-    per_step = df.groupBy(step).agg(F.sum(tokens.cast("bigint")).alias("num_tokens"))
-    return ordered.running_sums(
-        per_step, [], F.floor(F.col(step) / block_steps), [step], {"num_tokens_seen": F.col("num_tokens")}
-    )
+    per_step = ordered.ranged(df.groupBy(step).agg(F.sum(tokens.cast("bigint")).alias("num_tokens")), [step])
+    sums = ordered.running_sums(per_step, [], F.col(ordered.PART), [step], {"num_tokens_seen": F.col("num_tokens")})
+    return sums.drop(ordered.PART, ordered.PLACE)
 
 
 def running_mean(df: DataFrame, key: str, order: str, value: str, block_rows: int = 65536) -> DataFrame:

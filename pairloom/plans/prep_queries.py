@@ -202,7 +202,7 @@ def _(t):
 )
 def _(t):
     """Per-token mask of a conversation: 1 over the words of assistant turns."""
-    from pairloom.plans import ordered
+    from pairloom.functions import ordered
 
     bit = F.when(F.col("role") == "assistant", F.lit("1")).otherwise(F.lit("0"))
     turns = t.conversations.select("conv_id", "turn", F.repeat(bit, F.size(X.words(F.col("text")))).alias("bits"))
@@ -265,7 +265,23 @@ def _(t):
     return K.pack_wrapped(t.tokens(), "row_id", 256).select("batch", "pack", A.joined(F.col("ids")).alias("ids"))
 
 
-@query("pack_bfd")
+@query(
+    "pack_bfd",
+    """WITH RECURSIVE b AS (SELECT row_id, ids, (row_number() OVER (ORDER BY row_id) - 1) // 1000 AS batch FROM tokens),
+       pieces AS (SELECT batch, row_id, piece, ids[piece * 256 + 1 : piece * 256 + 256] AS part
+         FROM (SELECT *, unnest(range((len(ids) + 255) // 256)) AS piece FROM b)),
+       items AS MATERIALIZED (SELECT *, len(part) AS n, row_number() OVER (PARTITION BY batch ORDER BY len(part) DESC, row_id, piece) AS k FROM pieces),
+       fill(batch, k, pack, room) AS (
+         SELECT DISTINCT batch, 0::BIGINT, 0::BIGINT, []::BIGINT[] FROM items
+         UNION ALL
+         SELECT batch, k, pack, CASE WHEN pack = len(room) THEN list_append(room, 256 - n)
+             ELSE list_concat(list_append(room[1 : pack], room[pack + 1] - n), room[pack + 2 :]) END
+         FROM (SELECT f.batch, i.k, i.n, f.room, coalesce(list_position(f.room, list_min(list_filter(f.room, lambda r: r >= i.n))) - 1, len(f.room)) AS pack
+               FROM fill f JOIN items i ON i.batch = f.batch AND i.k = f.k + 1))
+       SELECT batch, pack, string_agg(array_to_string(part, ','), ',' ORDER BY row_id, piece) AS ids
+       FROM fill JOIN items USING (batch, k) GROUP BY batch, pack""",
+    ("tokens",),
+)
 def _(t):
     return K.pack_best_fit(t.tokens(), "row_id", 256).select("batch", "pack", A.joined(F.col("ids")).alias("ids"))
 
@@ -321,6 +337,33 @@ def _(t):
     return P.mismatched_pairs(t.unpaired(), "row_id", 8, mode="rotate").select("row_id", "kl_row_id")
 
 
+def hashed(t):
+    """The unpaired rows under ids that are neither numbers nor dense."""
+    return t.unpaired().withColumn("row_id", F.md5(F.col("row_id").cast("string")))
+
+
+MISMATCH_HASHED = MISMATCH.replace("FROM unpaired", "FROM (SELECT * REPLACE (md5(row_id::VARCHAR) AS row_id) FROM unpaired)")
+
+
+@query(
+    "kl_mismatch_hashed",
+    f"""{MISMATCH_HASHED} SELECT x.row_id, y.row_id AS kl_row_id, y.completion AS kl_completion
+        FROM i x JOIN i y ON x.b = y.b AND y.i = x.n + 1 - x.i""",
+    ("unpaired",),
+)
+def _(t):
+    return P.mismatched_pairs(hashed(t), "row_id", 8).select("row_id", "kl_row_id", "kl_completion")
+
+
+@query(
+    "kl_rotate_hashed",
+    f"""{MISMATCH_HASHED} SELECT x.row_id, y.row_id AS kl_row_id FROM i x JOIN i y ON x.b = y.b AND y.i = CASE WHEN x.i = 1 THEN x.n ELSE x.i - 1 END""",
+    ("unpaired",),
+)
+def _(t):
+    return P.mismatched_pairs(hashed(t), "row_id", 8, mode="rotate").select("row_id", "kl_row_id")
+
+
 @query(
     "concat_columns",
     "SELECT doc_id, lang, source, quality::BIGINT AS quality, toxic::BIGINT AS toxic FROM documents JOIN labels USING (doc_id)",
@@ -362,6 +405,16 @@ def _(t):
     return P.sample_with_replacement(t.events.select("event_id"), "event_id", 512)
 
 
+@query(
+    "sample_rows_hashed",
+    """WITH r AS (SELECT md5(event_id::VARCHAR) AS id, row_number() OVER (ORDER BY md5(event_id::VARCHAR)) AS rank FROM events),
+       d AS (SELECT 1 + ('0x' || substring(md5('42:' || i), 1, 13))::BIGINT % (SELECT count(*) FROM events) AS rank FROM range(1, 513) x(i))
+       SELECT id, row_number() OVER (PARTITION BY rank) AS draw FROM r JOIN d USING (rank)""",
+)
+def _(t):
+    return P.sample_with_replacement(t.events.select(F.md5(F.col("event_id").cast("string")).alias("id")), "id", 512)
+
+
 @query(
     "sample_distinct",
     "SELECT event_id FROM events ORDER BY md5('42:' || event_id) LIMIT 512",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pairloom.functions import arrays as A
 from pairloom.operators import packing as K
 from pairloom.operators import prep as P
-from pairloom.plans import ordered
+from pairloom.functions import ordered
 
 
 def arr(spark, make, **arrays):
@@ -172,7 +172,7 @@ def test_pairs_and_balance(spark):
 
 def test_mismatch_and_repeat(spark):
     df = spark.createDataFrame([(i * 3, f"c{i}") for i in range(5)], "row_id bigint, completion string")
-    got = {r["row_id"]: r["kl_row_id"] for r in P.mismatched_pairs(df, "row_id", 3, block_rows=2).collect()}
+    got = {r["row_id"]: r["kl_row_id"] for r in P.mismatched_pairs(df, "row_id", 3).collect()}
     assert got == {0: 6, 3: 3, 6: 0, 9: 12, 12: 9}
     got = {r["row_id"]: r["kl_completion"] for r in P.mismatched_pairs(df, "row_id", 3, mode="rotate").collect()}
     assert got == {0: "c2", 3: "c0", 6: "c1", 9: "c4", 12: "c3"}
