@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions import losses as L
 from pairloom.functions.arrays import first_n
 from pairloom.functions.mathx import array_sum, clamp, log_sigmoid, mask_size, masked, masked_sum, sigmoid
-from pairloom.plans import ordered
+from pairloom.functions import ordered
 
 COLUMNS = ("chosen_logps", "rejected_logps", "ref_chosen_logps", "ref_rejected_logps")
 
@@ -64,12 +69,27 @@ def with_losses(
     return df.withColumns({**columns, "chosen_reward": win, "rejected_reward": lose})
 
 
+SORTED = ("aot", "aot_pair")
+
+
 def mixed_loss(
     df: DataFrame, weights: dict[str, float], beta: float = 0.1, rpo_alpha: float | None = None,
-    nll: Column | None = None, row_weight: Column | None = None,
+    nll: Column | None = None, row_weight: Column | None = None, key: str | None = None,
 ) -> DataFrame:
-    """Weighted sum of several losses as ``loss``; rewards are summed with the same weights."""
-    rows = with_losses(df, list(weights), beta, nll=nll)
+    """Weighted sum of several losses as ``loss``; rewards are summed with the same weights.
+
+    Sorted losses (``aot``, ``aot_pair``) belong to ranks: row number i by the unique ``key`` gets the loss of the i-th
+    order statistics. ``row_weight`` multiplies the sum, the ``rpo_alpha`` term included.
+    """
+    by_rank = [k for k in weights if k in SORTED]
+    if by_rank and key is None:
+        raise ValueError("sorted losses need the key that numbers the rows")
+    rows = with_losses(df, [k for k in weights if k not in SORTED], beta, nll=nll)
+    if by_rank:
+        rows = ordered.numbered(rows, [key], "__rank")
+    for kind in by_rank:
+        ranked = sorted_loss(df, kind, beta).select(F.col("rank").alias("__rank"), F.col("loss").alias("loss_" + kind))
+        rows = rows.join(ranked, "__rank", "left")
     loss = sum((F.col("loss_" + k) * w for k, w in weights.items()), F.lit(0.0))
     if rpo_alpha is not None:
         loss = loss + rpo_alpha * nll
@@ -78,22 +98,21 @@ def mixed_loss(
     total = sum(weights.values())
     return rows.withColumns(
         {"loss": loss, "chosen_reward": F.col("chosen_reward") * total, "rejected_reward": F.col("rejected_reward") * total}
-    ).drop(*["loss_" + k for k in weights])
+    ).drop("__rank", *["loss_" + k for k in weights])
 
 
 def sorted_pairs(df: DataFrame, a: Column, b: Column, slot: int = 4096) -> DataFrame:
     """(rank, a, b): both columns sorted on their own and put side by side, rank from 0.
 
     Equal values are counted first, so a value held by most rows is one row here. Ranks come
-    from running sums over value blocks; then every ``slot`` of ranks is one bounded group.
+    from running sums over range partitions; then every ``slot`` of ranks is one bounded group.
     """
     sides = F.array(F.struct(F.lit("a").alias("side"), a.alias("v")), F.struct(F.lit("b").alias("side"), b.alias("v")))
     values = df.select(F.explode(sides).alias("x")).select("x.side", "x.v").filter(F.col("v").isNotNull())
     counted = values.groupBy("side", "v").agg(F.count(F.lit(1)).alias("n"))
-    bounds = sorted(set(values.approxQuantile("v", [i / 128 for i in range(1, 128)], 0.002)))
-    cuts = F.array(*[F.lit(x) for x in bounds])
-    block = F.size(F.filter(cuts, lambda c: c < F.col("v")))
-    placed = ordered.running_sums(counted, ["side"], block, ["v"], {"end": F.col("n")})
+    placed = ordered.running_sums(
+        ordered.ranged(counted, ["side", "v"]), ["side"], F.col(ordered.PART), ["v"], {"end": F.col("n")}
+    )
     start = F.col("end") - F.col("n")
     spread = placed.withColumn("start", start).withColumn(
         "slot", F.explode(F.sequence(F.floor(start / slot), F.floor((F.col("end") - 1) / slot)))
@@ -180,29 +199,74 @@ def density_ratio(probability: Column, low: float = 0.5, high: float = 10.0) ->
     return clamp(probability / (1 - probability + 1e-8), low, high)
 
 
-def fit_density(df: DataFrame, vector: str, label: str, max_iter: int = 100):
-    """Balanced logistic regression of desirable against undesirable embeddings (penalty C = 1)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+class Density(NamedTuple):
+    """A logistic model of being desirable: one coefficient per entry of a vector, and the intercept."""
 
-    counts = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label)).alias("good")).first()
-    n, good = counts["n"], counts["good"]
-    weight = F.when(F.col(label), F.lit(n / (2 * max(good, 1)))).otherwise(F.lit(n / (2 * max(n - good, 1))))
-    rows = df.select(
-        array_to_vector(F.col(vector)).alias("features"), F.col(label).cast("double").alias("label"), weight.alias("weight")
-    )
-    return LogisticRegression(
-        regParam=1.0 / n, elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=max_iter, tol=1e-8
-    ).fit(rows)
+    coefficients: list[float]
+    intercept: float
+
+    def probability(self, vector: Column) -> Column:
+        weights = F.array(*[F.lit(c) for c in self.coefficients])
+        return sigmoid(array_sum(F.zip_with(vector, weights, lambda a, b: a * b)) + self.intercept)
 
 
-def with_density_weight(df: DataFrame, model, vector: str, low: float = 0.5, high: float = 10.0) -> DataFrame:
-    """Add ``probability`` of being desirable, the predicted class and the ``weight``."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+def _newton_sums(rows: DataFrame, point: np.ndarray) -> np.ndarray:
+    """Gradient and second derivatives of the weighted log loss at ``point``, summed over all rows.
 
-    scored = model.transform(df.withColumn("features", array_to_vector(F.col(vector))))
-    rows = scored.withColumn("probability", F.get(vector_to_array("probability"), F.lit(1)))
-    return rows.withColumn("weight", density_ratio(F.col("probability"), low, high)).drop("features", "rawPrediction")
+    Every task keeps one running sum of (d + 1) + (d + 1)^2 numbers; the sums of the tasks are added by position.
+    """
+    d = len(point)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(d + d * d)
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            x = np.column_stack([flat.reshape(-1, d - 1), np.ones(len(batch))])
+            good, weight = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in (1, 2))
+            p = 1 / (1 + np.exp(-(x @ point)))
+            total[:d] += x.T @ (weight * (p - good))
+            total[d:] += ((x * (weight * p * (1 - p))[:, None]).T @ x).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+    sums = rows.mapInArrow(partial, "sums array<double>").select(F.posexplode("sums").alias("at", "v"))
+    found = sums.groupBy("at").agg(F.sum("v").alias("v")).collect()  # d + d * d numbers
+    out = np.zeros(d + d * d)
+    for r in found:
+        out[r["at"]] = r["v"]
+    return out
+
+
+def fit_density(df: DataFrame, vector: str, label: str, penalty: float = 1.0, steps: int = 25, tolerance: float = 1e-10) -> Density:
+    """Balanced logistic regression of desirable against undesirable vectors, by Newton steps.
+
+    Both classes get the same total weight; squared coefficients cost ``penalty`` / 2, the intercept nothing. A step
+    reads the rows once and brings back sums whose size depends on the length of the vectors only. Rows without a
+    label, or whose vector is null, holds a null or has another length than the shortest one, take no part.
+    """
+    usable = F.col(vector).isNotNull() & F.col(label).isNotNull() & ~F.exists(vector, lambda v: v.isNull())
+    rows = df.filter(usable).select(F.col(vector).cast("array<double>").alias("x"), F.col(label).alias("y"))
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y")).alias("good"), F.min(F.size("x")).alias("d")).first()
+    n, good, d = counts["n"], counts["good"], counts["d"]
+    if not n:
+        raise ValueError("no row with a vector and a label")
+    weight = F.when(F.col("y"), F.lit(n / (2 * max(good, 1)))).otherwise(F.lit(n / (2 * max(n - good, 1))))
+    rows = rows.filter(F.size("x") == d).select("x", F.col("y").cast("double").alias("y"), weight.alias("w"))
+    cost = np.append(np.full(d, float(penalty)), 0.0)
+    point = np.zeros(d + 1)
+    for _ in range(steps):
+        sums = _newton_sums(rows, point)
+        slope, curve = sums[: d + 1] + cost * point, sums[d + 1 :].reshape(d + 1, d + 1) + np.diag(cost)
+        step = np.linalg.lstsq(curve, slope, rcond=None)[0]
+        point = point - step
+        if np.abs(step).max() < tolerance:
+            break
+    return Density(point[:-1].tolist(), float(point[-1]))
+
+
+def with_density_weight(df: DataFrame, model: Density, vector: str, low: float = 0.5, high: float = 10.0) -> DataFrame:
+    """Add ``probability`` of being desirable and the ``weight`` of the row."""
+    rows = df.withColumn("probability", model.probability(F.col(vector)))
+    return rows.withColumn("weight", density_ratio(F.col("probability"), low, high))
 
 
 # -- online preference losses ------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pairloom.functions import losses as L
 from pairloom.operators import metrics as M
 from pairloom.operators import preferences as P
+from pairloom.functions.mathx import clamp
 from pairloom.plans.registry import q6, query, r6
 
 
@@ -149,6 +150,32 @@ def _(t):
     return rounded(out, ["row_id"], ["loss", "chosen_reward", "rejected_reward"])
 
 
+def ranked_sql(kind: str, left: str, right: str) -> str:
+    """Loss of the i-th smallest left against the i-th smallest right value, by i."""
+    return f"""{kind} AS (SELECT rank, -{ls(f'{B} * (l - r)')} AS {kind}_loss
+        FROM (SELECT row_number() OVER (ORDER BY {left}) AS rank, {left} AS l FROM a) JOIN (SELECT row_number() OVER (ORDER BY {right}) AS rank, {right} AS r FROM a) USING (rank))"""
+
+
+MIX_SORTED = f"""((-{ls(f'{B} * z')}) * 0.5::DOUBLE + aot_loss * 0.3::DOUBLE + aot_pair_loss * 0.2::DOUBLE + 0.3::DOUBLE * nll)
+  * least(1, exp((chosen_logps + rejected_logps) / 4))"""
+
+
+@query(
+    "loss_mix_sorted",
+    f"""WITH {PAIR}, {ranked_sql('aot', 'chosen_logps - rejected_logps', 'ref_chosen_logps - ref_rejected_logps')},
+          {ranked_sql('aot_pair', 'chosen_logps - ref_chosen_logps', 'rejected_logps - ref_rejected_logps')},
+          n AS (SELECT *, row_number() OVER (ORDER BY row_id) AS rank FROM b)
+        SELECT row_id, {q6(MIX_SORTED)} AS loss, {q6(f'{B} * u')} AS chosen_reward, {q6(f'{B} * d')} AS rejected_reward
+        FROM n JOIN aot USING (rank) JOIN aot_pair USING (rank)""",
+    ("pair_logps",),
+)
+def _(t):
+    weights = {"sigmoid": 0.5, "aot": 0.3, "aot_pair": 0.2}
+    policy = clamp(F.exp((F.col("chosen_logps") + F.col("rejected_logps")) / 4), high=1.0)
+    out = P.mixed_loss(t.pair_logps(), weights, rpo_alpha=0.3, nll=nll(t), row_weight=policy, key="row_id")
+    return rounded(out, ["row_id"], ["loss", "chosen_reward", "rejected_reward"])
+
+
 REPORT = ["rewards_chosen", "rewards_rejected", "rewards_accuracies", "rewards_margins", "logps_chosen", "logps_rejected"]
 
 
@@ -188,30 +215,62 @@ def _(t):
     return apo.select("row_id", r6(F.col("reward")).alias("reward"), r6(F.col("kto")).alias("loss"), r6(F.col("loss")).alias("loss_apo"))
 
 
+def newton_sql(steps: int = 12) -> str:
+    """The balanced logistic fit as SQL: per step the sums, a Gauss-Jordan elimination row by row, and the next point."""
+    parts = [
+        """fit AS MATERIALIZED (SELECT rec_id, chunk_no, list_append(embedding, 1.0::DOUBLE) AS v, (label < 5)::INT AS y,
+             count(*) OVER () / (2 * count(*) OVER (PARTITION BY label < 5)) AS s FROM chunks)""",
+        "w0 AS MATERIALIZED (SELECT list_transform(any_value(v), lambda x: 0.0::DOUBLE) AS w, len(any_value(v)) AS d FROM fit)",
+    ]
+    for k in range(steps):
+        parts += [
+            f"p{k} AS MATERIALIZED (SELECT v, y, s, 1 / (1 + exp(-list_dot_product(v, w))) AS p FROM fit, w{k})",
+            f"""h{k} AS MATERIALIZED (SELECT i, j, sum(s * p * (1 - p) * v[i] * v[j]) + any_value(CASE WHEN i = j AND i < d THEN 1 ELSE 0 END) AS h
+                  FROM p{k}, w{k}, range(1, d + 1) a(i), range(1, d + 1) b(j) GROUP BY i, j)""",
+            f"""g{k} AS MATERIALIZED (SELECT i, sum(s * (p - y) * v[i]) + any_value(CASE WHEN i < d THEN w[i] ELSE 0 END) AS g
+                  FROM p{k}, w{k}, range(1, d + 1) a(i) GROUP BY i)""",
+            f"m{k} AS MATERIALIZED (SELECT list(list_append(r, g) ORDER BY i) AS m FROM (SELECT i, list(h ORDER BY j) AS r FROM h{k} GROUP BY i) JOIN g{k} USING (i))",
+            f"""s{k}(step, m) AS (SELECT 0::BIGINT, m FROM m{k} UNION ALL
+                  SELECT step, list_transform(m, lambda r, i: CASE WHEN i = step THEN top ELSE list_transform(list_zip(r, top), lambda z: z[1] - r[step] * z[2]) END)
+                  FROM (SELECT step + 1 AS step, m, list_transform(m[step + 1], lambda x: x / m[step + 1][step + 1]) AS top FROM s{k} WHERE step < len(m)))""",
+            f"""w{k + 1} AS MATERIALIZED (SELECT list_transform(list_zip(w, m), lambda z: z[1] - z[2][d + 1]) AS w, d
+                  FROM w{k}, s{k} WHERE step = d)""",
+        ]
+    last = f"w{steps}"
+    parts.append(
+        f"""density AS (SELECT rec_id, chunk_no, probability, least(greatest(probability / (1 - probability + 1e-8::DOUBLE), 0.5::DOUBLE), 10) AS weight
+              FROM (SELECT rec_id, chunk_no, 1 / (1 + exp(-list_dot_product(v, w))) AS probability FROM fit, {last}))"""
+    )
+    return ",\n".join(parts)
+
+
+def density(t):
+    rows = t.chunks().withColumn("good", F.col("label") < 5)
+    return P.with_density_weight(rows, P.fit_density(rows, "embedding", "good"), "embedding")
+
+
 @query(
-    "bco_loss",
-    f"""WITH {UNPAIRED}, d AS (SELECT avg({B} * u) AS delta FROM a), w AS (SELECT *, greatest(least(exp(u * 3), 10), 0.5::DOUBLE) AS w FROM a, d)
-        SELECT row_id, {q6(f'{B} * u')} AS reward, {q6(f"CASE WHEN label THEN -{ls(f'{B} * u - delta')} ELSE -w * {ls(f'-({B} * u - delta)')} END")} AS loss FROM w""",
-    ("pair_logps",),
+    "density_ratio",
+    f"WITH RECURSIVE {newton_sql()} SELECT rec_id, chunk_no, {q6('probability')} AS probability, {q6('weight')} AS weight FROM density",
+    ("chunks",),
 )
 def _(t):
-    from pairloom.functions.mathx import clamp
+    return rounded(density(t), ["rec_id", "chunk_no"], ["probability", "weight"])
 
-    weight = clamp(F.exp(F.col("logp") * 3), 0.5, 10.0)
-    out = P.unpaired_bco(unpaired(t), "logp", "ref", "label", weight=weight)
-    return rounded(out, ["row_id"], ["reward", "loss"])
 
-
-@query("density_ratio")
+@query(
+    "bco_loss",
+    f"""WITH RECURSIVE {newton_sql()}, {UNPAIRED}, d AS (SELECT avg({B} * u) AS delta FROM a),
+          x AS (SELECT a.row_id, a.label, u, delta, coalesce(weight, 1) AS w FROM a CROSS JOIN d LEFT JOIN density ON row_id // 50 = rec_id AND row_id % 50 = chunk_no)
+        SELECT row_id, {q6('w')} AS weight, {q6(f'{B} * u')} AS reward,
+          {q6(f"CASE WHEN label THEN -{ls(f'{B} * u - delta')} ELSE -w * {ls(f'-({B} * u - delta)')} END")} AS loss FROM x""",
+    ("pair_logps", "chunks"),
+)
 def _(t):
-    rows = t.chunks().withColumn("good", F.col("label") < 5)
-    model = P.fit_density(rows, "embedding", "good")
-    out = P.with_density_weight(rows, model, "embedding")
-    return out.groupBy("good").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg((F.col("prediction") == F.col("good").cast("double")).cast("double")).alias("accuracy"),
-        F.avg("weight").alias("mean_weight"),
-    )
+    weights = density(t).select((F.col("rec_id") * 50 + F.col("chunk_no")).alias("row_id"), "weight")
+    rows = unpaired(t).join(weights, "row_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    out = P.unpaired_bco(rows, "logp", "ref", "label", weight=F.col("weight"))
+    return rounded(out, ["row_id"], ["weight", "reward", "loss"])
 
 
 ODDS = "(c - r) - (ln(1 - exp(c)) - ln(1 - exp(r)))"
