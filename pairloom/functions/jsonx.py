@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,26 +46,38 @@ def outer_object(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"\{[\s\S]*\}", 0), F.lit(""))
 
 
-@F.pandas_udf(T.StringType())
-def balanced_object(text: pd.Series) -> pd.Series:
-    """First span whose braces balance, braces inside strings counted too."""
-
-    def first_span(value):
-        if value is None:
-            return None
-        open_at, best = [], None
-        for at, char in enumerate(value):
-            if char == "{":
-                open_at.append(at)
-            elif char == "}" and open_at:
-                start = open_at.pop()
-                if best is None or start < best[0]:
-                    best = (start, at + 1)
-                if not open_at:
-                    break
-        return None if best is None else value[best[0] : best[1]]
-
-    return text.map(first_span)
+def balanced_object(text: Column) -> Column:
+    """First span whose braces balance, braces inside strings counted too; NULL where there is none.
+
+    Braces and the texts between them are read from the right: a ``{`` is matched where closing braces are still
+    open, and the leftmost matched one begins the span. Read from there, the span ends where the depth is 0 again.
+    """
+    parts = F.regexp_extract_all(text, F.lit("[{}]|[^{}]+"), F.lit(0))
+    opens, closes = (lambda x: x == "{"), (lambda x: x == "}")
+
+    def leftward(s, x):
+        matched = opens(x) & (s["open"] > 0)
+        at = s["at"] - F.length(x)
+        open_ = F.when(closes(x), s["open"] + 1).when(matched, s["open"] - 1).otherwise(s["open"])
+        return F.struct(at.alias("at"), open_.alias("open"), F.when(matched, at).otherwise(s["start"]).alias("start"))
+
+    def span(found):
+        def rightward(s, x):
+            inside = (s["at"] >= found["start"]) & (s["end"] < 0)
+            depth = s["depth"] + F.when(~inside, 0).when(opens(x), 1).when(closes(x), -1).otherwise(0)
+            at = s["at"] + F.length(x)
+            return F.struct(at.alias("at"), depth.alias("depth"), F.when(inside & closes(x) & (depth == 0), at).otherwise(s["end"]).alias("end"))
+
+        begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(-1).alias("end"))
+        end = F.aggregate(found["parts"], begin, rightward)["end"]
+        return F.when(found["start"] >= 0, F.substring(text, found["start"] + 1, end - found["start"]))
+
+    def start(pieces):
+        begin = F.struct(F.length(text).alias("at"), F.lit(0).alias("open"), F.lit(-1).alias("start"))
+        first = F.aggregate(F.reverse(pieces), begin, leftward)["start"]
+        return F.struct(pieces.alias("parts"), first.alias("start"))
+
+    return let(let(parts, start), span)
 
 
 def if_json(text: Column, otherwise: Column | None = None) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import jsonx as J
 from pairloom.functions import text as X
-from pairloom.plans import ordered
+from pairloom.functions import ordered
 
 RECORD_START = '{"medicines'  # fixed value: how an output begins
 RECORD_ENDS = ("}", '}"')  # fixed values: how the last line of a record ends
@@ -28,17 +28,17 @@ def reassemble(lines: DataFrame, block: Column, ends=RECORD_ENDS, order=("line_n
 
     Needs ``file``, ``line`` and the ``order`` columns; ``block`` must follow that order
     (``line_no`` divided by a number, or the byte offset of the split). A record's number
-    is the count of record ends before it. Lines after the last end are dropped.
+    is the count of record ends before it. Lines after the last end of their file are dropped before
+    anything is collected, so a file without an end costs no more than being counted.
     """
     kept = nonblank_lines(lines).withColumn("__slot", block)
-    done = ends_record(F.col("line"), ends).cast("bigint")
+    done = ends_record(F.col("line"), ends)
+    last = kept.filter(done).groupBy("file").agg(F.max(F.struct("__slot", *order)).alias("__last"))
+    whole = kept.join(last, "file").filter(F.struct("__slot", *order) <= F.col("__last")).drop("__last")
     numbered = ordered.running_sums(
-        kept, ["file"], F.col("__slot"), list(order), {"record_no": done}, inclusive=False
+        whole, ["file"], F.col("__slot"), list(order), {"record_no": done.cast("bigint")}, inclusive=False
     )
-    texts = ordered.concat_ordered(
-        numbered, ["file", "record_no"], F.col("__slot"), list(order), "line", " ", "text"
-    )
-    return texts.filter(ends_record(F.col("text"), ends))
+    return ordered.concat_ordered(numbered, ["file", "record_no"], F.col("__slot"), list(order), "line", " ", "text")
 
 
 def split_record(records: DataFrame, column: str = "text") -> DataFrame:

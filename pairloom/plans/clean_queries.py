@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from pairloom import schemas
 from pairloom.functions import arrays as A
+from pairloom.functions import jsonx as J
 from pairloom.functions import text as X
 from pairloom.operators import cleaning as C
 from pairloom.plans.registry import query
-from pairloom.plans.scratch import scratch_dir
+from pairloom.functions.scratch import scratch_dir
 from pairloom.sources import pairs as S
 
 PY = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -20,11 +21,17 @@ def sql_strip(e: str) -> str:
 
 
 # -- sources and sinks -------------------------------------------------------------------
-@query("src_csv", "SELECT input, output FROM pairs", ("pairs",))
+@query(
+    "src_csv",
+    """SELECT CASE WHEN record_no % 3 = 0 THEN input || chr(10) || chr(10) || 'say "twice", then' || chr(10) || '"stop"' ELSE input END AS input, output FROM pairs""",
+    ("pairs",),
+)
 def _(t):
     path = scratch_dir(t.spark, "csv")
-    S.write_csv(t.pairs().select("input", "output"), path)
-    return S.read_csv(t.spark, path, multi_line=False)
+    broken = F.concat("input", F.lit('\n\nsay "twice", then\n"stop"'))
+    rows = t.pairs().select(F.when(F.col("record_no") % 3 == 0, broken).otherwise(F.col("input")).alias("input"), "output")
+    S.write_csv(rows, path)
+    return S.read_csv_split(t.spark, path)
 
 
 @query("src_jsonl", "SELECT input, output, NULL::VARCHAR AS corrupt FROM pairs", ("pairs",))
@@ -54,34 +61,46 @@ def _(t):
     return S.read_splits(t.spark, path).select("row_id", "split", A.joined(F.col("ids")).alias("ids"))
 
 
+EVENT_STAGES = ("purchase", "click", "view", "signup", "error")
+ITEM = "list_transform(coalesce(json_extract(rec, '$.{list}[*]'), []), lambda m: concat_ws('/', {fields}))"
+
+
+def items_sql(name: str, fields: list[str]) -> str:
+    each = ", ".join(f"coalesce(m->>'$.{f}', '')" for f in fields) if fields else "m->>'$'"
+    return f"CASE WHEN rec IS NULL THEN NULL ELSE array_to_string({ITEM.format(list=name, fields=each)}, '|') END AS {name}"
+
+
 @query(
     "sink_result",
-    """SELECT 'recording ' || user_id AS english_text, 'नोंद' AS marathi_text, (round(coalesce(sum(value) FILTER (WHERE event_type = 'click'), 0)
-         + coalesce(sum(value) FILTER (WHERE event_type = 'view'), 0) + coalesce(sum(value) FILTER (WHERE event_type = 'signup'), 0), 6) + 0.0) AS total,
-         true AS no_entities FROM events GROUP BY user_id""",
+    f"""WITH e AS (SELECT user_id, {", ".join(f"sum(value) FILTER (WHERE event_type = '{s}') AS {s}" for s in EVENT_STAGES)} FROM events GROUP BY user_id),
+        r AS (SELECT record_no, arg_min(out, row_id) AS rec FROM (SELECT record_no, row_id, replace(output, ' AAA', '') AS out FROM pairs) WHERE json_valid(out) GROUP BY record_no)
+        SELECT 'recording ' || user_id AS english_text, 'नोंद' AS marathi_text, {", ".join(f"(round({s}, 6) + 0.0) AS {s}" for s in EVENT_STAGES)},
+          (round({" + ".join(f"coalesce({s}, 0)" for s in EVENT_STAGES)}, 6) + 0.0) AS total,
+          {items_sql('medicines', schemas.MEDICINE_KEYS)}, {items_sql('diseases', [])}, {items_sql('symptoms', [])}, {items_sql('tests', schemas.TEST_KEYS)}, {items_sql('instructions', [])}
+        FROM e LEFT JOIN r ON user_id = record_no""",
+    ("pairs",),
 )
 def _(t):
-    stages = t.events.groupBy("user_id").pivot("event_type", ["click", "view", "signup"]).agg(F.sum("value"))
-    flat = stages.select(
-        "user_id",
-        F.lit(0.0).alias("model_load"),
-        F.col("click").alias("english"),
-        F.col("view").alias("marathi"),
-        F.col("signup").alias("extraction"),
-        (F.coalesce("click", F.lit(0.0)) + F.coalesce("view", F.lit(0.0)) + F.coalesce("signup", F.lit(0.0))).alias("total"),
-        F.concat(F.lit("recording "), F.col("user_id").cast("string")).alias("english_text"),
-        F.lit("नोंद").alias("marathi_text"),
-        F.lit(None).cast(schemas.PRESCRIPTION).alias("entities"),
-    )
+    stages = t.events.groupBy("user_id").pivot("event_type", list(EVENT_STAGES)).agg(F.sum("value"))
+    pairs = t.pairs().select("record_no", "row_id", J.typed(X.strip_marker(F.col("output")), schemas.PRESCRIPTION).alias("record"))
+    found = pairs.filter(F.col("record").isNotNull()).groupBy("record_no").agg(F.min_by("record", "row_id").alias("entities"))
+    total = sum((F.coalesce(s, F.lit(0.0)) for s in EVENT_STAGES), F.lit(0.0))
+    flat = stages.join(found, F.col("user_id") == F.col("record_no"), "left").select(
+        *EVENT_STAGES, total.alias("total"), F.concat(F.lit("recording "), F.col("user_id").cast("string")).alias("english_text"),
+        F.lit("नोंद").alias("marathi_text"), "entities",
+    )
     path = scratch_dir(t.spark, "results")
-    S.write_results(S.run_results(flat), path)
+    S.write_results(S.run_results(flat, (*EVENT_STAGES, "total")), path)
     back = S.read_results(t.spark, path)
+    shown = lambda fields: lambda m: F.concat_ws("/", *[F.coalesce(m[f], F.lit("")) for f in fields])
+    e = F.col("entities")
     return back.select(
         F.col("transcripts")["english"].alias("english_text"),
         F.col("transcripts")["marathi"].alias("marathi_text"),
-        F.round(F.col("timings")["total"], 6).alias("total"),
-        F.col("entities").isNull().alias("no_entities"),
-    )
+        *[(F.round(F.col("timings")[s], 6) + F.lit(0.0)).alias(s) for s in (*EVENT_STAGES, "total")],
+        *[F.array_join(F.when(e.isNotNull(), F.coalesce(F.transform(e[n], shown(k)), F.array())), "|").alias(n) for n, k in (("medicines", schemas.MEDICINE_KEYS), ("tests", schemas.TEST_KEYS))],
+        *[F.array_join(F.when(e.isNotNull(), F.coalesce(e[n], F.array())), "|").alias(n) for n in ("diseases", "symptoms", "instructions")],
+    )
 
 
 @query(
@@ -119,6 +138,26 @@ def _(t):
     return C.reassemble(t.raw_lines(), F.floor(F.col("line_no") / 4096), ends=(".",))
 
 
+JSON_LINES = """SELECT record_no AS file, row_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS line
+          FROM (SELECT *, string_split('"' || input || chr(10) || replace(replace(output, ' AAA', '"'), '},', '} ,' || chr(10)), chr(10)) AS parts FROM pairs)"""
+
+
+@query(
+    "record_reassemble_json",
+    f"""WITH raw AS ({JSON_LINES}), kept AS (SELECT file, row_id, line_no, {sql_strip('line')} AS line FROM raw),
+        numbered AS (SELECT *, coalesce(sum(CASE WHEN line LIKE '%}}' OR line LIKE '%}}"' THEN 1 ELSE 0 END) OVER
+                (PARTITION BY file ORDER BY row_id, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS record_no
+            FROM kept WHERE length(line) > 0)
+        SELECT file, record_no, string_agg(line, ' ' ORDER BY row_id, line_no) AS text FROM numbered
+        GROUP BY file, record_no HAVING bool_or(line LIKE '%}}' OR line LIKE '%}}"')""",
+    ("pairs",),
+)
+def _(t):
+    text = F.concat(F.lit('"'), "input", F.lit("\n"), F.replace(F.replace("output", F.lit(" AAA"), F.lit('"')), F.lit("},"), F.lit("} ,\n")))
+    lines = t.pairs().select(F.col("record_no").alias("file"), "row_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return C.reassemble(lines, F.lit(0), order=("row_id", "line_no"))
+
+
 RECORDS = "'  \"' || input || '\" ' || output || '\" '"
 
 

@@ -24,9 +24,20 @@ FENCES = r"regexp_replace(text, '```(?:json)?\s*|\s*```', '', 'g')"
 OUTER = r"nullif(regexp_extract({}, '\{{[\s\S]*\}}'), '')"
 
 
-@query("fence_strip", f"SELECT conv_id, chunk_no, {FENCES} AS text FROM model_output", ("model_output",))
+ANY_FENCE = r"regexp_replace({}, '```[a-z]*\s*|\s*```', '', 'g')"
+TAGGED = "CASE WHEN chunk_no % 3 = 0 THEN replace(text, '```json', '```python') WHEN chunk_no % 3 = 1 THEN replace(text, '```json', '```') ELSE text END"
+
+
+def tagged(text="text"):
+    """Fences with another tag or none in two thirds of the rows."""
+    n = F.col("chunk_no") % 3
+    other = lambda tag: F.replace(F.col(text), F.lit("```json"), F.lit(tag))
+    return F.when(n == 0, other("```python")).when(n == 1, other("```")).otherwise(F.col(text))
+
+
+@query("fence_strip", f"SELECT conv_id, chunk_no, {ANY_FENCE.format(TAGGED)} AS text FROM model_output", ("model_output",))
 def _(t):
-    return t.model_output().withColumn("text", J.strip_fences(F.col("text")))
+    return t.model_output().withColumn("text", J.strip_fences(tagged()))
 
 
 @query("json_outer", f"SELECT conv_id, chunk_no, {OUTER.format('text')} AS found FROM model_output", ("model_output",))
@@ -34,16 +45,22 @@ def _(t):
     return t.model_output().select("conv_id", "chunk_no", J.outer_object(F.col("text")).alias("found"))
 
 
-@query(
-    "json_balanced",
-    """WITH c AS (SELECT conv_id, chunk_no, text, unnest(range(1, length(text) + 1)) AS i FROM model_output),
-       d AS (SELECT *, CASE substring(text, i, 1) WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END AS v FROM c),
+def balanced_sql(source: str) -> str:
+    """CTEs after which ``e`` has start and finish of the first balanced span of each text in ``source``."""
+    return f"""c AS (SELECT conv_id, chunk_no, text, unnest(range(1, length(text) + 1)) AS i FROM {source}),
+       d AS (SELECT *, CASE substring(text, i, 1) WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END AS v FROM c),
        p AS (SELECT *, sum(v) OVER (PARTITION BY chunk_no ORDER BY i) AS depth FROM d WHERE v <> 0),
        s AS (SELECT *, min(depth) OVER (PARTITION BY chunk_no ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM p),
        b AS (SELECT chunk_no, min(i) AS start, min_by(depth, i) AS depth FROM s WHERE v = 1 AND later < depth GROUP BY chunk_no),
-       e AS (SELECT b.chunk_no, b.start, min(p.i) AS finish FROM b JOIN p ON p.chunk_no = b.chunk_no AND p.i > b.start AND p.depth < b.depth GROUP BY ALL)
-       SELECT conv_id, chunk_no, CASE WHEN finish IS NOT NULL THEN substring(text, start, finish - start + 1) END AS found
-       FROM model_output LEFT JOIN e USING (chunk_no)""",
+       e AS (SELECT b.chunk_no, b.start, min(p.i) AS finish FROM b JOIN p ON p.chunk_no = b.chunk_no AND p.i > b.start AND p.depth < b.depth GROUP BY ALL)"""
+
+
+SPAN = "CASE WHEN finish IS NOT NULL THEN substring(text, start, finish - start + 1) END"
+
+
+@query(
+    "json_balanced",
+    f"WITH {balanced_sql('model_output')} SELECT conv_id, chunk_no, {SPAN} AS found FROM model_output LEFT JOIN e USING (chunk_no)",
     ("model_output",),
 )
 def _(t):

@@ -40,7 +40,7 @@ def compare(df, con, sql: str) -> str | None:
     rows = rel.fetchall()
     kinds_sql = {columns[i]: str(d[1]) for i, d in enumerate(rel.description)}
     theirs = sorted([tuple(cell(r[i]) for i in at) for r in rows])
-    kind = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    kind = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     for f in df.schema.fields:
         want = kind.get(f.dataType.simpleString(), "?")
         if want not in kinds_sql[f.name].upper() and not (want == "VARCHAR" and "STRING" in kinds_sql[f.name].upper()):
