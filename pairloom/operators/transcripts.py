@@ -111,51 +111,55 @@ def label_segments(chunks: DataFrame, key: str, block_rows: int = 4096) -> DataF
     return runs.join(ends, key).select(key, "start", F.coalesce("__next", "__last").alias("end"), "label")
 
 
-LEAF_SECONDS = 64.0
 ROOT_LEVEL = 48
+LEAF_SHARE = 0.95
 
 
-def _level(start: Column, end: Column, leaf: float) -> Column:
-    """Level of the smallest tree nodes an interval spans two or three of; the root for endless ones."""
-    steps = F.greatest(end - start, F.lit(0.0)) / leaf
-    level = F.ceil(F.log2(F.greatest(steps, F.lit(1.0))))
-    return F.when(start.isNull() | end.isNull(), F.lit(None)).when(steps >= 2.0 ** (ROOT_LEVEL - 1), ROOT_LEVEL).otherwise(level).cast("int")
+def _level(start: Column, end: Column) -> Column:
+    """Level n whose nodes of 2^n seconds an interval spans two or three of at most; the root for endless ones."""
+    steps = F.ceil(F.log2(F.greatest(end - start, F.lit(2.0**-10))))
+    return F.when(start.isNotNull() & end.isNotNull(), F.least(steps, F.lit(ROOT_LEVEL))).cast("int")
 
 
-def _in_tree(rows: DataFrame, start: str, end: str, other_levels: Column, leaf: float) -> DataFrame:
-    """Each interval at its own level and at the higher levels the other side uses, at two or three nodes each."""
-    own = F.col("__own")
-    rows = rows.withColumn("__levels", other_levels)
-    levels = F.array_append(F.filter("__levels", lambda x: x > own), own)
+def _in_tree(rows: DataFrame, start: str, end: str, levels: list[int], leaf: int) -> DataFrame:
+    """Each interval at its own level, ``leaf`` at least, and at those above it of the given ``levels``."""
+    own = F.greatest(F.col("__own"), F.lit(leaf))
+    above = F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x > own)
 
     def nodes(level):
-        width = F.pow(F.lit(2.0), level) * leaf
+        width = F.pow(F.lit(2.0), level)
         whole = F.sequence(F.floor(F.col(start) / width), F.floor(F.greatest(F.col(start), F.col(end)) / width))
         root = F.array(F.lit(0).cast("bigint"))
         return F.transform(F.when(level == ROOT_LEVEL, root).otherwise(whole), lambda n: F.struct(level.alias("level"), n.alias("node")))
 
-    at = F.flatten(F.transform(F.array_distinct(levels), nodes))
-    return rows.withColumn("__at", F.explode_outer(at)).drop("__levels")
+    at = F.flatten(F.transform(F.array_append(above, own), nodes))
+    return rows.withColumn("__own", own).withColumn("__at", F.explode_outer(at))
 
 
-def align_speakers(segments: DataFrame, turns: DataFrame, key: str, seg: str = "seg_no", leaf_seconds: float = LEAF_SECONDS) -> DataFrame:
+def align_speakers(segments: DataFrame, turns: DataFrame, key: str, seg: str = "seg_no", leaf_share: float = LEAF_SHARE) -> DataFrame:
     """Label each segment with the turn it overlaps most; equal overlaps go to the earlier turn.
 
-    Intervals meet in a dyadic tree of time: an interval stands at the level whose nodes are about its length, and
-    once more at each higher level that the other side uses at all (at most ``ROOT_LEVEL``, found by one aggregate).
-    Two overlapping intervals share a node at the level of the longer one. So a turn of 10^9 seconds is three rows, and a
-    recording with most of the rows is dealt out over its nodes. The best turn is kept by a mergeable aggregate.
-    Segments without overlap, or without a time, keep a NULL label.
+    Intervals meet in a dyadic tree of time: an interval stands at the level whose nodes are about its length, and once
+    more at each higher level that the other side uses at all. Two overlapping intervals share a node at the level of the
+    longer one. The leaves are as long as ``leaf_share`` of all intervals at most; a first pass counts intervals per
+    level (at most ``ROOT_LEVEL`` + 11 a side). So a turn of 10^9 seconds is three rows, and a recording with most of
+    the rows is dealt out over its nodes. The best turn is kept by a mergeable aggregate. Segments without overlap, or
+    without a time, keep a NULL label; ``seg`` must be unique in its recording.
     """
-    left = segments.select(key, seg, "start", "end", "text", _level(F.col("start"), F.col("end"), leaf_seconds).alias("__own"))
+    left = segments.select(key, seg, "start", "end", "text", _level(F.col("start"), F.col("end")).alias("__own"))
     right = turns.select(
         F.col(key).alias("__key"), F.col("start").alias("t_start"), F.col("end").alias("t_end"), F.col("label").alias("t_label"),
-        _level(F.col("start"), F.col("end"), leaf_seconds).alias("__own"),
+        _level(F.col("start"), F.col("end")).alias("__own"),
     ).filter("t_end > t_start")
-    used = lambda rows: rows.agg(F.collect_set("__own").alias("levels")).scalar()
-    left_levels, right_levels = used(left), used(right)
-    left = _in_tree(left, "start", "end", right_levels, leaf_seconds).withColumnRenamed("__own", "__l_own")
-    right = _in_tree(right, "t_start", "t_end", left_levels, leaf_seconds).withColumnsRenamed({"__own": "__r_own", "__at": "__t_at"})
+    sides = left.select(F.lit("l").alias("side"), "__own").unionAll(right.select(F.lit("r"), "__own"))
+    counts = sides.filter("__own IS NOT NULL").groupBy("side", "__own").agg(F.count(F.lit(1)).alias("n")).collect()
+    leaf, reached, total = 0, 0, sum(r["n"] for r in counts)
+    for r in sorted(counts, key=lambda r: r["__own"]):
+        if reached < leaf_share * total:
+            leaf, reached = r["__own"], reached + r["n"]
+    used = lambda side: sorted({max(r["__own"], leaf) for r in counts if r["side"] == side})
+    left = _in_tree(left, "start", "end", used("r"), leaf).withColumnRenamed("__own", "__l_own")
+    right = _in_tree(right, "t_start", "t_end", used("l"), leaf).withColumnsRenamed({"__own": "__r_own", "__at": "__t_at"})
     meet = (
         (F.col(key) == F.col("__key"))
         & (F.col("__at")["level"] == F.col("__t_at")["level"])
@@ -165,13 +169,11 @@ def align_speakers(segments: DataFrame, turns: DataFrame, key: str, seg: str = "
         & (F.col("end") > F.col("t_start"))
     )
     overlap = F.least("end", "t_end") - F.greatest("start", "t_start")
-    candidate = F.when(
-        F.col("t_start").isNotNull() & (overlap > 0), F.struct((-overlap).alias("o"), F.col("t_start").alias("s"), F.col("t_label").alias("l"))
-    )
-    best = left.join(right, meet, "left").groupBy(key, seg).agg(
-        F.first("start").alias("start"), F.first("end").alias("end"), F.first("text").alias("text"), F.min(candidate).alias("best")
-    )
-    return best.select(key, seg, "start", "end", X.strip(F.col("text")).alias("text"), F.col("best")["l"].alias("label"))
+    pairs = left.drop("text").join(right, meet).filter(overlap > 0)
+    first = F.struct((-overlap).alias("o"), F.col("t_start").alias("s"), F.col("t_label").alias("l"))
+    best = pairs.groupBy(key, seg).agg(F.min(first).alias("best"))
+    rows = segments.select(key, seg, "start", "end", X.strip(F.col("text")).alias("text")).join(best, [key, seg], "left")
+    return rows.select(key, seg, "start", "end", "text", F.col("best")["l"].alias("label"))
 
 
 def speaker_line(label: Column, text: Column) -> Column:

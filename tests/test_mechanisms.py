@@ -65,18 +65,17 @@ def test_alignment_against_brute_force(spark):
         want[i] = min(fits)[2] if fits else None
     left = spark.createDataFrame([*segs, (0, 999, None, None, "x")], "rec_id int, seg_no int, start double, end double, text string")
     right = spark.createDataFrame(turns, "rec_id int, start double, end double, label int")
-    for leaf in (1.0, 64.0, 4096.0):
-        got = {r["seg_no"]: r["label"] for r in R.align_speakers(left, right, "rec_id", leaf_seconds=leaf).collect()}
+    for share in (0.01, 0.75, 1.0):
+        got = {r["seg_no"]: r["label"] for r in R.align_speakers(left, right, "rec_id", leaf_share=share).collect()}
         assert got == want | {999: None}
 
 
 def test_huge_turns_stay_a_few_rows(spark):
     turns = spark.createDataFrame([(0, 5.0, 5.0 + 10.0**k) for k in range(12)] + [(0, 0.0, math.inf)], "rec_id int, start double, end double")
-    rows = turns.withColumn("__own", R._level(F.col("start"), F.col("end"), 64.0))
-    every = F.array(*[F.lit(x) for x in range(R.ROOT_LEVEL + 1)])
-    alone = R._in_tree(rows, "start", "end", F.array().cast("array<int>"), 64.0).groupBy("end").count().collect()
+    rows = turns.withColumn("__own", R._level(F.col("start"), F.col("end")))
+    alone = R._in_tree(rows, "start", "end", [], 0).groupBy("end").count().collect()
     assert max(r["count"] for r in alone) <= 3
-    spread = R._in_tree(rows, "start", "end", every, 64.0).groupBy("end").count().collect()
+    spread = R._in_tree(rows, "start", "end", list(range(R.ROOT_LEVEL + 1)), 0).groupBy("end").count().collect()
     assert max(r["count"] for r in spread) <= 3 * (R.ROOT_LEVEL + 1)
 
 
