@@ -14,7 +14,6 @@ hashes a row number, so a group never holds more than its share. An empty table
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,79 +23,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.store import save
+from pairloom.llm.tokencounts import Ids, loaded
 
 GROUP = 16_384
-CACHE = 400_000
-
-# Fixed value: the split rule of the byte-level tokenizer, for the characters that pass PLAIN.
-SPLIT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-# Characters whose class differs between this rule and the tokenizer's, or may: those texts go to the tokenizer whole.
-NOT_PLAIN = re.compile("[\x1c-\x1f²³¹¼-¾ɐ-\U0010ffff]|<\\|")
-
-
-class Tokens(dict):
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
-
-    A plain text is split by ``SPLIT`` and each part's ids are remembered (at most ``CACHE`` parts); parts are encoded
-    by the tokenizer itself. Other texts are encoded whole.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = self[part] = self.encode(part)
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        if NOT_PLAIN.search(text):
-            return self.encode(text)
-        return b"".join(map(self.__getitem__, SPLIT.findall(text)))
-
-
-_loaded: dict[str, Tokens] = {}
-
-
-def loaded(path: str) -> Tokens:
-    if path not in _loaded:
-        _loaded[path] = Tokens(path)
-    return _loaded[path]
-
+WEIGHTS = (1.0, 0.3, 0.3)  # of what is left in tokens, documents and attention cost
+ROWS = 2_000  # pieces that leave a task together
 
 PIECES = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 def pieces(docs: DataFrame, id_col: str, text: str, tokenizer: str, size: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Pieces of every document: id, piece, start, length, ids_crc32 and, if asked for, ids."""
-    end = np.array([end_id], "<u4").tobytes()
+    kinds = {"id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
+    if with_ids:
+        kinds["ids"] = pa.list_(pa.int32())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = loaded(tokenizer)
+        tokens = Ids(loaded(tokenizer))
+        out: list[tuple] = []
+
+        def sent() -> pa.RecordBatch:
+            columns = list(zip(*out)) if out else [()] * len(kinds)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], list(kinds))
+
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            out: list[tuple] = []
-            for key, text_value in zip(keys, texts):
-                ids = tokens.ids(text_value.as_py() or "") + end
-                n = len(ids) // 4
-                first = n % size or size
-                for k, start in enumerate([0, *range(first, n, size)]):
-                    part = ids[4 * start : 4 * (first if k == 0 else start + size)]
-                    out.append((key, k, start, len(part) // 4, zlib.crc32(part), part))
-            columns = list(zip(*out)) if out else [()] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            arrays = [pa.array(c, t) for c, t in zip(columns, kinds)]
-            names = ["id", "piece", "start", "length", "ids_crc32"]
-            if with_ids:
-                arrays.append(pa.array([np.frombuffer(p, "<u4").astype(np.int32) for p in columns[5]], pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            for key, ids in zip(batch.column(0), tokens.of(value.as_py() for value in batch.column(1))):
+                ids = np.append(ids, end_id).astype("<u4")
+                first = len(ids) % size or size
+                for k, start in enumerate([0, *range(first, len(ids), size)]):
+                    part = ids[start : first if k == 0 else start + size]
+                    out.append((key.as_py(), k, start, len(part), zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if with_ids else [])))
+                if len(out) >= ROWS:
+                    yield sent()
+        yield sent()
 
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
     return source.mapInArrow(work, PIECES + (", ids array<int>" if with_ids else ""))
@@ -160,13 +120,15 @@ def pack(
     size: int = 2048,
     max_documents: int | None = None,
     max_cost: int | None = None,
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
+    weights: tuple[float, float, float] = WEIGHTS,
     rule: str = "norm",
 ) -> DataFrame:
     """Add sequence_id and offset to pieces (id, piece, length and whatever else they carry).
 
-    Without limits on documents and cost a sequence may hold ``size`` one-token documents and cost ``size`` squared,
-    which tokens alone already imply.
+    Without limits on documents and cost a sequence may hold ``size`` one-token documents and cost ``size`` squared. All
+    three residuals choose the bin by their ``weights``: of two bins with equal room the one with more documents or more
+    cost so far is taken. On 9,998 documents (17 million tokens) the lower bound of 3,372 sequences is reached
+    with these weights, with (1, 0, 0) and with (1, 1, 1); the dot product needs 3,373.
     """
     capacity = (size, max_documents or size, max_cost or size * size)
     parts = save(parts.withColumn("__row", F.monotonically_increasing_id()), "pieces")

@@ -92,6 +92,7 @@ class Merges:
             code = [letters[c] for c in token if c in letters]
             self.beside[code[:-1], code[1:]] = True
         specials = sorted((t["content"] for t in rules["added_tokens"]), key=len, reverse=True)
+        self.special_ids = {t["content"]: t["id"] for t in rules["added_tokens"]}
         self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -99,22 +100,38 @@ class Merges:
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         return np.where(self.keys[at] == wanted, self.rank[at], NO_PAIR)
 
-    def surviving(self, raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Symbols left of each non-empty byte string after all merges; the strings stand one after the other in ``raw``."""
+    def cut_bytes(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths of the sequences that byte strings fall into, and the first sequence of each string."""
         owner_start = np.cumsum(sizes) - sizes
         cut = np.ones(len(raw), bool)
         cut[1:] = ~self.beside[raw[:-1], raw[1:]]
         cut[owner_start] = True
         starts = np.flatnonzero(cut)
-        lengths = np.diff(np.append(starts, len(raw)))
-        counts = self.merge(self.first[raw], lengths)
-        return np.add.reduceat(counts, np.searchsorted(starts, owner_start))
+        return np.diff(np.append(starts, len(raw))), np.searchsorted(starts, owner_start)
 
-    def merge(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Final length of each sequence of the ragged array."""
+    def surviving(self, raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Symbols left of each non-empty byte string after all merges; the strings stand one after the other in ``raw``."""
+        lengths, first = self.cut_bytes(raw, sizes)
+        return np.add.reduceat(self.merge(self.first[raw], lengths), first)
+
+    def symbols(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols themselves, one string after the other, and their number per string."""
+        lengths, first = self.cut_bytes(raw, sizes)
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        counts = self.merge(self.first[raw], lengths, done)
+        start = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.int32)
+        for which, n, found in done:
+            out[np.repeat(start[which] - np.cumsum(n) + n, n) + np.arange(len(found))] = found
+        return out, np.add.reduceat(counts, first)
+
+    def merge(self, symbols: np.ndarray, lengths: np.ndarray, done: list | None = None) -> np.ndarray:
+        """Final length of each sequence of the ragged array; ``done`` gets (sequences, lengths, symbols) as they end."""
         out = np.ones(len(lengths), np.int64)
-        live = np.flatnonzero(lengths > 1)
-        symbols, lengths = symbols[np.repeat(lengths > 1, lengths)], lengths[live]
+        live, single = np.flatnonzero(lengths > 1), lengths == 1
+        if done is not None:
+            done.append((np.flatnonzero(single), lengths[single], symbols[np.repeat(single, lengths)]))
+        symbols, lengths = symbols[np.repeat(~single, lengths)], lengths[live]
         ends = np.cumsum(lengths)
         rank = np.full(len(symbols), NO_PAIR, np.int32)
         inner = np.ones(len(symbols), bool)
@@ -127,6 +144,8 @@ class Merges:
             if not going.all():
                 out[live[~going]] = lengths[~going]
                 keep = np.repeat(going, lengths)
+                if done is not None:
+                    done.append((live[~going], lengths[~going], symbols[~keep]))
                 symbols, rank, live, lengths, lowest = symbols[keep], rank[keep], live[going], lengths[going], lowest[going]
                 if not len(live):
                     break
@@ -185,16 +204,11 @@ def token_starts(codes: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return start
 
 
-class Counts:
-    """Token counts of texts. Counts of pre-tokens are remembered by 64-bit hash; equal hashes are taken as equal."""
-
-    def __init__(self, merges: Merges):
-        self.merges = merges
-        self.known, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+class Pretokens:
+    """The pre-tokens of some non-empty texts without special strings, distinct ones by 64-bit hash."""
 
-    def of_run(self, texts: list[str]) -> np.ndarray:
-        """Tokens of each of some non-empty texts without special strings."""
-        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    def __init__(self, texts: list[str]):
+        self.codes = codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         begin = np.cumsum([0, *map(len, texts)])
         edge = np.zeros(len(codes) + 3, bool)
         edge[begin[:-1]] = edge[-3:] = True
@@ -204,26 +218,44 @@ class Counts:
         total = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(mix(codes + np.uint64(1)) * up[: len(codes)], out=total[1:])
         hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-        distinct, example, which = np.unique(hashes, return_index=True, return_inverse=True)
-        found = np.zeros(len(distinct), np.int64)
+        self.hashes, example, self.which = np.unique(hashes, return_index=True, return_inverse=True)
+        self.first, self.lengths = starts[example], (ends - starts)[example]
+        self.of_text = np.searchsorted(starts, begin[:-1])  # the first pre-token of each text
+
+    def spelled(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 bytes of some distinct pre-tokens, one after the other, and their sizes."""
+        first, lengths = self.first[some], self.lengths[some]
+        chosen = self.codes[np.repeat(first - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
+        wide = 1 + (chosen >= 0x80) + (chosen >= 0x800) + (chosen >= 0x10000)
+        raw = np.frombuffer(chosen.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
+        return raw, np.add.reduceat(wide, np.cumsum(lengths) - lengths)
+
+
+class Counts:
+    """Token counts of texts. Counts of pre-tokens are remembered by 64-bit hash; equal hashes are taken as equal."""
+
+    def __init__(self, merges: Merges):
+        self.merges = merges
+        self.known, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def of_run(self, texts: list[str]) -> np.ndarray:
+        """Tokens of each of some non-empty texts without special strings."""
+        seen = Pretokens(texts)
+        found = np.zeros(len(seen.hashes), np.int64)
         if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
-            hit = self.known[at] == distinct
+            at = np.minimum(np.searchsorted(self.known, seen.hashes), len(self.known) - 1)
+            hit = self.known[at] == seen.hashes
             found[hit] = self.counts[at[hit]]
         new = np.flatnonzero(found == 0)
         if len(new):
-            first, lengths = starts[example[new]], (ends - starts)[example[new]]
-            chosen = codes[np.repeat(first - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
-            wide = 1 + (chosen >= 0x80) + (chosen >= 0x800) + (chosen >= 0x10000)
-            raw = np.frombuffer(chosen.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
-            found[new] = self.merges.surviving(raw, np.add.reduceat(wide, np.cumsum(lengths) - lengths))
+            found[new] = self.merges.surviving(*seen.spelled(new))
             kept = len(self.known) < KNOWN
             fresh = new if kept else slice(None)
-            keys = np.concatenate([self.known[: len(self.known) * kept], distinct[fresh]])
+            keys = np.concatenate([self.known[: len(self.known) * kept], seen.hashes[fresh]])
             order = np.argsort(keys, kind="stable")
             self.counts = np.concatenate([self.counts[: len(self.counts) * kept], found[fresh]])[order]
             self.known = keys[order]
-        return np.add.reduceat(found[which], np.searchsorted(starts, begin[:-1]))
+        return np.add.reduceat(found[seen.which], seen.of_text)
 
     def of(self, texts: Iterable[str | None]) -> list[int]:
         out, run, places, size = [], [], [], 0
@@ -259,6 +291,78 @@ def cut(text: str) -> Iterator[str]:
         at = end
 
 
+class Ids:
+    """Token ids of texts, by the same merges; ids of pre-tokens are remembered like their counts."""
+
+    def __init__(self, merges: Merges):
+        self.merges = merges
+        self.known = np.zeros(0, np.uint64)
+        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def of_run(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each of some non-empty texts without special strings."""
+        seen = Pretokens(texts)
+        start, size = np.zeros(len(seen.hashes), np.int64), np.zeros(len(seen.hashes), np.int64)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, seen.hashes), len(self.known) - 1)
+            hit = self.known[at] == seen.hashes
+            start[hit], size[hit] = self.start[at[hit]], self.size[at[hit]]
+        new = np.flatnonzero(size == 0)
+        if len(new):
+            if len(self.known) + len(new) > KNOWN:  # from here on only what this run holds
+                old = np.flatnonzero(size)
+                self.flat, self.known = self.gathered(start[old], size[old]), seen.hashes[old]
+                self.size, self.start = size[old], np.cumsum(size[old]) - size[old]
+                start[old] = self.start
+            more, sizes = self.merges.symbols(*seen.spelled(new))
+            start[new], size[new] = len(self.flat) + np.cumsum(sizes) - sizes, sizes
+            self.flat = np.concatenate([self.flat, more])
+            keys = np.concatenate([self.known, seen.hashes[new]])
+            order = np.argsort(keys, kind="stable")
+            self.known = keys[order]
+            self.start, self.size = np.concatenate([self.start, start[new]])[order], np.concatenate([self.size, size[new]])[order]
+        each = size[seen.which]
+        ids = self.gathered(start[seen.which], each)
+        return np.split(ids, np.add.reduceat(each, seen.of_text).cumsum()[:-1])
+
+    def gathered(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return self.flat[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+    def of(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """Ids of every text, in order; special strings inside texts are their own ids."""
+        rows: list[list] = []
+        run, places, size = [], [], 0
+
+        def flush():
+            for (row, place), ids in zip(places, self.of_run(run) if run else []):
+                row[place] = ids
+            run.clear()
+            places.clear()
+
+        for text in texts:
+            row: list = []
+            rows.append(row)
+            pieces = self.merges.special.splititer(text) if text and self.merges.special else [text or ""]
+            marks = iter(self.merges.special.findall(text)) if text and self.merges.special else iter(())
+            for k, piece in enumerate(pieces):
+                if k:
+                    row.append(np.array([self.merges.special_ids[next(marks)]], np.int32))
+                for part in cut(piece):
+                    places.append((row, len(row)))
+                    row.append(None)
+                    run.append(part)
+                    size += len(part)
+                    if size >= RUN:
+                        flush()
+                        size = 0
+                        for done in rows[:-1]:
+                            yield np.concatenate(done) if done else self.flat[:0]
+                        del rows[:-1]
+        flush()
+        for done in rows:
+            yield np.concatenate(done) if done else self.flat[:0]
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", limit: int = 512) -> DataFrame:
     """``id_col``, n_bytes, n_tokens and over_limit (n_tokens > ``limit``) of every row."""
 
