@@ -2,7 +2,8 @@
 
 A page becomes a tree of block elements; inline elements only mark where links are. Elements that never hold an
 article (scripts, forms, menus, page headers and footers, asides) and those whose class, id or role names an advert,
-menu, notice or comment list are left out with all they hold. Every text block passes points to its ancestors: one,
+menu, notice or comment list are left out with all they hold, unless the page's only article is in there. Whole words of a class
+count, and none beside a state: ``has-sidebar`` and ``comments-open`` name what is around an article. Every text block passes points to its ancestors: one,
 one per comma, and one per 100 characters (at most ``LENGTH_POINTS``), all of it to the parent, half to the grandparent, a third and
 less above. Points are discounted by the share of link text. The best container is kept, or the article (else main) element around it, with those siblings that
 score a fifth of it or are long blocks of few links. Blocks of the kept elements are joined by a line break in page
@@ -35,13 +36,19 @@ BLOCKS = frozenset(
 CLOSES_P = BLOCKS - {"caption", "tbody", "thead", "tfoot", "tr"}
 OWN_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}, "tbody": {"tr", "tbody", "thead"}, "tfoot": {"tr", "tbody", "thead"}}
 HOLDERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|breadcrumbs?|comments?|commentlist|consent|cookies?\w*|disqus|disclaimer|footer|gdpr|"
-    r"header|masthead|menu\w*|modal|nav\w*|newsletter|notices?|notification|alert|outbrain|pagination|pager|popup|promo\w*|related|recommend\w*|"
-    r"replies|reply|respond|rss|share|sharing|sidebars?|skip|social|sponsor\w*|subscribe|subscription|taboola|toolbar|topbar|overlay|widget|"
-    r"reader-comments?|user-comments?|discussion)(?:$|[\s_-])",
-    re.I,
+# Parts of a class or id that name what is not the article; those after the first list never hold it by their size.
+PLACES = "header masthead modal overlay popup share sharing sidebar sidebars skip social toolbar topbar widget"
+NOTICES = (
+    "ad ads advert advertisement adverts adsense adbox alert banner breadcrumb breadcrumbs consent cookie cookies disclaimer footer gdpr "
+    "menu menus nav navbar navigation newsletter notice notices notification outbrain pagination pager promo promoted promotion recommend "
+    "recommended recommendations related rss sponsor sponsored sponsors subscribe subscription taboola"
 )
+COMMENTS = "comment comments commentlist discussion disqus replies reply respond"
+PLACE, NOTICE, COMMENT, SURE = 1, 2, 3, 4
+DOUBTS = dict.fromkeys(PLACES.split(), PLACE) | dict.fromkeys(NOTICES.split(), NOTICE) | dict.fromkeys(COMMENTS.split(), COMMENT)
+# Beside one of them these say how a container looks or what it has around it, as in has-sidebar or comments-open.
+STATES = frozenset("active closed disabled enabled expanded collapsed fixed has hide hides layout no not off on open opened show shows visible with without".split())
+LONG_BLOCK, LONG_TEXT = 80, 400
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog alert form toolbar".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
@@ -51,7 +58,7 @@ WATCHED = re.compile(r"class|id\b|role|hidden|style|itemprop", re.I)
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "skip", "score", "text", "links", "main", "heads_only")
+    __slots__ = ("name", "parent", "children", "skip", "score", "text", "links", "main", "heads_only", "doubt", "long", "all", "linked", "holds")
 
     def __init__(self, name, parent, skip=False, main=False):
         self.name, self.parent, self.skip, self.main = name, parent, skip, main
@@ -59,22 +66,36 @@ class Node:
         self.score = 0.0
         self.text = self.links = 0
         self.heads_only = False
+        self.doubt = self.long = self.all = self.linked = 0
+        self.holds = False
 
 
-def _unlikely(name: str, raw: str) -> tuple[bool, bool]:
-    """(left out, marked as the main text) from an element's attributes."""
+def doubt_of(names: str) -> int:
+    """The strongest doubt that a class or id raises, 0 if none."""
+    found = 0
+    for token in names.lower().split():
+        parts = [p for p in re.split(r"[-_]+", token) if p]
+        if not STATES.intersection(parts):
+            found = max([found, *(DOUBTS.get(p, 0) for p in parts)])
+    return found
+
+
+def _unlikely(name: str, raw: str) -> tuple[int, bool]:
+    """(doubt, whether marked as the main text) from an element's attributes."""
     if not WATCHED.search(raw):
-        return False, False
+        return 0, False
     values = {}
     for m in ATTRIBUTE.finditer(raw):
         values.setdefault((m[1] or m[5]).lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
     role = values.get("role", "").lower()
     main = role in ("main", "article") or values.get("itemprop", "").lower() == "articlebody"
     if "hidden" in values or values.get("aria-hidden", "").lower() == "true" or HIDDEN.search(values.get("style", "")):
-        return True, False
+        return SURE, False
+    names = f"{values.get('class', '')} {values.get('id', '')}"
     if main or name in ("article", "main", "body", "html"):
-        return False, main
-    return role in ROLES or bool(UNLIKELY.search(f"{values.get('class', '')} {values.get('id', '')}")), False
+        comment = name == "article" and doubt_of(names) == COMMENT
+        return (COMMENT if comment else 0), main and not comment
+    return (SURE if role in ROLES else doubt_of(names)), False
 
 
 def parse(page: str) -> Node:
@@ -164,8 +185,10 @@ def parse(page: str) -> Node:
             if up.name in OWN_KIND[name] and up.parent is not None:
                 close(up.parent)
         flush()
-        left_out, main = _unlikely(name, m[3])
+        doubt, main = _unlikely(name, m[3])
+        left_out = doubt == SURE
         child = Node(name, node, False, main)
+        child.doubt = doubt
         if name == "header" and not left_out and _article(node):
             child.heads_only = True
         elif name in DROPPED or name == "header" or left_out:
@@ -196,6 +219,43 @@ def _article(node):
     return None
 
 
+def settle(root: Node) -> None:
+    """Leave out the doubtful elements, save those around the article.
+
+    Where no article or main element stands outside them, one that holds such an element stays (a comment list only if
+    there is no long block outside either). A place (sidebar, header, widget and the like) also stays if its long blocks
+    of few links outweigh those outside doubtful elements three times: the page's text is there.
+    """
+    nodes = list(walk(root))
+    if not any(n.doubt for n in nodes):
+        return
+    outside, article = 0, False
+    under: dict[int, bool] = {}
+    for node in nodes:
+        under[id(node)] = bool(node.doubt) or (node.parent is not None and under.get(id(node.parent), False))
+        article |= not under[id(node)] and (node.main or node.name in ("article", "main"))
+    for node in reversed(nodes):
+        for c in node.children:
+            if isinstance(c, Node):
+                if not c.skip:
+                    node.all, node.linked, node.long = node.all + c.all, node.linked + c.linked, node.long + c.long
+                    node.holds |= not c.doubt and (c.holds or c.main or c.name in ("article", "main"))
+            else:
+                node.all, node.linked = node.all + len(c[0]), node.linked + c[1]
+                if len(c[0]) >= LONG_BLOCK and c[1] * 4 < len(c[0]):
+                    node.long += len(c[0])
+                    outside += 0 if under[id(node)] else len(c[0])
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        held = node.holds and not article and (node.doubt < COMMENT or not outside)
+        heavy = node.doubt == PLACE and node.long >= LONG_TEXT and node.long >= 3 * outside and node.linked * 3 < node.all
+        if node.doubt and not held and not heavy:
+            node.skip = True
+        else:
+            stack.extend(c for c in node.children if isinstance(c, Node) and not c.skip)
+
+
 def walk(root: Node):
     """Nodes in page order, parents first, without those left out."""
     stack = [root]
@@ -249,6 +309,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    settle(root)
     score(root)
     nodes = list(walk(root))
     best = max(nodes, key=lambda n: n.score)
