@@ -39,10 +39,10 @@ def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(archive, record_no, id, record): the pages as ordered WARC records."""
+    """(archive, record_no, id, record): the pages as ordered WARC records, written once, which fixes their order."""
     place = F.monotonically_increasing_id()
     rows = pages.select(place.alias("p"), F.col(id_col).alias("id"), record_bytes(F.col(id_col), F.col(url), F.col(html)).alias("record"))
-    return rows.select(F.shiftright("p", 33).alias("archive"), F.col("p").bitwiseAND((1 << 33) - 1).alias("record_no"), "id", "record")
+    return save(rows.select(F.shiftright("p", 33).alias("archive"), F.col("p").bitwiseAND((1 << 33) - 1).alias("record_no"), "id", "record"), "archive")
 
 
 def leaves(records: DataFrame) -> DataFrame:
@@ -101,11 +101,17 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def damaged(records: DataFrame, every: int = 101, lost: int = 1009) -> DataFrame:
-    """A replica with planted damage: a byte of every ``every``-th page changed (by hashed id), every ``lost``-th cut short."""
-    pick = F.pmod(F.xxhash64("id"), F.lit(every)) == 0
-    cut = F.pmod(F.xxhash64("id"), F.lit(lost)) == 1
-    n = F.octet_length("record")
+    """A replica with planted damage, in every archive from its first records on.
+
+    Of each ``every`` records the first has a changed byte; of each ``lost`` the second is cut short and the third is gone.
+    """
+    n, place = F.octet_length("record"), F.col("record_no")
     at = F.pmod(F.xxhash64("record"), n).cast("int")
     flipped = F.concat(F.substring("record", F.lit(1), at), F.unhex(F.lpad(F.hex(255 - F.conv(F.hex(F.substring("record", at + 1, F.lit(1))), 16, 10).cast("int")), 2, "0")), F.substring("record", at + 2, n))
-    changed = F.when(cut, F.substring("record", F.lit(1), n - 1)).when(pick, flipped).otherwise(F.col("record"))
-    return records.withColumn("record", changed)
+    changed = F.when(place % lost == 1, F.substring("record", F.lit(1), n - 1)).when(place % every == 0, flipped).otherwise(F.col("record"))
+    return records.filter(place % lost != 2).withColumn("record", changed)
+
+
+def incomplete(records: DataFrame, lost: int = 1009) -> DataFrame:
+    """A replica without the fourth of each ``lost`` records of an archive."""
+    return records.filter(F.col("record_no") % lost != 3)

@@ -31,9 +31,9 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit of the pages' archive against a replica with planted damage."""
+    """Audit of two replicas of the pages' archive: the one lacks records, the other has planted damage."""
     records = fixity.archive(table(spark, sf_dir, "pages"))
-    left = save(fixity.leaves(records), "left-leaves")
+    left = save(fixity.leaves(fixity.incomplete(records)), "left-leaves")
     right = save(fixity.leaves(fixity.damaged(records)), "right-leaves")
     found = fixity.audit(left, right)
     return found.select("archive", "record_no", F.coalesce("left_id", "right_id").alias("page_id"), "kind", *[f"{s}_{c}" for s in ("left", "right") for c in ("offset", "length", "hash")])
