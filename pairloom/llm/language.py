@@ -1,8 +1,8 @@
 """Language identification by rank-order n-gram profiles.
 
 Words are runs of letters, lower-cased and padded with a blank on both sides; n-grams have 1 to 3 characters. A
-language's profile is its ``PROFILE`` most frequent n-grams over a sample of ``FIT_ROWS`` training documents, a document's profile its
-own most frequent ones over its whole text; ties go to the smaller n-gram. The out-of-place distance adds up, over
+language's profile is its ``PROFILE`` most frequent n-grams over a sample of training documents (of ``FIT_ROWS`` in all every
+language gets an equal share, or all it has; those of smallest 64-bit hash), a document's profile its own most frequent ones over its whole text; ties go to the smaller n-gram. The out-of-place distance adds up, over
 the document's n-grams, the difference of the two ranks (``PROFILE`` where the language lacks the n-gram). The
 nearest language wins, ties to the smaller name; ``score`` is 1 - distance / largest possible distance. Texts that
 are null or without letters get ``und`` and score 0, and so does everything if nothing could be learned. Documents
@@ -18,7 +18,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,13 +154,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
         yield rows()
 
     train = docs.filter(learned_from(F.col(id_col)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = min(1.0, fit_rows / max(1, train.count()))
-    train = train.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sizes = {r[0]: r[1] for r in train.groupBy(lang).count().collect()}  # one row per language
+    each = max(1, fit_rows // max(1, len(sizes)))
+    below = F.lit(-(1 << 63)).cast("bigint")  # a language with more rows than ``each`` gives those of smallest 64-bit hash
+    for name, n in sizes.items():
+        cut = (1 << 63) - 1 if n <= each else -(1 << 63) + (each << 64) // n
+        below = F.when(F.col(lang) == name, F.lit(cut)).otherwise(below)
+    train = train.filter(F.xxhash64(F.col(id_col).cast("string")) <= below)
     parts = train.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(count, "lang string, gram bigint, n bigint")
     totals = save(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "profiles")
-    langs = sorted(r[0] for r in totals.select("lang").distinct().collect())
-    best = lambda name: totals.filter(F.col("lang") == name).orderBy(F.desc("n"), "gram").limit(PROFILE).collect()
-    return {name: np.array([r["gram"] for r in best(name)], np.int64) for name in langs}
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    best = totals.withColumn("rank", rank).filter(F.col("rank") <= PROFILE).orderBy("lang", "rank").collect()
+    profiles: dict[str, list[int]] = {}
+    for r in best:
+        profiles.setdefault(r["lang"], []).append(r["gram"])
+    return {name: np.array(grams, np.int64) for name, grams in profiles.items()}
 
 
 def distances(profiles: dict[str, np.ndarray], names: np.ndarray) -> np.ndarray:
