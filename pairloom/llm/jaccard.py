@@ -12,7 +12,8 @@ fewer words; empty without words or for null). Two documents link when
 3. Index lists part where no sizes are near enough to link, and are skipped by position: a list's pivot is the
    set in which the shingle stands first, that is the one with the fewest rarer shingles. Every other member is
    compared with the pivot only, exactly (two sets alone in their lists only if their sizes and places allow
-   a link). The comparison yields the member's difference from the pivot.
+   a link). Before any text moves, members whose 1,024-bit parity sketch rules out a link with the pivot and with every
+   other member are dropped, exactly. The comparison yields the member's difference from the pivot.
 4. Answers of similar sets are derived from these differences: for members x, y of one pivot,
    |x ^ y| = |dx| + |dy| - 2 |dx & dy|. Members that link with the pivot are connected by it already; only
    pairs with an unlinked member are worked out, in blocks of at most ``BLOCK`` members against blocks, and
@@ -35,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.store import likely_among, save
+from pairloom.llm.store import apart, likely_among, save, small_batches
 from pairloom.llm.words import Words, mix, sequence_hash, text_runs
 
 CELL_BITS = 18
 BLOCK = 256
 SALT_ROWS = 128
+SKETCH_BITS = 10  # a set's parity sketch has 2^10 bits
+SKETCH_BLOCK = 2048
 
 SIGNED = np.int64
 
@@ -74,6 +77,15 @@ def cells(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
+def parity_sketch(hashes: np.ndarray) -> list[int]:
+    """One bit per cell: whether an odd number of the set's hashes fall into it, as 64-bit words.
+
+    Two sets' sketches differ in at most as many bits as the sets do in elements: each of those changes one bit.
+    """
+    odd = np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(SIGNED).tolist()
+
+
 def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(2 << CELL_BITS, np.int64)
     for batch in batches:
@@ -109,10 +121,11 @@ def signatures(docs: DataFrame, id_col: str, text: str, n: int, percent: int) ->
 
     def sign(batches):
         for batch in batches:
-            sizes, keys_a, keys_b, prefixes = [], [], [], []
+            sizes, keys_a, keys_b, prefixes, sketches = [], [], [], [], []
             for s, place in row_sets(batch.column(2), n, counts.value):
                 sizes.append(len(s))
                 keys_a.append(int(mix(s).sum(dtype=np.uint64).astype(SIGNED)))
+                sketches.append(parity_sketch(s))
                 keys_b.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(SIGNED)))
                 keep = len(s) - -(-len(s) * percent // 100) + 1 if len(s) else 0
                 rank = np.lexsort((s, place))
@@ -127,11 +140,59 @@ def signatures(docs: DataFrame, id_col: str, text: str, n: int, percent: int) ->
                     "ka": pa.array(keys_a, pa.int64()),
                     "kb": pa.array(keys_b, pa.int64()),
                     "prefix": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                    "sketch": pa.array(sketches, pa.list_(pa.int64())),
                 }
             )
 
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
-    return source.mapInArrow(sign, "id bigint, th bigint, n bigint, ka bigint, kb bigint, prefix array<bigint>")
+    return source.mapInArrow(sign, "id bigint, th bigint, n bigint, ka bigint, kb bigint, prefix array<bigint>, sketch array<bigint>")
+
+
+def may_link(met: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``met`` (pivot, node, alone) that their sketches do not rule out.
+
+    Linked sets differ in at most (a + b) (100 - percent) / (100 + percent) elements, hence in as many bits at most. A
+    member stays if it may link with its pivot or with another member of the pivot's lists; only sketches meet here, in
+    blocks of ``SKETCH_BLOCK`` members, and where a pivot has more of them, only neighbouring set sizes. Exact: no
+    link is lost.
+    """
+    facts = nodes.select("node", "n", "sketch")
+    lead = facts.select(F.col("node").alias("pivot"), F.col("n").alias("n0"), F.col("sketch").alias("sketch0"))
+    rows = met.join(facts, "node").join(lead, "pivot")
+    words = (1 << SKETCH_BITS) // 64
+    differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch0")[i])) for i in range(words)), F.lit(0))
+    near = differ * (100 + percent) <= (F.col("n") + F.col("n0")) * (100 - percent)
+    rows = save(rows.select("pivot", "node", "alone", "n", "sketch", near.alias("near")).filter("near OR NOT alone"), "near")
+    several = rows.filter("NOT alone")
+    sizes = several.groupBy("pivot").agg(F.count("*").alias("all"), F.count_if(~F.col("near")).alias("far")).filter("far > 0 AND all > 1")
+    several = several.join(sizes.select("pivot", F.ceil(F.col("all") / SKETCH_BLOCK).cast("int").alias("blocks")), "pivot")
+    step = F.floor(F.ln("n") / (math.log(100 / percent) * (1 + 1e-9) + 1e-12)).cast("int")
+    several = several.withColumn("step", F.when(F.col("blocks") > 1, step).otherwise(0)).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    around = F.when(F.col("blocks") > 1, F.sequence(F.col("step") - 1, F.col("step") + 1)).otherwise(F.array(F.lit(0)))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    place = lambda s, b: F.struct(s.alias("step"), b.alias("block"))
+    others = F.flatten(F.transform(around, lambda s: F.transform(every, lambda b: place(s, b))))
+    own = place(F.col("step"), F.col("block"))
+    left = several.filter("NOT near").select("pivot", own.alias("a"), F.explode(others).alias("b"), F.lit(True).alias("asks"), "node", "n", "sketch")
+    right = several.select("pivot", F.explode(others).alias("a"), own.alias("b"), F.lit(False).alias("asks"), "node", "n", "sketch")
+
+    def partners(group: pa.Table) -> pa.Table:
+        asks = group.column("asks").to_numpy()
+        nodes, n = group.column("node").to_numpy(), group.column("n").to_numpy()
+        bits = group.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
+        theirs, ours = np.flatnonzero(~asks), np.flatnonzero(asks)
+        found = np.zeros(len(ours), bool)
+        for at in range(0, len(ours), 32):
+            some = ours[at : at + 32]
+            differ = np.bitwise_count(bits[some, None, :] ^ bits[None, theirs, :]).sum(axis=2, dtype=np.int64)
+            fits = differ * (100 + percent) <= (n[some, None] + n[None, theirs]) * (100 - percent)
+            found[at : at + 32] = (fits & (nodes[some, None] != nodes[None, theirs])).any(axis=1)
+        pivot = group.column("pivot").take(pa.array(ours[found]))
+        return pa.table({"pivot": pivot, "node": pa.array(nodes[ours[found]])})
+
+    kept = left.unionByName(right).groupBy("pivot", "a", "b").applyInArrow(partners, "pivot bigint, node bigint").distinct()
+    far = kept.select("pivot", "node", F.lit(False).alias("alone"))
+    return rows.filter("near").select("pivot", "node", "alone").union(far)
 
 
 def compare_with_pivot(members: DataFrame, n: int, percent: int) -> DataFrame:
@@ -285,9 +346,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def labelled(docs: DataFrame, id_col: str, text: str, n: int, percent: int) -> DataFrame:
     """(id, th, n, component_id, root) per document; ``root`` numbers the components and is null for empty sets."""
+    small_batches(docs.sparkSession)
     signed = save(signatures(docs, id_col, text, n, percent), "signatures")
     key = ["n", "ka", "kb"]
-    found = signed.filter("n > 0").groupBy(*key).agg(F.min("id").alias("low"), F.min(F.struct("th", "id")).alias("some"), F.first("prefix").alias("prefix"))
+    found = signed.filter("n > 0").groupBy(*key).agg(F.min("id").alias("low"), F.min(F.struct("th", "id")).alias("some"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
     nodes = save(found.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
 
     index = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -327,6 +389,7 @@ def labelled(docs: DataFrame, id_col: str, text: str, n: int, percent: int) -> D
     alone = F.col("others") == 0
     fits = F.col("direct") & (F.least("n", "n0") * 100 >= F.greatest("n", "n0") * percent)
     met = save(met.filter(~alone | fits).select("pivot", "node", alone.alias("alone")), "met")
+    met = save(may_link(met, nodes, percent), "may-link")
 
     per_pivot = met.groupBy("pivot").agg(F.count("*").alias("all"))
     member_rows = met.join(per_pivot, "pivot")
@@ -365,6 +428,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
 
     Documents without words link with nothing and stay. Of repeated rows (equal id and text) one stays. All columns stay.
     """
+    names, docs = docs.columns, apart(docs, "__id", "__th", "__rows")
     rows = labelled(docs, id_col, text, n, percent).withColumn("k", F.struct(F.col("id").isNull().alias("none"), "id", "th"))
     first = rows.filter("root is not null").groupBy("root").agg(F.min("k").alias("k"), F.count("*").alias("rows"))
     first = first.select("k.*").union(rows.filter("root is null").select("k.*").distinct())
@@ -375,4 +439,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     th = F.coalesce(F.xxhash64(docs[text]), F.lit(0))
     kept = docs.join(keep, (th == F.coalesce("__th", F.lit(0))) & docs[id_col].cast("bigint").eqNullSafe(keep["__id"]))
     once = kept.filter("__rows > 1").dropDuplicates(["__id", "__th"])
-    return kept.filter("__rows = 1").union(once).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.filter("__rows = 1").union(once).select(*[F.col(f"`{c}`") for c in docs.columns]).toDF(*names)

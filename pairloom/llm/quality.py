@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.store import save
+from pairloom.llm.store import apart, save
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -152,6 +152,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options
 
     The small verdicts meet the texts by id and text hash, so the texts move once.
     """
+    names, docs = docs.columns, apart(docs, "__id", "__th", "__drop")
     good = judge(docs, id_col=id_col, text=text, **options).filter("kept")
     good = good.groupBy(F.col(id_col).alias("__id"), "__th").agg(F.first("__drop").alias("__drop"))
     same = docs[id_col].eqNullSafe(good["__id"]) & (F.xxhash64(docs[text]) == good["__th"])
@@ -161,7 +162,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options
     out = kept.withColumn(text, F.when(F.col("__drop").isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns]).toDF(*names)
 
 
 SQL = r"""
@@ -174,16 +175,14 @@ c AS (SELECT *, max(f) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECE
 m AS (SELECT doc_id, count(*) AS n_words, sum(length(w))::BIGINT AS word_chars, sum(c)::BIGINT AS n_repeat_words FROM c GROUP BY doc_id),
 raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d),
 r AS (SELECT doc_id, (count(*) - count(DISTINCT l))::BIGINT AS n_dup_lines FROM raw WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-l AS (SELECT doc_id, host, trim(regexp_replace(translate(lower(l), '123456789' || chr(9) || chr(11) || chr(12) || chr(13), '000000000    '), ' {2,}', ' ', 'g'), ' ') AS l
-    FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS l FROM d)),
-n AS (SELECT doc_id, host, l, length(l) AS c FROM l WHERE l <> ''),
-o AS (SELECT doc_id, list_sort(list(DISTINCT {'c': c, 't': l}), 'DESC') AS o FROM n GROUP BY doc_id),
-k AS (SELECT n.*, o[1].t AS l1, coalesce(o[2].t, '') AS l2 FROM n JOIN o USING (doc_id)),
-s AS (SELECT host, l, count(DISTINCT CASE WHEN l = l1 THEN l2 ELSE l1 END) AS n FROM k GROUP BY host, l),
-h AS (SELECT host, count(DISTINCT l1) AS a FROM k GROUP BY host),
+l AS (SELECT doc_id, host, th, trim(regexp_replace(translate(lower(l), '123456789' || chr(9) || chr(11) || chr(12) || chr(13), '000000000    '), ' {2,}', ' ', 'g'), ' ') AS l
+    FROM (SELECT doc_id, host, md5(text) AS th, unnest(string_split(text, chr(10))) AS l FROM d)),
+n AS (SELECT doc_id, host, th, l, length(l) AS c FROM l WHERE l <> ''),
+s AS (SELECT host, l, count(DISTINCT th) AS n FROM n GROUP BY host, l),
+h AS (SELECT host, count(DISTINCT th) AS a FROM n GROUP BY host),
 b AS (SELECT host, l FROM s JOIN h USING (host) WHERE n > 20 AND n * 100 > a * 10),
-x AS (SELECT k.doc_id, sum(c)::BIGINT AS n_line_chars, coalesce(sum(CASE WHEN b.l IS NOT NULL THEN c END), 0)::BIGINT AS n_removed_chars
-    FROM k LEFT JOIN b ON k.host = b.host AND k.l = b.l GROUP BY k.doc_id),
+x AS (SELECT n.doc_id, sum(c)::BIGINT AS n_line_chars, coalesce(sum(CASE WHEN b.l IS NOT NULL THEN c END), 0)::BIGINT AS n_removed_chars
+    FROM n LEFT JOIN b ON n.host = b.host AND n.l = b.l GROUP BY n.doc_id),
 v AS (SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,

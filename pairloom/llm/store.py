@@ -34,6 +34,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+ARROW_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python a few thousand at a time; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
+def apart(docs: DataFrame, *inner: str) -> DataFrame:
+    """The same rows, with columns renamed that are called like an operator's own ones."""
+    return docs.toDF(*[f"own {c}" if c.lower() in inner else c for c in docs.columns])
+
+
 FILTER_BITS = 1 << 26
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.store import likely_among, save
+from pairloom.llm.store import apart, likely_among, save, small_batches
 from pairloom.llm.words import BASE, Words, mix, powers, text_runs
 
 KEY = 18
@@ -151,6 +151,7 @@ def spans_of(starts: Column, size: int) -> Column:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
     """(id, th, a, b, later): spans of repeated words, of first and of later occurrences."""
+    small_batches(docs.sparkSession)
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("bigint").alias("id"))
     named = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("th"), order.alias("o"))
     texts = named.groupBy("th").agg(F.min("o").alias("o"), F.count_distinct("o").alias("copies"))
@@ -208,6 +209,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_word
 
     What is cut leaves the white space before it; ``n_chars`` follows the text if present.
     """
+    names, docs = docs.columns, apart(docs, "__id", "__th", "__cuts")
     later = repeated_spans(docs, id_col, text, min_words).filter("later")
     cuts = later.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("a", "b")).alias("__cuts"))
     same = (F.xxhash64(docs[text]) == cuts["__th"]) & docs[id_col].cast("bigint").eqNullSafe(cuts["__id"])
@@ -243,4 +245,4 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_word
             yield pa.RecordBatch.from_arrays(columns, docs_columns).filter(pa.array(keep, pa.bool_()))
 
     docs_columns = docs.columns
-    return joined.mapInArrow(work, docs.schema)
+    return joined.mapInArrow(work, docs.schema).toDF(*names)

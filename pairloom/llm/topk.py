@@ -37,7 +37,7 @@ def whole_numbers(vectors: DataFrame, id_col: str, vector: str, scale: int) -> D
     rows = vectors.filter(usable & F.col(id_col).isNotNull())
     v = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("bigint"))
     rows = rows.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v")).dropDuplicates(["id", "v"])
-    return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)))
+    return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -87,9 +87,22 @@ def blocks(rows: DataFrame, cuts: list[float], counts: dict[int, int]) -> DataFr
     return dealt.groupBy("tier", "sub").applyInArrow(gather, "tier int, sub int, high double, ids binary, data binary")
 
 
-def search_block(q_ids, q, c_ids, c, limits, turn, k):
+def exact_scores(c: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers: in doubles while they stay below 2^53, else in whole numbers of any length.
+
+    Products beyond 64 bits become the nearest 64-bit number.
+    """
+    if float(np.abs(c.astype(np.float64)).max(initial=0)) * float(np.abs(q.astype(np.float64)).max(initial=0)) * len(q) < 2.0**53:
+        return (c.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
+    own = q.tolist()
+    whole = (sum(a * b for a, b in zip(row, own)) for row in c.tolist())
+    return np.array([min(max(s, -(1 << 63) + 1), (1 << 63) - 1) for s in whole], np.int64)
+
+
+def search_block(q_ids, q_whole, c_ids, c_whole, limits, turn, k):
     """Best k of one candidate block for each query: lists of (query, id, score)."""
     out = []
+    q, c = q_whole.astype(np.float64), c_whole.astype(np.float64)
     head = min(HEAD, q.shape[1])
     qr, cr = q @ turn, c @ turn
     q_rest = np.sqrt(np.maximum((qr[:, head:] ** 2).sum(axis=1), 0))
@@ -100,7 +113,7 @@ def search_block(q_ids, q, c_ids, c, limits, turn, k):
         may = np.flatnonzero((bound[i] + slack[i] >= limits[i]) & (c_ids != q_ids[i]))
         if not len(may):
             continue
-        score = (c[may] @ q[i]).astype(np.int64)  # whole numbers below 2^53: exact
+        score = exact_scores(c_whole[may], q_whole[i])
         if len(may) > k:
             least = np.partition(score, len(may) - k)[len(may) - k]
             may, score = may[score >= least], score[score >= least]
@@ -118,8 +131,8 @@ def meet(pairs: DataFrame, turn: np.ndarray, k: int) -> DataFrame:
             found = []
             for r in batch.to_pylist():
                 q_ids, c_ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q = np.frombuffer(r["q_data"], np.int64).reshape(-1, size).astype(np.float64)
-                c = np.frombuffer(r["data"], np.int64).reshape(-1, size).astype(np.float64)
+                q = np.frombuffer(r["q_data"], np.int64).reshape(-1, size)
+                c = np.frombuffer(r["data"], np.int64).reshape(-1, size)
                 limits = np.frombuffer(r["limits"], np.float64) if r["limits"] else np.full(len(q_ids), -np.inf)
                 found += search_block(q_ids, q, c_ids, c, limits, turn, k)
             columns = list(zip(*found)) if found else [(), (), ()]

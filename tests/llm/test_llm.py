@@ -1,9 +1,11 @@
 """Operators of the subpackage against brute force, round trips and edge cases."""
 
+import math
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -43,9 +45,22 @@ def rows_of(df, *names):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
-    df = QUERIES[name](spark, FOLDER)
-    wide = df.select(*[F.col(c).cast("bigint").alias(c) if t == "int" else c for c, t in df.dtypes])
-    assert compare(wide, database(FOLDER), SQL[name].replace("::INTEGER", "::BIGINT")) is None
+    assert compare(QUERIES[name](spark, FOLDER), database(FOLDER), SQL[name]) is None
+
+
+def test_quality_sql_where_documents_share_long_lines(spark, tmp_path):
+    """Two lines that are longer than the documents' own ones count every document."""
+    shared = ["we use cookies and similar tools to keep this site working for every reader " * 2, "all rights reserved by the owners of this site and its partners"]
+    name = lambda i, j: "".join(chr(97 + (i * 7 + j * 3 + k * k * (i + 1)) % 26) for k in range(6)) + chr(97 + j % 26) + chr(97 + j // 26)
+    body = lambda i: "\n".join(" ".join(name(i, 9 * j + k) for k in range(8)) for j in range(9))
+    rows = [(i, "\n".join([body(i), *shared]), "en", "h", 1) for i in range(60)] + [(100 + i, "\n".join([body(7), *shared]), "en", "h", 1) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = quality.verdicts(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    assert got.filter("n_removed_chars > 0").count() == 90
+    assert compare(got, con, SQL["op1_quality_rules"]) is None
 
 
 def test_quality_edges(spark, odd):
@@ -180,15 +195,30 @@ def test_suppression():
 def test_fixity(spark):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
     records = fixity.archive(pages)
-    hurt = fixity.damaged(records, every=7, lost=11).filter("record_no <> 4")
+    whole = records
+    records = fixity.incomplete(whole, lost=13)
+    hurt = fixity.damaged(whole, every=7, lost=11)
     left, right = save(fixity.leaves(records), "l"), save(fixity.leaves(hurt), "r")
     a = {(r["archive"], r["record_no"]): bytes(r["record"]) for r in records.collect()}
     b = {(r["archive"], r["record_no"]): bytes(r["record"]) for r in hurt.collect()}
     got = set(rows_of(fixity.audit(left, right), "archive", "record_no", "kind"))
-    assert got == {(*k, "missing right" if k not in b else "changed") for k in a if a[k] != b.get(k)}
+    assert {k for *_, k in got} == {"changed", "missing left", "missing right"}
+    kind = lambda k: "missing right" if k not in b else "missing left" if k not in a else "changed"
+    assert got == {(*k, kind(k)) for k in a.keys() | b.keys() if a.get(k) != b.get(k)}
     assert fixity.audit(left, left).count() == 0
 
 
+def test_fixity_edges(spark):
+    rows = [(None, None, None), (1, "u", ""), (1, "u", ""), (2, None, "x" * 300_000), (3, "v", "y")]
+    pages = spark.createDataFrame([(*r, 1, "z") for r in rows], "page_id bigint, url string, html string, archive int, record string")
+    whole = fixity.archive(pages)
+    assert whole.count() == 5
+    left = save(fixity.leaves(whole), "l")
+    assert fixity.audit(left, save(fixity.leaves(fixity.damaged(whole)), "r")).count() >= 2
+    empty = save(fixity.leaves(fixity.archive(pages.limit(0))), "e")
+    assert fixity.audit(empty, empty).count() == 0 and fixity.audit(empty, left).count() == 5
+
+
 def test_packing(spark, odd):
     from tokenizers import Tokenizer
 
@@ -233,6 +263,67 @@ def test_extraction(spark):
     assert sorted(rows_of(extraction.extract(pages), "page_id", "text")) == [(1, want), (2, ""), (3, ""), (4, "a"), (4, "a")]
 
 
+BODY = "".join(f"<p>Paragraph {i}, with commas, and a good length of text to be counted well by anyone, really.</p>" for i in range(5))
+LINE = "Paragraph 0, with commas, and a good length of text to be counted well by anyone, really."
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "content with-sidebar", "layout-no-sidebar", "post share-enabled", "single comments-open", "page-header-fixed", "sidebar", "widget"])
+@pytest.mark.parametrize("page", ["<div class='{}'>{}</div>", "<div class='{}'><article>{}</article></div>"])
+def test_wrappers_keep_their_article(name, page):
+    text = extraction.main_text("<nav>Home</nav>" + page.format(name, BODY) + "<footer>end</footer>")
+    assert text.count("\n") == 4 and text.startswith(LINE)
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "sidebar", "site-footer", "cookie-notice", "related", "main-nav", "ad-banner", "social share"])
+@pytest.mark.parametrize("inner", ["{}", "<article class='comment-body'>{}</article>", "<article>{}</article>"])
+def test_doubtful_elements_beside_the_article_go(name, inner):
+    other = BODY.replace("Paragraph", "Other words")
+    page = f"<main><article>{BODY}</article></main><div class='{name}'>{inner.format(other)}</div>"
+    text = extraction.main_text(page)
+    assert text.count("\n") == 4 and "Other" not in text
+
+
+def test_pages_edges(spark):
+    rows = [(i, "u", h, "t", 1) for i, h in enumerate([None, "", "<p>" + "word, " * 40_000, BODY, BODY, "<div class=comments>" + BODY + "</div>"])]
+    got = extraction.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, score int")).collect()
+    assert [len(r["text"]) for r in sorted(got, key=lambda r: r["page_id"])] == [0, 0, 239_999, 449, 449, 0]
+    assert extraction.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_clashing_names_in_pipeline_stages(spark):
+    rows = [(i, "some words of a text that stands alone here " * 12 + str(i), "h", 1, 2, 3, 4, 5) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, __id int, __th int, __drop int, __rows int, __cuts int")
+    for stage in (quality.clean, jaccard.keep_one, suffixes.remove):
+        out = stage(docs)
+        assert out.columns == docs.columns and {r["__drop"] for r in out.collect()} <= {3}
+
+
+def test_language_sample_at_any_size(spark):
+    """A rare language is learned beside one of many rows, and a tiny share still learns."""
+    rnd = random.Random(2)
+    rows = [(i, " ".join(rnd.choice("the and house with water".split()) for _ in range(9)), "en") for i in range(3000)]
+    rows += [(5000 + i, " ".join(rnd.choice("und der haus mit wasser".split()) for _ in range(9)), "de") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    profiles = language.fit(docs, fit_rows=40)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, profiles).collect()}
+    assert all(got[r[0]] == r[2] for r in rows)
+
+
+def test_topk_with_large_components_and_clashing_names(spark):
+    rnd = random.Random(3)
+    big = lambda: [rnd.choice([-1, 1]) * rnd.random() * 10 ** rnd.choice([0, 4, 6]) for _ in range(3)]
+    rows = [(i, big(), "x", 1, 2.0) for i in range(120)] + [(500, [1e9, 1e9, 1e9], "x", 1, 2.0), (501, [1e15, 0.0, 0.0], "x", 1, 2.0), (502, [1.0], "x", 1, 2.0)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, v string, id int, norm double")
+    whole = {r[0]: [math.floor(256 * x) for x in r[1]] for r in rows if len(r[1]) == 3}
+    limit = (1 << 63) - 1
+    got = {}
+    for q, _, c, s in sorted(rows_of(topk.top_inner_products(df), "query_id", "rank", "vec_id", "score")):
+        got.setdefault(q, []).append((c, s))
+    for q in (0, 50, 100, 500):
+        scores = [(-min(max(sum(a * b for a, b in zip(whole[q], v)), -limit), limit), c) for c, v in whole.items() if c != q]
+        assert got[q] == [(c, -s) for s, c in sorted(scores)[:5]]
+
+
 def test_topk_edges(spark):
     nan = float("nan")
     rows = [(0, [1.0, 2.0]), (50, [1.0, 2.0]), (1, None), (2, [nan, 1.0]), (3, [None, 1.0]), (4, [-1.0, 0.0]), (5, [1.0, 2.0]), (5, [1.0, 2.0]), (6, []), (None, [1.0, 1.0])]
