@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.operators.validation import VALUE_KINDS
+
 
 FIELDS = ["chunk_no", "pos", "name", "dosage", "frequency", "duration", "route", "timing"]
 
 
 def keyed(entities: DataFrame) -> DataFrame:
-    """Add the ``key`` under which entities merge: a disease's text, the lower-case name of anything else.
+    """Add the ``key`` under which entities merge: the text of a disease, symptom or instruction, else the lower-case name.
 
-    A missing name counts as the empty name; diseases without a text go.
+    A missing name counts as the empty name; entries without a text go.
     """
-    disease, name = F.col("kind") == "disease", F.coalesce("name", F.lit(""))
-    return entities.withColumn("key", F.when(disease, name).otherwise(F.lower(name))).filter(~disease | (name != ""))
+    value, name = F.col("kind").isin(*VALUE_KINDS), F.coalesce("name", F.lit(""))
+    return entities.withColumn("key", F.when(value, name).otherwise(F.lower(name))).filter(~value | (name != ""))
 
 
 def first_of_key(entities: DataFrame, conv: str = "conv_id") -> DataFrame:
@@ -30,28 +32,28 @@ def merge_named(entities: DataFrame, conv: str = "conv_id") -> DataFrame:
     A missing name counts as the empty name. The winner is found by a mergeable
     aggregate, so copies collapse before the shuffle whatever the size of a conversation.
     """
-    return first_of_key(entities.filter(F.col("kind") != "disease"), conv)
+    return first_of_key(entities.filter(~F.col("kind").isin(*VALUE_KINDS)), conv)
 
 
-def merge_values(entities: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """Diseases: distinct non-empty texts with the place they were first seen."""
-    named = entities.filter((F.col("kind") == "disease") & (F.coalesce("name", F.lit("")) != ""))
+def merge_values(entities: DataFrame, conv: str = "conv_id", kind: str = "disease") -> DataFrame:
+    """Diseases (or symptoms, or instructions): distinct non-empty texts with the place they were first seen."""
+    named = entities.filter((F.col("kind") == kind) & (F.coalesce("name", F.lit("")) != ""))
     return named.groupBy(conv, "name").agg(F.min(F.struct("chunk_no", "pos")).alias("at")).select(conv, "name", "at.*")
 
 
 def merge_concat(entities: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """Medicines and tests as they come, with all their fields; a disease only from the first chunk that has it."""
-    kept = entities.filter(F.col("kind") != "disease")
+    """Medicines and tests as they come, with all their fields; a disease, symptom or instruction only from the first
+    chunk that has it."""
+    value = F.col("kind").isin(*VALUE_KINDS)
+    kept = entities.filter(~value)
     in_chunk = (
-        entities.filter(F.col("kind") == "disease")
-        .groupBy(conv, "name", "chunk_no")
+        entities.filter(value)
+        .groupBy(conv, "kind", "name", "chunk_no")
         .agg(F.collect_list("pos").alias("places"))  # positions within one chunk's list
     )
-    first = in_chunk.groupBy(conv, "name").agg(F.min(F.struct("chunk_no", "places")).alias("first"))
-    diseases = first.select(
-        conv, F.lit("disease").alias("kind"), "first.chunk_no", F.explode("first.places").alias("pos"), "name"
-    )
-    return kept.unionByName(diseases, allowMissingColumns=True)
+    first = in_chunk.groupBy(conv, "kind", "name").agg(F.min(F.struct("chunk_no", "places")).alias("first"))
+    values = first.select(conv, "kind", "first.chunk_no", F.explode("first.places").alias("pos"), "name")
+    return kept.unionByName(values, allowMissingColumns=True)
 
 
 def merged_document(entities: DataFrame, conv: str = "conv_id") -> DataFrame:
@@ -69,6 +71,8 @@ def merged_document(entities: DataFrame, conv: str = "conv_id") -> DataFrame:
         listed("medicine", ["name", "dosage", "frequency", "duration", "route", "timing"]).alias("medicines"),
         listed("disease", ["name"])["name"].alias("diseases"),
         listed("test", ["name", "timing"]).alias("tests"),
+        listed("symptom", ["name"])["name"].alias("symptoms"),
+        listed("instruction", ["name"])["name"].alias("instructions"),
     )
 
 

@@ -36,17 +36,24 @@ def by_language(transcripts: DataFrame, key: str, languages: list[str]) -> DataF
 
 
 def window_chunks(
-    recordings: DataFrame, key: str, duration: Column, rate: int, window_sec: float, overlap_sec: float
+    recordings: DataFrame, key: str, duration: Column, rate: int, window_sec: float, overlap_sec: float, tail: bool = True
 ) -> DataFrame:
-    """Overlapping windows over each recording, plus a right-aligned one where a tail is left."""
+    """Overlapping windows over each recording, plus a right-aligned one where a tail is left.
+
+    With ``tail=False`` only windows that end before the recording does; none where it is no longer than a window.
+    """
     win, stride = int(window_sec * rate), int((window_sec - overlap_sec) * rate)
     rows = recordings.select(key, F.floor(duration * rate).cast("bigint").alias("total"))
+    if not tail:
+        starts = F.sequence(F.lit(0).cast("bigint"), F.col("total") - win - 1, F.lit(stride).cast("bigint"))
+        cut = rows.filter(F.col("total") > win).select(key, F.posexplode(starts).alias("chunk_no", "s"))
+        return cut.select(key, "chunk_no", (F.col("s") / rate).alias("start"), ((F.col("s") + win) / rate).alias("end"))
     starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(1), F.col("total") - win + 1) - 1, F.lit(stride).cast("bigint"))
     rows = rows.withColumn("starts", starts)
-    tail = F.element_at("starts", -1) + win < F.col("total")
+    left = F.element_at("starts", -1) + win < F.col("total")
     rows = rows.withColumn(
         "starts",
-        F.when(tail, F.concat("starts", F.array(F.greatest(F.lit(0), F.col("total") - win)))).otherwise(F.col("starts")),
+        F.when(left, F.concat("starts", F.array(F.greatest(F.lit(0), F.col("total") - win)))).otherwise(F.col("starts")),
     )
     cut = rows.select(key, "total", F.posexplode("starts").alias("chunk_no", "s"))
     return cut.select(
@@ -62,6 +69,12 @@ def frame_times(df: DataFrame, frame: str, step_sec: float, width_sec: float) ->
     return df.withColumn("start", start).withColumn("end", start + F.lit(width_sec))
 
 
+def frame_times_even(df: DataFrame, frame: str, duration: Column, frames: Column) -> DataFrame:
+    """Frames that share a recording's duration evenly: each takes duration / frames."""
+    width = duration / frames
+    return df.withColumn("start", F.col(frame) * width).withColumn("end", F.col(frame) * width + width)
+
+
 def smoothing_kernel(kernel_sec: float, chunk_sec: float) -> int:
     """Odd number of chunks nearest to ``kernel_sec``; 1 means no smoothing."""
     if kernel_sec <= 0:

@@ -114,28 +114,26 @@ def field_coverage(records: DataFrame, column: str = "record") -> DataFrame:
     return counts.select(F.explode(rows).alias("r")).select("r.field", "r.rate")
 
 
+VALUE_KINDS = {"disease": "diseases", "symptom": "symptoms", "instruction": "instructions"}  # lists of texts
+
+
 def explode_entities(records: DataFrame, keys: list[str], column: str = "record") -> DataFrame:
-    """One row per medicine, test and disease: (keys, pos, kind, name, dosage, frequency, duration, route, timing)."""
+    """One row per entry of the five lists: (keys, pos, kind, name, dosage, frequency, duration, route, timing).
+
+    The name of a disease, symptom or instruction is its text; lists that the record's type lacks have no rows.
+    """
     record, none = F.col(column), F.lit(None).cast("string")
+    held = records.schema[column].dataType.names
 
     def entry(kind, name, m=None):
-        field = (lambda f: m[f]) if m is not None else (lambda f: none)
-        medicine = kind == "medicine"
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            name.alias("name"),
-            (field("dosage") if medicine else none).alias("dosage"),
-            (field("frequency") if medicine else none).alias("frequency"),
-            (field("duration") if medicine else none).alias("duration"),
-            (field("route") if medicine else none).alias("route"),
-            (field("timing") if kind != "disease" else none).alias("timing"),
-        )
+        given = {"medicine": schemas.MEDICINE_KEYS, "test": schemas.TEST_KEYS}.get(kind, [])
+        rest = [(m[f] if f in given else none).alias(f) for f in schemas.MEDICINE_KEYS if f != "name"]
+        return F.struct(F.lit(kind).alias("kind"), name.alias("name"), *rest)
 
     def with_pos(items, kind):
-        made = F.transform(items, lambda m, i: F.struct(i.alias("pos"), (entry(kind, m, None) if kind == "disease" else entry(kind, m["name"], m)).alias("e")))
-        return F.coalesce(made, F.array())
+        one = (lambda m: entry(kind, m)) if kind in VALUE_KINDS else (lambda m: entry(kind, m["name"], m))
+        return F.coalesce(F.transform(items, lambda m, i: F.struct(i.alias("pos"), one(m).alias("e"))), F.array())
 
-    items = F.concat(
-        with_pos(record["medicines"], "medicine"), with_pos(record["tests"], "test"), with_pos(record["diseases"], "disease")
-    )
+    lists = {"medicine": "medicines", "test": "tests", **VALUE_KINDS}
+    items = F.concat(*[with_pos(record[name], kind) for kind, name in lists.items() if name in held])
     return unnest(records, keys, items, "x").select(*keys, "x.pos", "x.e.*")

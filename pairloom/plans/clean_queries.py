@@ -70,13 +70,28 @@ def items_sql(name: str, fields: list[str]) -> str:
     return f"CASE WHEN rec IS NULL THEN NULL ELSE array_to_string({ITEM.format(list=name, fields=each)}, '|') END AS {name}"
 
 
+def shown_lists(record) -> list:
+    """The five lists of a record as text; NULL where there is no record."""
+    text = lambda fields: lambda m: F.concat_ws("/", *[F.coalesce(m[f], F.lit("")) for f in fields])
+    whole = lambda items: F.array_join(F.when(record.isNotNull(), F.coalesce(items, F.array())), "|")
+    named = [("medicines", schemas.MEDICINE_KEYS), ("tests", schemas.TEST_KEYS)]
+    out = [whole(F.transform(record[n], text(fields))).alias(n) for n, fields in named]
+    return out + [whole(record[n]).alias(n) for n in ("diseases", "symptoms", "instructions")]
+
+
+def lists_sql() -> str:
+    """The same of ``rec`` in SQL."""
+    fields = {"medicines": schemas.MEDICINE_KEYS, "tests": schemas.TEST_KEYS, "diseases": [], "symptoms": [], "instructions": []}
+    return ", ".join(items_sql(n, f) for n, f in fields.items())
+
+
 @query(
     "sink_result",
     f"""WITH e AS (SELECT user_id, {", ".join(f"sum(value) FILTER (WHERE event_type = '{s}') AS {s}" for s in EVENT_STAGES)} FROM events GROUP BY user_id),
         r AS (SELECT record_no, arg_min(out, row_id) AS rec FROM (SELECT record_no, row_id, replace(output, ' AAA', '') AS out FROM pairs) WHERE json_valid(out) GROUP BY record_no)
         SELECT 'recording ' || user_id AS english_text, 'नोंद' AS marathi_text, {", ".join(f"(round({s}, 6) + 0.0) AS {s}" for s in EVENT_STAGES)},
           (round({" + ".join(f"coalesce({s}, 0)" for s in EVENT_STAGES)}, 6) + 0.0) AS total,
-          {items_sql('medicines', schemas.MEDICINE_KEYS)}, {items_sql('diseases', [])}, {items_sql('symptoms', [])}, {items_sql('tests', schemas.TEST_KEYS)}, {items_sql('instructions', [])}
+          {lists_sql()}
         FROM e LEFT JOIN r ON user_id = record_no""",
     ("pairs",),
 )
@@ -92,14 +107,11 @@ def _(t):
     path = scratch_dir(t.spark, "results")
     S.write_results(S.run_results(flat, (*EVENT_STAGES, "total")), path)
     back = S.read_results(t.spark, path)
-    shown = lambda fields: lambda m: F.concat_ws("/", *[F.coalesce(m[f], F.lit("")) for f in fields])
-    e = F.col("entities")
     return back.select(
         F.col("transcripts")["english"].alias("english_text"),
         F.col("transcripts")["marathi"].alias("marathi_text"),
         *[(F.round(F.col("timings")[s], 6) + F.lit(0.0)).alias(s) for s in (*EVENT_STAGES, "total")],
-        *[F.array_join(F.when(e.isNotNull(), F.coalesce(F.transform(e[n], shown(k)), F.array())), "|").alias(n) for n, k in (("medicines", schemas.MEDICINE_KEYS), ("tests", schemas.TEST_KEYS))],
-        *[F.array_join(F.when(e.isNotNull(), F.coalesce(e[n], F.array())), "|").alias(n) for n in ("diseases", "symptoms", "instructions")],
+        *shown_lists(F.col("entities")),
     )
 
 

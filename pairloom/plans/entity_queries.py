@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pairloom import schemas
 from pairloom.functions import entities as E
 from pairloom.functions import jsonx as J
 from pairloom.operators import entities as M
 from pairloom.operators import validation as V
 from pairloom.operators.inference import apply_model, word_count_stub
+from pairloom.plans.clean_queries import shown_lists
 from pairloom.plans.json_queries import ENTITIES, FALLBACK, parsed
 from pairloom.plans.registry import query
 
@@ -85,10 +87,11 @@ def _(t):
     return M.merge_concat(entities(t))
 
 
-def kept_sql(kind: str, key: str) -> str:
-    """First entity of each key, as text in order of appearance."""
-    return f"""(SELECT conv_id, string_agg(coalesce(name, '') || '/' || coalesce(dosage, timing, ''), '|' ORDER BY chunk_no, pos) AS found
-        FROM (SELECT * FROM ents WHERE kind = '{kind}' QUALIFY row_number() OVER (PARTITION BY conv_id, {key} ORDER BY chunk_no, pos) = 1) GROUP BY conv_id)"""
+def kept_sql(kind: str, key: str, fields: list[str]) -> str:
+    """First entity of each key with all its fields, as text in order of appearance."""
+    text = "concat_ws('/', " + ", ".join(f"coalesce({f}, '')" for f in fields) + ")"
+    return f"""(SELECT conv_id, string_agg({text}, '|' ORDER BY chunk_no, pos) AS found
+        FROM (SELECT * FROM kept WHERE kind = '{kind}' QUALIFY row_number() OVER (PARTITION BY conv_id, {key} ORDER BY chunk_no, pos) = 1) GROUP BY conv_id)"""
 
 
 LOWER = "lower(coalesce(name, ''))"
@@ -98,23 +101,16 @@ LOWER = "lower(coalesce(name, ''))"
     "merged_document",
     f"""WITH ents AS ({ENTITIES}), kept AS (SELECT * FROM ents WHERE kind <> 'disease' OR name <> ''),
         c AS (SELECT DISTINCT conv_id FROM kept)
-        SELECT c.conv_id, coalesce(m.found, '') AS medicines, coalesce(replace(d.found, '/', ''), '') AS diseases, coalesce(t.found, '') AS tests
-        FROM c LEFT JOIN {kept_sql('medicine', LOWER)} m ON m.conv_id = c.conv_id
-          LEFT JOIN {kept_sql('test', LOWER)} t ON t.conv_id = c.conv_id
-          LEFT JOIN {kept_sql('disease', 'name').replace("FROM ents", "FROM kept")} d ON d.conv_id = c.conv_id""",
+        SELECT c.conv_id, coalesce(m.found, '') AS medicines, coalesce(d.found, '') AS diseases, coalesce(t.found, '') AS tests, '' AS symptoms, '' AS instructions
+        FROM c LEFT JOIN {kept_sql('medicine', LOWER, schemas.MEDICINE_KEYS)} m ON m.conv_id = c.conv_id
+          LEFT JOIN {kept_sql('test', LOWER, schemas.TEST_KEYS)} t ON t.conv_id = c.conv_id
+          LEFT JOIN {kept_sql('disease', 'name', ['name'])} d ON d.conv_id = c.conv_id""",
     ("model_output",),
 )
 def _(t):
     doc = M.merged_document(entities(t))
-
-    def shown(items, field):
-        text = lambda m: F.concat(F.coalesce(m["name"], F.lit("")), F.lit("/"), F.coalesce(m[field], F.lit("")))
-        return F.array_join(F.transform(items, text), "|")
-
-    return doc.select(
-        "conv_id", shown("medicines", "dosage").alias("medicines"), F.array_join("diseases", "|").alias("diseases"),
-        shown("tests", "timing").alias("tests"),
-    )
+    record = F.struct("medicines", "tests", "diseases", "symptoms", "instructions")
+    return doc.select("conv_id", *shown_lists(record))
 
 
 @query(

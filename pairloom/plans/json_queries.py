@@ -10,6 +10,7 @@ from pairloom.functions import jsonx as J
 from pairloom.functions import text as X
 from pairloom.functions.arrays import let
 from pairloom.operators import validation as V
+from pairloom.plans.clean_queries import lists_sql, shown_lists
 from pairloom.plans.registry import q6, query, r6
 
 KEYS = "['diseases','instructions','medicines','symptoms','tests']"
@@ -110,10 +111,9 @@ def _(t):
 
 @query(
     "json_typed",
-    f"""SELECT conv_id, chunk_no, json_extract_string(found, '$.medicines[0].name') AS first_medicine,
-            json_array_length(found, '$.medicines')::BIGINT AS n_medicines,
-            CASE WHEN found IS NULL THEN 'Invalid JSON output' END AS error, CASE WHEN found IS NULL THEN text END AS raw
-        FROM (SELECT *, {FALLBACK} AS found FROM model_output)""",
+    f"""SELECT conv_id, chunk_no, json_array_length(rec, '$.medicines')::BIGINT AS n_medicines, {lists_sql()},
+            CASE WHEN rec IS NULL THEN 'Invalid JSON output' END AS error, CASE WHEN rec IS NULL THEN text END AS raw
+        FROM (SELECT *, {FALLBACK} AS rec FROM model_output)""",
     ("model_output",),
 )
 def _(t):
@@ -121,13 +121,9 @@ def _(t):
     out = V.typed_or_error(rows, "found", schemas.PRESCRIPTION)
     medicines = F.col("parsed")["medicines"]
     return out.select(
-        "conv_id",
-        "chunk_no",
-        F.get(medicines, F.lit(0))["name"].alias("first_medicine"),
-        F.when(medicines.isNotNull(), F.size(medicines)).alias("n_medicines"),
-        "error",
-        F.when(F.col("error").isNotNull(), F.col("text")).alias("raw"),
-    )
+        "conv_id", "chunk_no", F.when(medicines.isNotNull(), F.size(medicines)).alias("n_medicines"), *shown_lists(F.col("parsed")),
+        "error", F.when(F.col("error").isNotNull(), F.col("text")).alias("raw"),
+    )
 
 
 RECORD = "replace(output, ' AAA', '')"
@@ -242,6 +238,27 @@ ENTITIES = f"""SELECT conv_id, chunk_no, 'medicine' AS kind, pos, m->>'$.name' A
         FROM (SELECT conv_id, chunk_no, json_extract(found, '$.diseases[*]') AS x FROM ({FOUND}))"""
 
 
+FULL = "SELECT row_id, replace(output, ' AAA', '') AS found FROM pairs"
+
+
+def list_sql(kind: str, name: str, fields: list[str] | None) -> str:
+    """Rows of one list of the records in ``full``; a list of texts has no fields."""
+    shown = [f"x->>'$.{f}'" if f in (fields or []) else "NULL" for f in schemas.MEDICINE_KEYS[1:]]
+    named = "x->>'$.name'" if fields else "x->>'$'"
+    columns = ", ".join(f"{e} AS {f}" for e, f in zip(shown, schemas.MEDICINE_KEYS[1:]))
+    return f"""SELECT row_id, '{kind}' AS kind, pos, {named} AS name, {columns} FROM
+      (SELECT row_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT row_id, json_extract(found, '$.{name}[*]') AS l FROM ({FULL}) WHERE json_valid(found)))"""
+
+
+FIVE_LISTS = {"medicine": ("medicines", schemas.MEDICINE_KEYS), "test": ("tests", schemas.TEST_KEYS), "disease": ("diseases", None), "symptom": ("symptoms", None), "instruction": ("instructions", None)}
+
+
+@query("explode_records", " UNION ALL ".join(list_sql(k, *v) for k, v in FIVE_LISTS.items()), ("pairs",))
+def _(t):
+    rows = t.pairs().select("row_id", J.typed(X.strip_marker(F.col("output")), schemas.PRESCRIPTION).alias("record"))
+    return V.explode_entities(rows, ["row_id"])
+
+
 @query("explode_entities", ENTITIES, ("model_output",))
 def _(t):
     return V.explode_entities(parsed(t), ["conv_id", "chunk_no"])

@@ -73,6 +73,30 @@ def _(t):
     return w.select("rec_id", "chunk_no", r6(F.col("start")).alias("start"), r6(F.col("end")).alias("end"))
 
 
+@query(
+    "window_chunks_fixed",
+    f"""WITH a AS (SELECT event_id AS rec_id, unnest(range(0, floor(value * 100)::BIGINT - 300, 150)) AS s FROM events)
+        SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY s) - 1 AS chunk_no, {q6('s / 100::DOUBLE')} AS start, {q6('(s + 300) / 100::DOUBLE')} AS "end" FROM a""",
+)
+def _(t):
+    rows = t.events.select(F.col("event_id").alias("rec_id"), "value")
+    w = R.window_chunks(rows, "rec_id", F.col("value"), 100, 3.0, 1.5, tail=False)
+    return w.select("rec_id", "chunk_no", r6(F.col("start")).alias("start"), r6(F.col("end")).alias("end"))
+
+
+@query(
+    "frame_times_even",
+    f"""WITH r AS (SELECT user_id, max(value) * 7 AS duration, count(*) AS frames FROM events GROUP BY user_id),
+        f AS (SELECT user_id AS rec_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame FROM events)
+        SELECT rec_id, frame, {q6('frame * (duration / frames)')} AS start, {q6('frame * (duration / frames) + duration / frames')} AS "end" FROM f JOIN r ON rec_id = user_id""",
+)
+def _(t):
+    frames = t.events.groupBy(F.col("user_id").alias("rec_id")).agg((F.max("value") * 7).alias("duration"), F.count(F.lit(1)).alias("frames"))
+    rows = frames.withColumn("frame", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("frames") - 1)))
+    out = R.frame_times_even(rows, "frame", F.col("duration"), F.col("frames"))
+    return out.select("rec_id", "frame", r6(F.col("start")).alias("start"), r6(F.col("end")).alias("end"))
+
+
 @query(
     "frame_times",
     f"""SELECT event_id AS frame, {q6('event_id * 1.5::DOUBLE')} AS start, {q6('event_id * 1.5::DOUBLE + 3')} AS "end" FROM events""",
@@ -132,12 +156,34 @@ def _(t):
     return out.select("rec_id", "chunk_no", r6(F.col("similarity")).alias("similarity"), "label")
 
 
-@query("choose_k")
+# Ward merges as a recursion whose state is the list of clusters (members, centroid); then silhouettes of 2 to 5 clusters.
+GAP = "pow(list_distance(cl[i].c, cl[j].c), 2) * 2 * len(cl[i].m) * len(cl[j].m) / (len(cl[i].m) + len(cl[j].m))"
+MEAN = "lambda z: (z[1] * len(cl[best.i].m) + z[2] * len(cl[best.j].m)) / (len(cl[best.i].m) + len(cl[best.j].m))"
+WARD = f"""ward(rec_id, cl) AS (
+          SELECT rec_id, list({{'m': [chunk_no], 'c': embedding}} ORDER BY chunk_no) FROM chunks GROUP BY rec_id
+          UNION ALL
+          SELECT rec_id, list_append(list_filter(cl, lambda x, p: p <> best.i AND p <> best.j),
+            {{'m': list_concat(cl[best.i].m, cl[best.j].m), 'c': list_transform(list_zip(cl[best.i].c, cl[best.j].c), {MEAN})}})
+          FROM (SELECT rec_id, cl, list_min(flatten(list_transform(range(1, len(cl)), lambda i: list_transform(range(i + 1, len(cl) + 1),
+            lambda j: {{'d': {GAP}, 'i': i, 'j': j}})))) AS best FROM ward WHERE len(cl) > 2)),
+        sets AS (SELECT rec_id, len(cl) AS k, unnest(cl) AS x FROM ward WHERE len(cl) BETWEEN 2 AND 5),
+        named AS (SELECT rec_id, k, x.m AS m, row_number() OVER (PARTITION BY rec_id, k ORDER BY list_min(x.m)) - 1 AS label FROM sets),
+        held AS MATERIALIZED (SELECT rec_id, k, label, len(m) AS n, unnest(m) AS chunk_no FROM named),
+        far AS MATERIALIZED (SELECT a.rec_id, a.chunk_no, b.chunk_no AS other, list_distance(a.embedding, b.embedding) AS d FROM chunks a JOIN chunks b ON a.rec_id = b.rec_id),
+        near AS (SELECT h.rec_id, h.k, h.chunk_no, h.n AS own, o.label = h.label AS same, sum(d) / greatest(any_value(o.n) - CASE WHEN o.label = h.label THEN 1 ELSE 0 END, 1) AS mean
+          FROM held h JOIN far f ON f.rec_id = h.rec_id AND f.chunk_no = h.chunk_no JOIN held o ON o.rec_id = h.rec_id AND o.k = h.k AND o.chunk_no = f.other
+          GROUP BY h.rec_id, h.k, h.chunk_no, h.n, h.label, o.label),
+        sides AS (SELECT rec_id, k, chunk_no, own, min(mean) FILTER (WHERE same) AS a, min(mean) FILTER (WHERE NOT same) AS b FROM near GROUP BY ALL),
+        fits AS (SELECT rec_id, k, avg(CASE WHEN own > 1 THEN (b - a) / greatest(a, b) ELSE 0 END) AS score FROM sides GROUP BY rec_id, k),
+        chosen AS (SELECT rec_id, k FROM fits QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY score DESC, k) = 1)"""
+
+
+@query("choose_k", f"WITH RECURSIVE {WARD} SELECT rec_id, k FROM chosen", ("chunks",))
 def _(t):
     return K.cluster_speakers(t.chunks(), "rec_id").groupBy("rec_id").agg(F.first("k").alias("k"))
 
 
-@query("cluster_labels")
+@query("cluster_labels", f"WITH RECURSIVE {WARD} SELECT rec_id, chunk_no, label FROM held JOIN chosen USING (rec_id, k)", ("chunks",))
 def _(t):
     return K.cluster_speakers(t.chunks(), "rec_id").select("rec_id", "chunk_no", "label")
 
