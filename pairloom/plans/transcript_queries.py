@@ -86,12 +86,12 @@ def _(t):
 
 @query(
     "frame_times_even",
-    f"""WITH r AS (SELECT user_id, max(value) * 7 AS duration, count(*) AS frames FROM events GROUP BY user_id),
+    f"""WITH r AS (SELECT user_id, max(value) * 6.2831853::DOUBLE AS duration, count(*) AS frames FROM events GROUP BY user_id),
         f AS (SELECT user_id AS rec_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame FROM events)
         SELECT rec_id, frame, {q6('frame * (duration / frames)')} AS start, {q6('frame * (duration / frames) + duration / frames')} AS "end" FROM f JOIN r ON rec_id = user_id""",
 )
 def _(t):
-    frames = t.events.groupBy(F.col("user_id").alias("rec_id")).agg((F.max("value") * 7).alias("duration"), F.count(F.lit(1)).alias("frames"))
+    frames = t.events.groupBy(F.col("user_id").alias("rec_id")).agg((F.max("value") * 6.2831853).alias("duration"), F.count(F.lit(1)).alias("frames"))
     rows = frames.withColumn("frame", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("frames") - 1)))
     out = R.frame_times_even(rows, "frame", F.col("duration"), F.col("frames"))
     return out.select("rec_id", "frame", r6(F.col("start")).alias("start"), r6(F.col("end")).alias("end"))
