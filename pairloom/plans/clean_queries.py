@@ -150,7 +150,7 @@ def _(t):
     return C.reassemble(t.raw_lines(), F.floor(F.col("line_no") / 4096), ends=(".",))
 
 
-JSON_LINES = """SELECT record_no AS file, row_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS line
+JSON_LINES = """SELECT record_no AS file, row_id || md5(input || output) AS row_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS line
           FROM (SELECT *, string_split('"' || input || chr(10) || replace(replace(output, ' AAA', '"'), '},', '} ,' || chr(10)), chr(10)) AS parts FROM pairs)"""
 
 
@@ -166,7 +166,8 @@ JSON_LINES = """SELECT record_no AS file, row_id, unnest(range(len(parts))) AS l
 )
 def _(t):
     text = F.concat(F.lit('"'), "input", F.lit("\n"), F.replace(F.replace("output", F.lit(" AAA"), F.lit('"')), F.lit("},"), F.lit("} ,\n")))
-    lines = t.pairs().select(F.col("record_no").alias("file"), "row_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    key = F.concat("row_id", F.md5(F.concat("input", "output")))  # rows of one id differ in their text
+    lines = t.pairs().select(F.col("record_no").alias("file"), key.alias("row_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     return C.reassemble(lines, F.lit(0), order=("row_id", "line_no"))
 
 
