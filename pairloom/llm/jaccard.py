@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.store import apart, likely_among, save, small_batches
+from pairloom.llm.store import apart, likely_among, released, save, small_batches
 from pairloom.llm.words import Words, mix, sequence_hash, text_runs
 
 CELL_BITS = 18
@@ -109,8 +109,8 @@ def cell_counts(docs: DataFrame, text: str, n: int) -> np.ndarray:
         yield pa.record_batch({"cells": pa.array([total.tobytes()], pa.binary())})
 
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = docs.select(text).mapInArrow(count, "cells binary").repartition(width).mapInArrow(_add_counts, "cells binary")
-    rows = parts.repartition(1).mapInArrow(_add_counts, "cells binary").collect()
+    parts = docs.select(text).mapInArrow(released(count), "cells binary").repartition(width).mapInArrow(released(_add_counts), "cells binary")
+    rows = parts.repartition(1).mapInArrow(released(_add_counts), "cells binary").collect()
     return (np.frombuffer(bytes(rows[0][0]), np.int64) if rows else np.zeros(2 << CELL_BITS, np.int64)).reshape(2, -1)
 
 
@@ -145,7 +145,7 @@ def signatures(docs: DataFrame, id_col: str, text: str, n: int, percent: int) ->
             )
 
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
-    return source.mapInArrow(sign, "id bigint, th bigint, n bigint, ka bigint, kb bigint, prefix array<bigint>, sketch array<bigint>")
+    return source.mapInArrow(released(sign), "id bigint, th bigint, n bigint, ka bigint, kb bigint, prefix array<bigint>, sketch array<bigint>")
 
 
 def may_link(met: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -226,7 +226,7 @@ def compare_with_pivot(members: DataFrame, n: int, percent: int) -> DataFrame:
 
     schema = "pivot bigint, node bigint, alone boolean, size bigint, linked boolean, extra binary, lacks binary"
     ordered = members.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.desc("lead"))
-    return ordered.select("pivot", "salt", "lead", "node", "alone", "t").mapInArrow(compare, schema)
+    return ordered.select("pivot", "salt", "lead", "node", "alone", "t").mapInArrow(released(compare), schema)
 
 
 def joining_edges(left: list, right: list | None, percent: int) -> list[tuple[int, int]]:

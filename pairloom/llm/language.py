@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm.store import save
+from pairloom.llm.store import released, save
 from pairloom.llm.words import BASE, BASE_INVERSE, mix, text_runs
 
 PROFILE = 400
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
         cut = (1 << 63) - 1 if n <= each else -(1 << 63) + (each << 64) // n
         below = F.when(F.col(lang) == name, F.lit(cut)).otherwise(below)
     train = train.filter(F.xxhash64(F.col(id_col).cast("string")) <= below)
-    parts = train.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(count, "lang string, gram bigint, n bigint")
+    parts = train.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(released(count), "lang string, gram bigint, n bigint")
     totals = save(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "profiles")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     best = totals.withColumn("rank", rank).filter(F.col("rank") <= PROFILE).orderBy("lang", "rank").collect()
@@ -210,7 +210,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text"
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*source.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return source.mapInArrow(work, schema)
+    return source.mapInArrow(released(work), schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

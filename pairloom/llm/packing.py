@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.store import save, small_batches
+from pairloom.llm.store import released, save, small_batches
 from pairloom.llm.tokencounts import Ids, loaded
 
 GROUP = 16_384
@@ -60,7 +60,7 @@ def pieces(docs: DataFrame, id_col: str, text: str, tokenizer: str, size: int =
 
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
-    return source.mapInArrow(work, PIECES + (", ids array<int>" if with_ids else ""))
+    return source.mapInArrow(released(work), PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple[float, float, float], rule: str) -> np.ndarray:

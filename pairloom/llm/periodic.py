@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm.store import released
 from pairloom.llm.words import mix, powers
 
 RUN = 1 << 20  # characters of texts whose words are looked at together
@@ -185,7 +186,7 @@ def collapse(docs: DataFrame, id_col: str = "doc_id", text: str = "text", times:
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"id {kind}, n_words bigint, runs {RUNS}, collapsed string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(work), f"id {kind}, n_words bigint, runs {RUNS}, collapsed string").withColumnRenamed("id", id_col)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

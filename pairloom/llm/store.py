@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +47,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(ARROW_ROWS))
 
 
+def released(work):
+    """``work`` on Arrow batches; when its task ends, free memory goes back to the system instead of to the idle worker."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def apart(docs: DataFrame, *inner: str) -> DataFrame:
     """The same rows, with columns renamed that are called like an operator's own ones."""
     return docs.toDF(*[f"own {c}" if c.lower() in inner else c for c in docs.columns])

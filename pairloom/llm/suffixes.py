@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.store import apart, likely_among, save, small_batches
+from pairloom.llm.store import apart, likely_among, released, save, small_batches
 from pairloom.llm.words import BASE, Words, mix, powers, text_runs
 
 KEY = 18
@@ -78,7 +78,7 @@ def seeds(docs: DataFrame, text: str, min_words: int) -> DataFrame:
                     {"h": pa.array(keys[at].view(SIGNED)), "th": pa.array(names[first + row]), "pos": pa.array((at - words.bounds[row]).astype(np.int32))}
                 )
 
-    return docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("t")).filter("t is not null").mapInArrow(work, "h bigint, th bigint, pos int")
+    return docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("t")).filter("t is not null").mapInArrow(released(work), "h bigint, th bigint, pos int")
 
 
 def neighbours(rows: DataFrame, h: str, place: list[str], name: str) -> DataFrame:
@@ -134,7 +134,7 @@ def neighbours(rows: DataFrame, h: str, place: list[str], name: str) -> DataFram
             yield settle(pa.concat_tables(held), first_run, True)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spread.schema.fields)
-    found = save(ordered.mapInArrow(work, f"{kinds}, twin boolean, later boolean, border boolean"), name + "-found")
+    found = save(ordered.mapInArrow(released(work), f"{kinds}, twin boolean, later boolean, border boolean"), name + "-found")
     edge = found.filter("border")
     runs = edge.groupBy(h).agg(F.min(F.struct(*place)).alias("low"), F.max(F.struct(*place)).alias("high"), F.max("twin").alias("any"))
     runs = runs.filter("low <> high OR any")
@@ -181,7 +181,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     whole = docs.select(F.xxhash64(text).alias("th"), F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("t")).filter("t is not null")
     whole = whole.filter(likely_among(wanted, "th")("th"))
     joined = whole.alias("x").join(wanted.alias("y"), (F.col("x.th") == F.col("y.th")) & F.col("x.id").eqNullSafe(F.col("y.id")))
-    windows = joined.select("node", "at", "t").mapInArrow(extend, "w bigint, node bigint, s int")
+    windows = joined.select("node", "at", "t").mapInArrow(released(extend), "w bigint, node bigint, s int")
     repeated = neighbours(windows, "w", ["node", "s"], "windows")
     lines = repeated.groupBy("node", "later").agg(F.sort_array(F.collect_set("s")).alias("starts"))
     lines = lines.select("node", "later", F.inline(spans_of(F.col("starts"), min_words)))
@@ -245,4 +245,4 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_word
             yield pa.RecordBatch.from_arrays(columns, docs_columns).filter(pa.array(keep, pa.bool_()))
 
     docs_columns = docs.columns
-    return joined.mapInArrow(work, docs.schema).toDF(*names)
+    return joined.mapInArrow(released(work), docs.schema).toDF(*names)

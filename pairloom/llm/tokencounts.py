@@ -28,6 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm.store import released
 from pairloom.llm.words import mix, powers
 
 RUN = 1 << 20  # characters of texts whose pre-tokens are merged together
@@ -375,5 +376,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
     n_bytes = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
     rows = docs.select(F.col(id_col).alias("id"), n_bytes.alias("n_bytes"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    counted = rows.mapInArrow(work, f"id {kind}, n_bytes bigint, n_tokens bigint")
+    counted = rows.mapInArrow(released(work), f"id {kind}, n_bytes bigint, n_tokens bigint")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
