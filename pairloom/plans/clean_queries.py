@@ -30,14 +30,14 @@ def _(t):
     path = scratch_dir(t.spark, "csv")
     broken = F.concat("input", F.lit('\n\nsay "twice", then\n"stop"'))
     rows = t.pairs().select(F.when(F.col("record_no") % 3 == 0, broken).otherwise(F.col("input")).alias("input"), "output")
-    S.write_csv(rows, path)
+    S.write_csv(rows, path, packed=True)
     return S.read_csv_split(t.spark, path)
 
 
 @query("src_jsonl", "SELECT input, output, NULL::VARCHAR AS corrupt FROM pairs", ("pairs",))
 def _(t):
     path = scratch_dir(t.spark, "jsonl")
-    S.write_jsonl(t.pairs().select("input", "output"), path)
+    S.write_jsonl(t.pairs().select("input", "output"), path, packed=True)
     return S.read_jsonl(t.spark, path).select("input", "output", F.col(S.CORRUPT).alias("corrupt"))
 
 
