@@ -57,10 +57,11 @@ def running_sums(
     order: list,
     values: dict[str, Column],
     inclusive: bool = True,
+    whole: str = "",
 ) -> DataFrame:
     """Add a running sum per entry of ``values``, over ``order`` within ``keys``.
 
-    ``block`` must not decrease along ``order``. ``order`` must be total.
+    With a suffix ``whole`` the sums over all rows of the key are added under the names with that suffix. ``block`` must not decrease along ``order``. ``order`` must be total.
     """
     rows = df.withColumn(BLOCK, block)
     names = list(values)
@@ -68,14 +69,16 @@ def running_sums(
         rows = rows.withColumn("__v_" + n, values[n])
     totals = rows.groupBy(*keys, BLOCK).agg(*[F.sum("__v_" + n).alias("__t_" + n) for n in names])
     across = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    every = [F.sum("__t_" + n).over(Window.partitionBy(*keys)).alias(n + whole) for n in names] if whole else []
     offsets = totals.select(
-        *keys, BLOCK, *[F.coalesce(F.sum("__t_" + n).over(across), F.lit(0)).alias("__o_" + n) for n in names]
+        *keys, BLOCK, *[F.coalesce(F.sum("__t_" + n).over(across), F.lit(0)).alias("__o_" + n) for n in names], *every
     )
     end = Window.currentRow if inclusive else -1
     inside = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     local = rows.select("*", *[F.coalesce(F.sum("__v_" + n).over(inside), F.lit(0)).alias("__l_" + n) for n in names])
     out = _joined(local, offsets, keys)
-    return out.select(*df.columns, *[(F.col("__l_" + n) + F.col("__o_" + n)).alias(n) for n in names])
+    sums = [(F.col("__l_" + n) + F.col("__o_" + n)).alias(n) for n in names]
+    return out.select(*df.columns, *sums, *[n + whole for n in names if whole])
 
 
 def neighbours(

@@ -33,11 +33,10 @@ def reassemble(lines: DataFrame, block: Column, ends=RECORD_ENDS, order=("line_n
     """
     kept = nonblank_lines(lines).withColumn("__slot", block)
     done = ends_record(F.col("line"), ends)
-    last = kept.filter(done).groupBy("file").agg(F.max(F.struct("__slot", *order)).alias("__last"))
-    whole = kept.join(last, "file").filter(F.struct("__slot", *order) <= F.col("__last")).drop("__last")
     numbered = ordered.running_sums(
-        whole, ["file"], F.col("__slot"), list(order), {"record_no": done.cast("bigint")}, inclusive=False
+        kept, ["file"], F.col("__slot"), list(order), {"record_no": done.cast("bigint")}, inclusive=False, whole="_ends"
     )
+    numbered = numbered.filter(F.col("record_no") < F.col("record_no_ends"))  # an end stands at or after the line
     return ordered.concat_ordered(numbered, ["file", "record_no"], F.col("__slot"), list(order), "line", " ", "text")
 
 
