@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,31 +138,62 @@ def vocabulary(docs: DataFrame, words: Column, first_id: int = 0) -> DataFrame:
     return ordered.numbered(counted, [F.col("n").desc(), "token"], "token_id", first_id)
 
 
-def encode(docs: DataFrame, key: str, words: Column, vocab: DataFrame) -> DataFrame:
-    """(key, ids): the words of each text as ids, in order; unknown words are left out.
+BLOCK_ROWS = 256  # texts that meet their part of a vocabulary together
+
 
-    Equal words of a text travel together with their places, so a word that fills a third
-    of all texts meets the vocabulary once per text.
+def _translated(rows: DataFrame, key: str, items: Column, table: DataFrame, source: str, target: str, out: str) -> DataFrame:
+    """(key, out): the items of each row replaced by ``target`` of the row in ``table`` whose ``source`` they are.
+
+    Rows are dealt to blocks by their key. Each block asks the table once for each of its different items, so what
+    travels is the rows and a dictionary per block, not every item. Items that the table lacks are left out. Rows of
+    one key get the items of all of them, by place and then by value; rows without a key get none.
     """
-    placed = A.unnest(docs, [key], words, "token", "at")
-    spread = placed.groupBy(key, "token").agg(F.collect_list("at").alias("places"))
-    found = spread.join(vocab.select("token", "token_id"), "token")
-    items = F.transform("places", lambda p: F.struct(p.alias("at"), F.col("token_id")))
-    whole = found.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list(items)))["token_id"].alias("ids"))
-    none = F.array().cast("array<bigint>")
-    return docs.select(key).join(whole, key, "left").select(key, F.coalesce("ids", none).alias("ids"))
+    number = rows.agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("n")).scalar()
+    block = F.pmod(F.xxhash64(key), F.greatest(number, F.lit(1)).cast("bigint"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("__block", block).repartition(parts, "__block")  # rows travel as they are, items are made after
+    asked = A.unnest(dealt, ["__block"], F.array_distinct(items), source).distinct()
+    known = asked.join(table.select(source, target), source).select(F.col("__block").alias("__of"), source, target)
+    whole = dealt.select("__block", key, items.alias("__items"))
+    kind = whole.schema[key].dataType.simpleString()
+    of = table.schema[target].dataType.simpleString()
+
+    def translate(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, held = left.column(key).combine_chunks(), left.column("__items").combine_chunks()
+        lengths = np.nan_to_num(pc.list_value_length(held).to_numpy(zero_copy_only=False)).astype("int64")
+        order = pc.sort_indices(right.column(target))
+        targets = right.column(target).take(order).combine_chunks()
+        at = pc.index_in(held.flatten().cast(right.schema.field(source).type), value_set=right.column(source).take(order).combine_chunks())
+        owner, place = np.repeat(np.arange(len(lengths)), lengths), np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        found = pc.is_valid(at).to_numpy(zero_copy_only=False)
+        owner, place, at = owner[found], place[found], at.drop_null().to_numpy(zero_copy_only=False)
+        names = keys.dictionary_encode()
+        codes = pc.fill_null(names.indices, -1).to_numpy(zero_copy_only=False)
+        if len(names.dictionary) < len(codes):  # a key is repeated, or there is none
+            sorted_ = np.lexsort((at, place, codes[owner]))
+            sorted_ = sorted_[codes[owner][sorted_] >= 0]
+            per_key = np.bincount(codes[owner][sorted_], minlength=len(names.dictionary))
+            first = np.cumsum(per_key) - per_key
+            counts = np.where(codes >= 0, per_key[codes] if len(per_key) else 0, 0)
+            begin = np.repeat(np.where(codes >= 0, first[codes] if len(first) else 0, 0), counts)
+            at = at[sorted_][begin + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
+        else:
+            counts = np.bincount(owner, minlength=len(codes))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+        return pa.table({key: keys, out: pa.ListArray.from_arrays(offsets, targets.take(pa.array(at)))})
+
+    return whole.groupBy("__block").cogroup(known.groupBy("__of")).applyInArrow(translate, f"`{key}` {kind}, `{out}` array<{of}>")
+
+
+def encode(docs: DataFrame, key: str, words: Column, vocab: DataFrame) -> DataFrame:
+    """(key, ids): the words of each text as ids, in order; unknown words are left out."""
+    return _translated(docs, key, words, vocab, "token", "token_id", "ids")
 
 
 def decode(encoded: DataFrame, key: str, vocab: DataFrame, ids: str = "ids", sep: str = " ") -> DataFrame:
-    """(key, text): ids back to words."""
-    placed = A.unnest(encoded, [key], F.col(ids), "token_id", "at")
-    spread = placed.groupBy(key, "token_id").agg(F.collect_list("at").alias("places"))
-    found = spread.join(vocab.select("token_id", "token"), "token_id")
-    items = F.transform("places", lambda p: F.struct(p.alias("at"), F.col("token")))
-    whole = found.groupBy(key).agg(
-        F.array_join(F.array_sort(F.flatten(F.collect_list(items)))["token"], sep).alias("text")
-    )
-    return encoded.select(key).join(whole, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+    """(key, text): ids back to words. The ids are written first, as they are read twice."""
+    rows = _translated(ordered.materialize(encoded.select(key, ids), "encoded"), key, F.col(ids), vocab, "token_id", "token", "words")
+    return rows.select(key, F.array_join("words", sep).alias("text"))
 
 
 def tokenize_with(load: Callable[[], Callable[[list[str]], list[list[int]]]]) -> Callable[[Column], Column]:

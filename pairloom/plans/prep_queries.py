@@ -80,7 +80,7 @@ def _(t):
 )
 def _(t):
     words = X.words(F.col("text"))
-    out = P.encode(t.spread("documents", "doc_id"), "doc_id", words, P.vocabulary(t.spread("documents", "doc_id"), words))
+    out = P.encode(t.documents, "doc_id", words, P.vocabulary(t.spread("documents", "doc_id"), words))
     return out.select("doc_id", A.joined(F.col("ids")).alias("ids"))
 
 
@@ -88,7 +88,7 @@ def _(t):
 def _(t):
     words = X.words(F.col("text"))
     vocab = P.vocabulary(t.spread("documents", "doc_id"), words)
-    return P.decode(P.encode(t.spread("documents", "doc_id"), "doc_id", words, vocab), "doc_id", vocab)
+    return P.decode(P.encode(t.documents, "doc_id", words, vocab), "doc_id", vocab)
 
 
 @query(
