@@ -89,7 +89,8 @@ def mixed_loss(
         rows = ordered.numbered(rows, [key], "__rank")
     for kind in by_rank:
         ranked = sorted_loss(df, kind, beta).select(F.col("rank").alias("__rank"), F.col("loss").alias("loss_" + kind))
-        rows = rows.join(ranked, "__rank", "left")
+        # As many rows as the table, unfolded from few counted values: their size in bytes says nothing of it.
+        rows = rows.join(ranked.hint("merge"), "__rank", "left")
     loss = sum((F.col("loss_" + k) * w for k, w in weights.items()), F.lit(0.0))
     if rpo_alpha is not None:
         loss = loss + rpo_alpha * nll
@@ -105,7 +106,8 @@ def sorted_pairs(df: DataFrame, a: Column, b: Column, slot: int = 4096) -> DataF
     """(rank, a, b): both columns sorted on their own and put side by side, rank from 0.
 
     Equal values are counted first, so a value held by most rows is one row here. Ranks come
-    from running sums over range partitions; then every ``slot`` of ranks is one bounded group.
+    from running sums over range partitions; then every ``slot`` of ranks is one bounded group, dealt over a given
+    number of tasks, since the counted rows are far smaller than what they unfold to.
     """
     sides = F.array(F.struct(F.lit("a").alias("side"), a.alias("v")), F.struct(F.lit("b").alias("side"), b.alias("v")))
     values = df.select(F.explode(sides).alias("x")).select("x.side", "x.v").filter(F.col("v").isNotNull())
@@ -125,7 +127,8 @@ def sorted_pairs(df: DataFrame, a: Column, b: Column, slot: int = 4096) -> DataF
         runs = F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("at", "n", "v"))))
         return F.flatten(F.transform(runs, lambda r: F.array_repeat(r["v"], r["n"])))
 
-    grouped = spread.groupBy("slot").agg(filled("a").alias("a"), filled("b").alias("b"))
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = spread.repartition(width, "slot").groupBy("slot").agg(filled("a").alias("a"), filled("b").alias("b"))
     rows = grouped.select("slot", F.posexplode(F.arrays_zip("a", "b")).alias("i", "p"))
     return rows.select((F.col("slot") * slot + F.col("i")).alias("rank"), F.col("p")["a"].alias("a"), F.col("p")["b"].alias("b"))
 
