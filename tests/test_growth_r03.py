@@ -1,8 +1,16 @@
 """Steps whose driver memory, time or disk grew faster than their input."""
 
+import json
+
 from pyspark.sql import functions as F
 
+from pairloom import schemas
+from pairloom.functions import arrays as A
+from pairloom.functions import jsonx as J
+from pairloom.functions import text as X
 from pairloom.operators import preferences as P
+from pairloom.plans import all_queries, registry  # noqa: F401  (fills the registry)
+from pairloom.plans.tables import Tables
 
 
 def plan(df):
@@ -20,3 +28,49 @@ def test_ranked_losses_are_not_broadcast(spark):
     final = plan(out).split("== Initial Plan ==")[0]
     assert not [line for line in final.splitlines() if "BroadcastHashJoin" in line and "__rank" in line]
     assert "SortMergeJoin" in final
+
+
+# -- JSON checks ---------------------------------------------------------------------------
+def given(spark):
+    class Given(Tables):
+        def __getattr__(self, name):
+            return {"lineitem": items, "part": parts}[name]
+
+    items = spark.createDataFrame(
+        [(k, 1, 1 + (k or 0) % 2, n, 2.0, "A", '"') for k, n in ((1, 2), (7, 1), (13, -1), (22, 3), (19, 4), (17, 5), (None, 2), (3, None))],
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string",
+    )
+    parts = spark.createDataFrame([(1, 'a"b\\', "t\n", None)], "p_partkey long, p_name string, p_type string, p_brand string")
+    return Given(spark, "")
+
+
+def test_texts_are_built_once_before_their_checks(spark):
+    spark.conf.set(J.REPEATED_KEYS, "true")
+    for name in ("batch_rejects", "validate_rows", "accept_line", "batch_validity", "keys_exact", "explode_records"):
+        checks = [line for line in plan(registry.QUERIES[name](given(spark))).splitlines() if "parseJson" in line]
+        assert checks and not [line for line in checks if "l_suppkey" in line], name  # no check holds what builds its text
+
+
+def test_texts_equal_to_json_of_their_structs(spark):
+    rows = {r.record_no: r for r in given(spark).pairs().collect()}
+    name = "a\"b\\cillin "
+    medicine = lambda i, days: {"name": f"{name}{i}", "dosage": "2 mg", "frequency": "twice daily", "duration": f"{days} days", "route": "oral", "timing": '"'}
+    whole = {"medicines": [medicine(i, 2) for i in (1, 2, 3)], "diseases": ["t\n"], "symptoms": [None],
+             "tests": [{"name": "test 2", "timing": "fasting"}], "instructions": ["A"]}
+    text = lambda x: json.dumps(x, separators=(",", ":"))
+    assert rows[1].output == text(whole) + " AAA"
+    assert rows[7].output == text({"medicines": [medicine(i, 1) for i in (1, 2)], "diseases": ["t\n"], "tests": whole["tests"]}) + " AAA"
+    assert rows[22].output == text(whole | {"medicines": [medicine(1, 3)], "tests": [{"name": "test 1", "timing": "fasting"}]})[:-1] + " AAA"
+    assert json.loads(rows[13].output[:-4])["medicines"] == [{k: v for k, v in medicine(i, -1).items() if k != "timing"} for i in (1, 0)]
+    assert "medicines" not in json.loads(rows[3].output[:-4]) and rows[3].input is None
+    assert json.loads(rows[None].output[:-4])["instructions"] == ["A"]
+
+
+def test_strict_check_of_cut_objects(spark):
+    spark.conf.set(J.REPEATED_KEYS, "true")
+    cases = [('{"a":1}', True), (' \t{"a":1}\r\n', True), ('{"a":1', False), ('{"a":1}\x0b', False), ('{"a":1},2', False), ('"{"', True),
+             ("{", False), ("[1]", True), ("7", True), ("", False), ('{"a":[}', False), ('{"a":1}}', False)]
+    df = spark.createDataFrame(cases, "t string, ok boolean")
+    assert df.select("t", "ok", J.is_json(F.col("t")).alias("got")).filter("got <> ok").collect() == []
+    typed = df.select("t", J.typed(F.col("t"), schemas.PRESCRIPTION).alias("r")).filter("r is not null")
+    assert {r.t for r in typed.collect()} == {'{"a":1}', ' \t{"a":1}\r\n'}
