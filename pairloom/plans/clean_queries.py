@@ -97,8 +97,10 @@ def lists_sql() -> str:
 )
 def _(t):
     stages = t.events.groupBy("user_id").pivot("event_type", list(EVENT_STAGES)).agg(F.sum("value"))
-    pairs = t.pairs().select("record_no", "row_id", J.typed(X.strip_marker(F.col("output")), schemas.PRESCRIPTION).alias("record"))
-    found = pairs.filter(F.col("record").isNotNull()).groupBy("record_no").agg(F.min_by("record", "row_id").alias("entities"))
+    pairs = A.once(t.pairs(), "output").select("record_no", "row_id", J.typed(X.strip_marker(F.col("output")), schemas.PRESCRIPTION).alias("record"))
+    # A filter on the record would be pushed down with its parse, which then runs twice; rows without one have no place here.
+    place = F.when(F.col("record").isNotNull(), F.col("row_id"))
+    found = pairs.groupBy("record_no").agg(F.min_by("record", place).alias("entities"))
     total = sum((F.coalesce(s, F.lit(0.0)) for s in EVENT_STAGES), F.lit(0.0))
     flat = stages.join(found, F.col("user_id") == F.col("record_no"), "left").select(
         *EVENT_STAGES, total.alias("total"), F.concat(F.lit("recording "), F.col("user_id").cast("string")).alias("english_text"),
