@@ -9,7 +9,7 @@ from pairloom.functions import arrays as A
 from pairloom.functions import jsonx as J
 from pairloom.functions import text as X
 from pairloom.operators import preferences as P
-from pairloom.plans import all_queries, registry  # noqa: F401  (fills the registry)
+from pairloom.plans import all_queries, clean_queries, registry  # noqa: F401  (fills the registry)
 from pairloom.plans.tables import Tables
 
 
@@ -74,3 +74,24 @@ def test_strict_check_of_cut_objects(spark):
     assert df.select("t", "ok", J.is_json(F.col("t")).alias("got")).filter("got <> ok").collect() == []
     typed = df.select("t", J.typed(F.col("t"), schemas.PRESCRIPTION).alias("r")).filter("r is not null")
     assert {r.t for r in typed.collect()} == {'{"a":1}', ' \t{"a":1}\r\n'}
+
+
+def test_sink_result_parses_a_record_once(spark, monkeypatch):
+    spark.conf.set(J.REPEATED_KEYS, "true")
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def caught(results, path):
+        seen.append(plan(results))
+        raise Stop
+
+    monkeypatch.setattr(clean_queries.S, "write_results", caught)
+    t = given(spark)
+    t.__dict__["events"] = spark.createDataFrame([(1, "view", 2.0)], "user_id long, event_type string, value double")
+    try:
+        registry.QUERIES["sink_result"](t)
+    except Stop:
+        pass
+    assert len(seen) == 1 and seen[0].count("parseJson") == 1
