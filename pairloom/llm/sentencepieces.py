@@ -27,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.store import save
+from pairloom.llm.store import released, save, small_batches
 
 CHUNK = 32_768
 CACHE = 300_000
 SHORT = 64
 TOGETHER = 8_192
-GROUP_CHARS = 4 << 20
+GROUP_CHARS = 1 << 20
+TEXTS = 32
 BLANK = "▁"
 SEGMENT = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
 CUT = re.compile(f"(?<=[^{BLANK}]){BLANK}")
@@ -64,6 +65,8 @@ class Pieces(dict):
         if any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.ids):
             raise ValueError("a piece holds a line break, or a blank after another character")
         self._build_trie()
+        self.piece_score = np.full(len(spelled), BYTE_SCORE, np.int64)
+        self.piece_score[list(self.ids.values())] = list(self.scores.values())
         self.length = np.array([len(s) for s in spelled])
         self.first = np.concatenate(([0], np.cumsum(self.length)))[:-1]
         self.flat = np.frombuffer(b"".join(spelled), np.uint8)
@@ -204,23 +207,46 @@ class Pieces(dict):
         for i, x in enumerate(segments):
             self[x] = raw[4 * bounds[i] : 4 * bounds[i + 1]] if i not in odd else np.array(self.segment(x)[0], "<u4").tobytes()
 
+    def remember(self, *texts: list[str]) -> None:
+        """Have the ids of all segments of these texts at hand; new ones are segmented together, ``TOGETHER`` at a time."""
+        if len(self) > CACHE:
+            self.clear()
+        new = [p for p in set().union(*texts) if p not in self]  # a difference from keys() would go through all of them
+        short = [p for p in new if len(p) <= SHORT]
+        for i in range(0, len(short), TOGETHER):
+            self.learn(short[i : i + TOGETHER])
+        for p in new:
+            if len(p) > SHORT:
+                self[p] = np.array(self.segment(p)[0], "<u4").tobytes()
+
+    def cuts(self, text: str, size: int) -> tuple[int, int] | None:
+        """The first and the last place before ``size`` where every path has a boundary."""
+        end = min(len(text), size)
+        first = CUT.search(text, 0, end)
+        if first is None:
+            return None
+        last = text.rfind(BLANK, 0, end)
+        while text[last - 1] == BLANK:
+            last -= 1
+        return first.start(), last
+
+    def joined_ids(self, text: str, stand_in: str | None) -> np.ndarray:
+        """Ids of a text between two cuts, segment by segment."""
+        parts = SEGMENT.findall(text)
+        if stand_in is not None:
+            return np.array([i for p in parts for i in self.segment(p, stand_in)[0]], "<u4")
+        self.remember(parts)
+        return np.frombuffer(b"".join(map(self.__getitem__, parts)), "<u4")
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts, segment by segment; new segments are segmented together, ``TOGETHER`` at a time."""
+        """Ids of whole texts, segment by segment."""
         out = []
         group: list[list[str] | bytes] = []
         held = 0
 
         def finish():
             nonlocal held
-            if len(self) > CACHE:
-                self.clear()
-            new = list({p for parts in group if isinstance(parts, list) for p in parts} - self.keys())
-            short = [p for p in new if len(p) <= SHORT]
-            for i in range(0, len(short), TOGETHER):
-                self.learn(short[i : i + TOGETHER])
-            for p in new:
-                if len(p) > SHORT:
-                    self[p] = np.array(self.segment(p)[0], "<u4").tobytes()
+            self.remember(*[parts for parts in group if isinstance(parts, list)])
             for parts in group:
                 out.append(parts if isinstance(parts, bytes) else b"".join(map(self.__getitem__, parts)))
             group.clear()
@@ -248,7 +274,7 @@ class Pieces(dict):
     def transfer(self, text: str, size: int, stand_in: str | None) -> np.ndarray:
         """Matrix of best scores from entry to exit states of a chunk; ``text`` goes on beyond ``size`` as far as a piece may."""
         r = self.reach
-        cuts = [m.start() for m in CUT.finditer(text, 0, min(len(text), size))]
+        cuts = self.cuts(text, size)
         out = np.full((r, r), NONE, np.int64)
         if not cuts:
             for o in range(min(r, len(text) + 1)):
@@ -256,8 +282,8 @@ class Pieces(dict):
                 tail = value[size : size + r]
                 out[o, : len(tail)] = tail
             return out
-        first, last = cuts[0], cuts[-1]
-        inner = sum(self.segment(p, stand_in)[1] for p in SEGMENT.findall(text[first:last])) if last > first else 0
+        first, last = cuts
+        inner = int(self.piece_score[self.joined_ids(text[first:last], stand_in)].sum())
         tail = np.full(r, NONE, np.int64)
         value = self.best_path(text[last:], [0], size - last, stand_in)[0][size - last : size - last + r]
         tail[: len(value)] = value
@@ -269,15 +295,14 @@ class Pieces(dict):
 
     def exits(self, text: str, size: int, entry: list[int], stand_in: str | None) -> list[tuple[int, list[int]] | None]:
         """For each exit state the entry state of its best path and the path's ids."""
-        cuts = [m.start() for m in CUT.finditer(text, 0, min(len(text), size))]
+        cuts = self.cuts(text, size)
         head: list[int] = []
         came = None
         if cuts:
-            first, last = cuts[0], cuts[-1]
+            first, last = cuts
             value, back = self.best_path(text[:first], entry, first, stand_in)
             head, came = self.trace(text[:first], back, first, stand_in)
-            for p in SEGMENT.findall(text[first:last]) if last > first else []:
-                head += self.segment(p, stand_in)[0]
+            head += self.joined_ids(text[first:last], stand_in).tolist()
             text, size, entry = text[last:], size - last, [0]
         value, back = self.best_path(text, entry, size, stand_in)
         out: list[tuple[int, list[int]] | None] = []
@@ -326,6 +351,7 @@ def _row_batch(pieces: Pieces, keys, chunks, starts, parts) -> pa.RecordBatch:
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """``id_col``, chunk, start, n_tokens, ids, decoded_crc32: one row per chunk of every document."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text, F.lit("")).alias("t"))
     one, many = rows.filter(F.length("t") < chunk), rows.filter(F.length("t") >= chunk)
 
@@ -335,7 +361,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "tex
             parts = pieces.encode_all(batch.column(1).to_pylist())
             yield _row_batch(pieces, batch.column(0).to_pylist(), [0] * len(parts), [0] * len(parts), parts)
 
-    single = one.mapInArrow(whole, ROWS)
+    single = one.mapInArrow(released(whole), ROWS)
 
     # Documents of several chunks: chunk rows with the few characters behind them, spread over tasks.
     reach = 64
@@ -357,16 +383,23 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "tex
         size = len(body) if last else chunk
         return body[: size + (0 if last else pieces.reach - 1)], size, stand
 
+    def bodies(pieces, batch):
+        for at in range(0, batch.num_rows, TEXTS):
+            rows = batch.slice(at, TEXTS).to_pylist()
+            found = [inner(pieces, r["t"], r["chunk"], r["last"], r["odd"]) for r in rows]
+            cuts = [(body, pieces.cuts(body, size)) for body, size, stand in found if stand is None]
+            pieces.remember(*[SEGMENT.findall(body[c[0] : c[1]]) for body, c in cuts if c])
+            yield from zip(rows, found)
+
     def matrices(batches):
         pieces = loaded(model)
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                body, size, stand = inner(pieces, r["t"], r["chunk"], r["last"], r["odd"])
+            for _, (body, size, stand) in bodies(pieces, batch):
                 out.append(pieces.transfer(body, size, stand).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], ["id", "th", "chunk", "last", "m"])
 
-    moved = cut.mapInArrow(matrices, "id bigint, th bigint, chunk int, last boolean, m binary")
+    moved = cut.mapInArrow(released(matrices), "id bigint, th bigint, chunk int, last boolean, m binary")
 
     def scan(key, group):
         order = np.argsort(group["chunk"].to_numpy(), kind="stable")
@@ -392,8 +425,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "tex
     def paths(batches):
         pieces = loaded(model)
         for batch in batches:
-            for r in batch.to_pylist():
-                body, size, stand = inner(pieces, r["t"], r["chunk"], r["last"], r["odd"])
+            for r, (body, size, stand) in bodies(pieces, batch):
                 found = pieces.exits(body, size, r["entry"], stand)
                 states = [o for o, f in enumerate(found) if f is not None and (o == 0 or not r["last"])]
                 n = len(states)
@@ -404,7 +436,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "tex
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "th", "chunk", "exit", "entry", "ids"])
 
-    routes = save(known.mapInArrow(paths, "id bigint, th bigint, chunk int, exit int, entry int, ids array<int>"), "routes")
+    routes = save(known.mapInArrow(released(paths), "id bigint, th bigint, chunk int, exit int, entry int, ids array<int>"), "routes")
 
     def choose(key, group):
         came = {(c, e): s for c, e, s in zip(*(group[x].to_pylist() for x in ("chunk", "exit", "entry")))}
@@ -429,7 +461,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "tex
             parts = [np.asarray(x.values, np.int32).tobytes() for x in batch.column(3)]
             yield _row_batch(pieces, batch.column(0).to_pylist(), numbers, starts, parts)
 
-    return single.union(final.mapInArrow(digest, ROWS)).withColumnRenamed("id", id_col)
+    return single.union(final.mapInArrow(released(digest), ROWS)).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id") -> DataFrame:
