@@ -12,7 +12,7 @@ fewer words; empty without words or for null). Two documents link when
 3. Index lists part where no sizes are near enough to link, and are skipped by position: a list's pivot is the
    set in which the shingle stands first, that is the one with the fewest rarer shingles. Every other member is
    compared with the pivot only, exactly (two sets alone in their lists only if their sizes and places allow
-   a link). Before any text moves, members whose 1,024-bit parity sketch rules out a link with the pivot and with every
+   a link). Before any text moves, members whose parity sketch (a bit an element, 1,024 at least) rules out a link with the pivot and with every
    other member are dropped, exactly. The comparison yields the member's difference from the pivot.
 4. Answers of similar sets are derived from these differences: for members x, y of one pivot,
    |x ^ y| = |dx| + |dy| - 2 |dx & dy|. Members that link with the pivot are connected by it already; only
@@ -33,7 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm.store import apart, likely_among, released, save, small_batches
@@ -42,7 +43,7 @@ from pairloom.llm.words import Words, mix, sequence_hash, text_runs
 CELL_BITS = 18
 BLOCK = 256
 SALT_ROWS = 128
-SKETCH_BITS = 10  # a set's parity sketch has 2^10 bits
+SKETCH_BITS = 10  # a set's parity sketch has 2^10 bits at least
 SKETCH_BLOCK = 2048
 
 SIGNED = np.int64
@@ -80,12 +81,41 @@ def cells(hashes: np.ndarray) -> np.ndarray:
 def parity_sketch(hashes: np.ndarray) -> list[int]:
     """One bit per cell: whether an odd number of the set's hashes fall into it, as 64-bit words.
 
-    Two sets' sketches differ in at most as many bits as the sets do in elements: each of those changes one bit.
+    Two sets' sketches differ in at most as many bits as the sets do in elements: each of those changes one bit. There are
+    at least as many cells as elements, else the sketches of large sets would look alike. The count is a power of two and
+    the cell the hash's low bits, so a sketch becomes a shorter one where its halves are joined by exclusive or.
     """
-    odd = np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS) & 1
+    cells_ = 1 << max(SKETCH_BITS, int(len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(cells_ - 1)).astype(np.int64), minlength=cells_) & 1
     return np.packbits(odd.astype(np.uint8)).view(SIGNED).tolist()
 
 
+def differing_bits(a: Column, b: Column) -> Column:
+    """In how many bits two sketches differ; the longer one is folded to the other's length."""
+    least = F.least(F.size(a), F.size(b))
+
+    def folded(x):
+        word = lambda i: F.aggregate(
+            F.sequence(F.lit(0), (F.size(x) / least).cast("int") - 1), F.lit(0).cast("bigint"), lambda s, j: s.bitwiseXOR(F.get(x, i + j * least))
+        )
+        return F.when(F.size(x) == least, x).otherwise(F.transform(F.sequence(F.lit(0), least - 1), word))
+
+    return F.aggregate(F.zip_with(folded(a), folded(b), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
+
+
+def sketches_meet(bits_a: np.ndarray, n_a: np.ndarray, names_a: np.ndarray, bits_b: np.ndarray, n_b: np.ndarray, names_b: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sets a their sketches (one length each) do not rule out as linked with another one of the sets b."""
+    words = min(bits_a.shape[1], bits_b.shape[1])
+    bits_a, bits_b = (np.bitwise_xor.reduce(x.reshape(len(x), -1, words), axis=1) for x in (bits_a, bits_b))
+    found, some = np.zeros(len(n_a), bool), max(1, 512 // words)
+    for at in range(0, len(n_a), some):
+        n, part = n_a[at : at + some, None], bits_a[at : at + some, None, :]
+        differ = np.bitwise_count(part ^ bits_b[None]).sum(axis=2, dtype=np.int64)
+        fits = (differ * (100 + percent) <= (n + n_b) * (100 - percent)) & (np.minimum(n, n_b) * 100 >= np.maximum(n, n_b) * percent)
+        found[at : at + some] = (fits & (names_a[at : at + some, None] != names_b)).any(axis=1)
+    return found
+
+
 def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(2 << CELL_BITS, np.int64)
     for batch in batches:
@@ -159,9 +189,8 @@ def may_link(met: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     facts = nodes.select("node", "n", "sketch")
     lead = facts.select(F.col("node").alias("pivot"), F.col("n").alias("n0"), F.col("sketch").alias("sketch0"))
     rows = met.join(facts, "node").join(lead, "pivot")
-    words = (1 << SKETCH_BITS) // 64
-    differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch0")[i])) for i in range(words)), F.lit(0))
-    near = differ * (100 + percent) <= (F.col("n") + F.col("n0")) * (100 - percent)
+    sizes_fit = F.least("n", "n0") * 100 >= F.greatest("n", "n0") * percent
+    near = sizes_fit & (differing_bits(F.col("sketch"), F.col("sketch0")) * (100 + percent) <= (F.col("n") + F.col("n0")) * (100 - percent))
     rows = save(rows.select("pivot", "node", "alone", "n", "sketch", near.alias("near")).filter("near OR NOT alone"), "near")
     several = rows.filter("NOT alone")
     sizes = several.groupBy("pivot").agg(F.count("*").alias("all"), F.count_if(~F.col("near")).alias("far")).filter("far > 0 AND all > 1")
@@ -179,16 +208,19 @@ def may_link(met: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def partners(group: pa.Table) -> pa.Table:
         asks = group.column("asks").to_numpy()
         nodes, n = group.column("node").to_numpy(), group.column("n").to_numpy()
-        bits = group.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
+        sketch = group.column("sketch").combine_chunks()
+        flat, start = sketch.flatten().to_numpy().view(np.uint64), np.cumsum([0, *pc.list_value_length(sketch).to_pylist()])
+        width = np.diff(start)
         theirs, ours = np.flatnonzero(~asks), np.flatnonzero(asks)
-        found = np.zeros(len(ours), bool)
-        for at in range(0, len(ours), 32):
-            some = ours[at : at + 32]
-            differ = np.bitwise_count(bits[some, None, :] ^ bits[None, theirs, :]).sum(axis=2, dtype=np.int64)
-            fits = differ * (100 + percent) <= (n[some, None] + n[None, theirs]) * (100 - percent)
-            found[at : at + 32] = (fits & (nodes[some, None] != nodes[None, theirs])).any(axis=1)
-        pivot = group.column("pivot").take(pa.array(ours[found]))
-        return pa.table({"pivot": pivot, "node": pa.array(nodes[ours[found]])})
+        found = np.zeros(len(n), bool)
+        sets = lambda rows, w: (flat[start[rows][:, None] + np.arange(w)], n[rows], nodes[rows])
+        for a in np.unique(width[ours]):
+            one = ours[width[ours] == a]
+            for b in np.unique(width[theirs]):
+                found[one] |= sketches_meet(*sets(one, a), *sets(theirs[width[theirs] == b], b), percent)
+        ours = ours[found[ours]]
+        pivot = group.column("pivot").take(pa.array(ours))
+        return pa.table({"pivot": pivot, "node": pa.array(nodes[ours])})
 
     kept = left.unionByName(right).groupBy("pivot", "a", "b").applyInArrow(partners, "pivot bigint, node bigint").distinct()
     far = kept.select("pivot", "node", F.lit(False).alias("alone"))
@@ -434,9 +466,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     first = first.select("k.*").union(rows.filter("root is null").select("k.*").distinct())
     same = rows.groupBy("k").count().select("k.*", "count")
     keep = first.join(same, (first["th"] == same["th"]) & first["id"].eqNullSafe(same["id"])).select(
-        first["id"].alias("__id"), first["th"].alias("__th"), same["count"].alias("__rows")
+        first["id"].alias("__id"), F.coalesce(first["th"], F.lit(0)).alias("__th"), same["count"].alias("__rows")
     )
+    keep = save(keep, "keep")
     th = F.coalesce(F.xxhash64(docs[text]), F.lit(0))
-    kept = docs.join(keep, (th == F.coalesce("__th", F.lit(0))) & docs[id_col].cast("bigint").eqNullSafe(keep["__id"]))
-    once = kept.filter("__rows > 1").dropDuplicates(["__id", "__th"])
-    return kept.filter("__rows = 1").union(once).select(*[F.col(f"`{c}`") for c in docs.columns]).toDF(*names)
+    kept = lambda rows, wanted: rows.join(wanted, (th == F.col("__th")) & docs[id_col].cast("bigint").eqNullSafe(F.col("__id")))
+    single, several = keep.filter("__rows = 1"), keep.filter("__rows > 1")
+    # Repeated rows meet their key in a join of their own, which the others' texts need not reach.
+    once = kept(docs.filter(likely_among(several, "__th")(th)), several).dropDuplicates(["__id", "__th"])
+    return kept(docs, single).union(once).select(*[F.col(f"`{c}`") for c in docs.columns]).toDF(*names)
