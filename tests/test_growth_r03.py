@@ -95,3 +95,42 @@ def test_sink_result_parses_a_record_once(spark, monkeypatch):
     except Stop:
         pass
     assert len(seen) == 1 and seen[0].count("parseJson") == 1
+
+
+def test_accepting_a_line_is_compiled(spark):
+    spark.conf.set(J.REPEATED_KEYS, "true")
+    from pairloom.operators import validation as V
+
+    keys = dict.fromkeys(schemas.RECORD_KEYS, [])
+    line = lambda record, **more: json.dumps({"input": "i", "output": record, **more})
+    whole = json.dumps(keys)
+    blank = " "
+    cases = [
+        (line(whole), True), (line(whole + " AAA"), True), (line(f"\x1f{whole}{blank}"), True), (line(f"{blank}{whole} AAA AAA"), True),
+        (line(whole[:-1] + ', "tests": 1}'), True), (line(json.dumps(keys | {"x": 1})), False), (line(whole + "}"), False),
+        (line(whole + whole), False), (line(whole[:-1]), False), (line(whole) + "]", False), (line(whole)[:-1], False), (line("[]"), False),
+        (line(whole, input=None), True), (line(whole, input={"a": 1}), True), (json.dumps({"output": whole}), False), (line(3), False), (None, False), ("", False),
+    ]
+    out = V.accept(spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "n int, line string"))
+    rows = sorted(out.collect())
+    assert [r.accepted for r in rows] == [ok for _, ok in cases]
+    assert [r.input for r in rows if r.accepted] == ["i"] * 5 + ["null", '{"a":1}']
+    assert rows[2].output == whole + " AAA" and rows[3].output == f"{blank}{whole} AAA AAA" and rows[5].output is None
+    assert "lambda" not in plan(out)
+
+
+def test_landing_does_not_sort_its_rows(spark, tmp_path):
+    spark.conf.set(J.REPEATED_KEYS, "true")
+    from pairloom.streaming import landing as S
+
+    lines = [json.dumps({"input": "i", "output": json.dumps(dict.fromkeys(schemas.RECORD_KEYS, []))}), "x"] * 20
+    spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    rows = spark.readStream.schema("line string").parquet(str(tmp_path / "in")).withColumn("batch", F.lit(1))
+    seen, accept = [], S.V.accept
+    S.V.accept = lambda frame: seen.append(frame.sparkSession.conf.get(S.BOTH_OPEN)) or accept(frame)
+    try:
+        S.validate_stream(rows, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    finally:
+        S.V.accept = accept
+    assert seen == ["2"] and spark.conf.get(S.BOTH_OPEN, "0") == "0"
+    assert {(r.accepted, r["count"]) for r in S.read_checked(spark, str(tmp_path / "out")).groupBy("accepted").count().collect()} == {(True, 20), (False, 20)}
