@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pairloom.llm import jaccard, sentencepieces
+from pairloom.llm import jaccard, sentencepieces, store
 from pairloom.llm.store import FILE_CLEANUP, save
 
 SPM = public_tokenizers.path("piece_bpe_32k.model")
@@ -61,3 +61,16 @@ def test_saved_tables_leave_no_shuffle_files(spark):
         time.sleep(0.1)
     assert files() <= before and spark.conf.get(FILE_CLEANUP) == setting
     assert out.count() == 1000
+
+
+def test_filters_are_as_large_as_their_keys_need(spark, monkeypatch):
+    sent, plain = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(value) or plain(value))
+    rows = spark.range(40_000).select("id", F.xxhash64("id").alias("key"))
+    for keys in (rows.filter("id < 1000"), rows.filter("id < 0"), rows):
+        held = rows.filter(store.likely_among(keys, "key")("key"))
+        n = keys.count()
+        assert held.join(keys, "key").count() == n and n <= held.count() <= n + 1000
+    assert [len(x) for x in sent] == [2 << 10, 1 << 10, 128 << 10]
+    monkeypatch.setattr(store, "FILTER_BITS", 1 << 14)
+    assert rows.filter(store.likely_among(rows, "key")("key")).count() == 40_000 and len(sent[-1]) == 2 << 10
