@@ -169,7 +169,10 @@ JSON_LINES = """SELECT record_no AS file, row_id || md5(input || output) AS row_
 def _(t):
     text = F.concat(F.lit('"'), "input", F.lit("\n"), F.replace(F.replace("output", F.lit(" AAA"), F.lit('"')), F.lit("},"), F.lit("} ,\n")))
     key = F.concat("row_id", F.md5(F.concat("input", "output")))  # rows of one id differ in their text
-    lines = t.pairs().select(F.col("record_no").alias("file"), key.alias("row_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    # A file's pairs are brought together before their texts are built. With the key computed once a pair, both readings of
+    # the lines need the same columns, so these are written once for both.
+    pairs = A.bound(t.pairs(together=True), "row_id", key)
+    lines = pairs.select(F.col("record_no").alias("file"), "row_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     return C.reassemble(lines, F.lit(0), order=("row_id", "line_no"))
 
 

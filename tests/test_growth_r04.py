@@ -72,6 +72,14 @@ def test_pairs_of_a_record_stand_together(spark, tmp_path):
     assert parts.filter("count > 1").isEmpty()
 
 
+def test_reassembly_moves_columns_not_texts(spark, tmp_path):
+    t = tables(spark, str(tmp_path))
+    got = registry.QUERIES["record_reassemble_json"](t)
+    dealt = [x for x in plan(got).splitlines() if "Exchange hashpartitioning" in x]
+    assert dealt and not [x for x in dealt if "(file#" in x]  # lines have a file; they stay where they are built
+    assert got.count() > 0
+
+
 def test_quoted_text(spark):
     cases = ["", "plain é", 'a"b', "c\\d", "\x01", "\n", "\x7f", "\u2028", "[x]", None]
     df = spark.createDataFrame([(x,) for x in cases], "t string")
